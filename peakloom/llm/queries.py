@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from .huffman import op9_huffman_token_files
 from .packing import op6_best_fit_packing
+from .quality_rules import op1_robust_outliers
 from .sharding import op3_virtual_slots
 
 QUERIES = {
+    "op1_robust_outliers": op1_robust_outliers,
     "op3_virtual_slots": op3_virtual_slots,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_huffman_token_files": op9_huffman_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
