@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .huffman import op9_huffman_token_files
+from .nbsvm import op7_nb_support_vectors
 from .packing import op6_best_fit_packing
 from .quality_rules import op1_robust_outliers
 from .sharding import op3_virtual_slots
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
     "op3_virtual_slots": op3_virtual_slots,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_nb_support_vectors": op7_nb_support_vectors,
     "op9_huffman_token_files": op9_huffman_token_files,
 }
 
