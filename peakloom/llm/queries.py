@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from .decontamination import op5_bm25_wand
 from .huffman import op9_huffman_token_files
 from .nbsvm import op7_nb_support_vectors
 from .packing import op6_best_fit_packing
 from .quality_rules import op1_robust_outliers
+from .quotations import OP4_SQL, op4_quotation_links
 from .sharding import op3_virtual_slots
 
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
     "op3_virtual_slots": op3_virtual_slots,
+    "op4_quotation_links": op4_quotation_links,
+    "op5_bm25_wand": op5_bm25_wand,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_nb_support_vectors": op7_nb_support_vectors,
     "op9_huffman_token_files": op9_huffman_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_quotation_links": OP4_SQL}
