@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op5_bm25_wand
 from .huffman import op9_huffman_token_files
+from .jaccard_join import op2_vertical_jaccard
 from .nbsvm import op7_nb_support_vectors
 from .packing import op6_best_fit_packing
 from .quality_rules import op1_robust_outliers
@@ -12,6 +13,7 @@ from .sharding import op3_virtual_slots
 
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
+    "op2_vertical_jaccard": op2_vertical_jaccard,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_quotation_links": op4_quotation_links,
     "op5_bm25_wand": op5_bm25_wand,
