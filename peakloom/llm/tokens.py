@@ -1,7 +1,10 @@
 """Exact token ids of public tokenizers, with a memo of the ids of each white-space chunk.
 
-Both pre-tokenizers used here cut at white space in a way that depends on the white space alone, so
-the ids of a text are the ids of its chunks in order. A chunk is encoded once for each worker's memo.
+Both pre-tokenizers used here cut at white space in a way that depends on the white space alone, so the ids of a
+text are the ids of its chunks in order. A chunk is encoded once for each worker's memo. Chunks are keyed by the
+word as ``str.split`` gives it. In style "byte", which keeps white space in tokens, a key is a word after a single
+space, or a word with a mark for its place: after a line feed, or first in the text. Texts with other white space
+than single spaces and single line feeds between words are then encoded whole.
 """
 
 from __future__ import annotations
@@ -13,18 +16,16 @@ import numpy as np
 
 from .common import ranges, segments
 
-_ODD = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
-_CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s")
-#: White space to Python's patterns and not to the tokenizer's: such texts are encoded whole.
-_FOREIGN = re.compile("[\x1c-\x1f]")
+AFTER_LINE, FIRST = "\n", "\r"
+#: \x1c-\x1f are white space to Python alone.
+_REGULAR = re.compile("[\n\r]?[^\\s\x1c-\x1f]+\\Z").match
+_WITHOUT_SEPARATOR = re.compile("[^\x01]*\\Z").match
 
 
 class ChunkEncoder(dict):
-    """chunk -> index into arrays of start and length of its ids. style: "byte" keeps white space in tokens, "word" drops it."""
+    """key of a chunk -> index into arrays of start and length of its ids; -1 for keys that need the whole text."""
 
     LIMIT = 1_300_000
-    #: Marks that both pre-tokenizers cut off behind a run of letters.
-    TAIL = ".,!?;:%&$*#|()\"-"
 
     def __init__(self, path: str, style: str):
         super().__init__()
@@ -33,80 +34,78 @@ class ChunkEncoder(dict):
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.style = style
+        self.byte = style == "byte"
+        # between chunks encoded together; one token by itself: a line feed is a pre-token, and \x01 between spaces is
+        self.sep = "\n" if self.byte else " \x01 "
+        self.sep_id, *more = self.tok.encode(self.sep, add_special_tokens=False).ids
+        if more:
+            raise ValueError("the separator must be one token")
+        self.plain = _REGULAR if self.byte else _WITHOUT_SEPARATOR
         self._reset()
 
     def _reset(self) -> None:
         self.clear()
+        self.n = 0
         self.pending: list[str] = []
-        self.pieces: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 12, dtype=np.int64)
         self.length = np.zeros(1 << 12, dtype=np.int64)
 
-    def __missing__(self, chunk: str) -> int:
-        i = len(self)
-        self[chunk] = i
-        self.pending.append(chunk)
+    def __missing__(self, key: str) -> int:
+        if not self.plain(key):
+            self[key] = -1
+            return -1
+        i = self.n
+        self[key] = i
+        self.n += 1
+        self.pending.append(key)
         return i
 
     def _encode_pending(self) -> None:
-        if not self.pending:
-            return
-        at = len(self) - len(self.pending)
-        for lo in range(0, len(self.pending), 20_000):
-            encoded = self._encode_chunks(self.pending[lo : lo + 20_000])
-            lens = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
-            total = int(lens.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while at + len(lens) > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-            self.flat[self.used : self.used + total] = np.fromiter((x for e in encoded for x in e), dtype=np.uint32, count=total)
-            self.start[at : at + len(lens)] = self.used + segments(lens)[:-1]
-            self.length[at : at + len(lens)] = lens
-            self.used += total
-            at += len(lens)
+        at = self.n - len(self.pending)
+        for lo in range(0, len(self.pending), 40_000):
+            keys = self.pending[lo : lo + 40_000]
+            some = [k[1:] if k[0] in "\n\r" else " " + k for k in keys] if self.byte else keys
+            joined = [self.sep.join(some[i : i + 200]) for i in range(0, len(some), 200)]
+            parts = []
+            for e in self.tok.encode_batch_fast(joined, add_special_tokens=False):
+                parts += e.ids
+                parts.append(self.sep_id)
+            ids = np.array(parts, dtype=np.uint32)
+            ends = np.flatnonzero(ids == self.sep_id)
+            if len(ends) != len(some):
+                raise ValueError("a chunk holds the separator")
+            lens = np.diff(ends, prepend=-1) - 1
+            ids = np.delete(ids, ends)
+            if self.byte:
+                after = np.fromiter((k[0] == AFTER_LINE for k in keys), dtype=bool, count=len(keys))
+                ids = np.insert(ids, (segments(lens)[:-1])[after], self.sep_id)
+                lens = lens + after
+            self._store(at, ids, lens)
+            at += len(keys)
         self.pending = []
 
-    def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
-        """A chunk of letters and closing marks is two pre-tokens; each is encoded once."""
-        pieces, new = self.pieces, []
-        plan = []
-        for c in chunks:
-            head = c.rstrip(self.TAIL)
-            tail = c[len(head) :]
-            parts = (head, tail) if tail and head.lstrip(" ").isalpha() else (c,)
-            plan.append(parts)
-            for x in parts:
-                if x not in pieces:
-                    pieces[x] = None
-                    new.append(x)
-        for x, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            pieces[x] = e.ids
-        out = [pieces[p[0]] if len(p) == 1 else pieces[p[0]] + pieces[p[1]] for p in plan]
-        if len(pieces) > 400_000:
-            pieces.clear()
-        return out
-
-    def chunks(self, text: str) -> list[str]:
+    def _store(self, at: int, ids: np.ndarray, lens: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while at + len(lens) > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[at : at + len(lens)] = self.used + segments(lens)[:-1]
+        self.length[at : at + len(lens)] = lens
+        self.used += len(ids)
+
+    def keys_of(self, text: str | None) -> list[str]:
         if not text:
             return []
-        if self.style == "word":
-            return text.encode("utf-8").lower().decode("utf-8").replace("\n", " ").split(" ")  # A-Z only; the tokenizer lower-cases the rest
-        if not _ODD.search(text):
-            lines = text.split("\n")
-            out: list[str] = []
-            for i, line in enumerate(lines):
-                if i:
-                    out.append("\n")
-                first, *rest = line.split(" ")
-                out.append(first)
-                out += [" " + w for w in rest]
-            return out
-        return [text] if _FOREIGN.search(text) else _CHUNK.findall(text)
+        if self.byte:
+            words = text.replace("\n", " \n").split(" ")
+            words[0] = FIRST + words[0]
+            return words
+        # lower-casing A-Z only makes fewer keys; the tokenizer lower-cases the rest
+        return text.encode("utf-8").lower().decode("utf-8").replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids of each text)."""
@@ -115,16 +114,31 @@ class ChunkEncoder(dict):
         every: list[str] = []
         counts = np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
-            c = self.chunks(t or "")
+            c = self.keys_of(t)
             counts[i] = len(c)
             every += c
         index = np.fromiter(map(self.__getitem__, every), dtype=np.int64, count=len(every))
-        self._encode_pending()
+        if self.pending:
+            self._encode_pending()
+        if len(index) and index.min() < 0:
+            return self._encode_some_whole(texts, index, counts)
         lens = self.length[index]
-        ids = self.flat[ranges(self.start[index], lens)]
         ends = segments(lens)
         cut = segments(counts)
-        return ids, ends[cut[1:]] - ends[cut[:-1]]
+        return self.flat[ranges(self.start[index], lens)], ends[cut[1:]] - ends[cut[:-1]]
+
+    def _encode_some_whole(self, texts: list[str | None], index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cut = segments(counts)
+        out, n = [], []
+        for i, t in enumerate(texts):
+            own = index[cut[i] : cut[i + 1]]
+            if len(own) and own.min() < 0:
+                ids = np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
+            else:
+                ids = self.flat[ranges(self.start[own], self.length[own])]
+            out.append(ids)
+            n.append(len(ids))
+        return np.concatenate(out), np.array(n, dtype=np.int64)
 
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
