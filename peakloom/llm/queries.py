@@ -6,10 +6,12 @@ from .decontamination import op5_bm25_wand
 from .huffman import op9_huffman_token_files
 from .jaccard_join import op2_vertical_jaccard
 from .nbsvm import op7_nb_support_vectors
+from .ngram_lm import op10_elias_fano_trie
 from .packing import op6_best_fit_packing
 from .quality_rules import op1_robust_outliers
 from .quotations import OP4_SQL, op4_quotation_links
 from .sharding import op3_virtual_slots
+from .suffix_dedup import op8_suffix_buckets
 
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
@@ -19,7 +21,9 @@ QUERIES = {
     "op5_bm25_wand": op5_bm25_wand,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_nb_support_vectors": op7_nb_support_vectors,
+    "op8_suffix_buckets": op8_suffix_buckets,
     "op9_huffman_token_files": op9_huffman_token_files,
+    "op10_elias_fano_trie": op10_elias_fano_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_quotation_links": OP4_SQL}
