@@ -23,15 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, read_table, ship, stage, text_bytes, unstage
+from .common import WordHashes, mix64, read_table, segments, ship, stage, text_batches, text_bytes, unstage
 
-FRAGMENT_SHINGLES = 3_000_000
+FRAGMENT_SHINGLES = 2_000_000
+BATCH_SHINGLES = 700_000
+BLOCK_IDS = 500_000
+#: Fragments of a pair's verification.
+PAIR_FRAGMENTS = 8
 #: Bytes of text to a shingle, for the number of fragments only.
 BYTES_PER_SHINGLE = 6
-SPREAD = 64
 _HASHES = WordHashes()
 
 _ROWS = pa.schema([("f", pa.int32()), ("sigs", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
@@ -54,18 +58,22 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(h)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    return _HASHES.of(text_bytes(text).lower().split())
+def signature(words: list[bytes]) -> int | None:
+    """64-bit hash of the lower-cased word sequence; None without words."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else None
 
 
-def signature(text="text"):
-    """64-bit hash of the lower-cased word sequence; null for texts without words."""
-    low = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    norm = F.regexp_replace(F.regexp_replace(low, "[ \\t-\\r]+", " "), "^ | $", "")
-    return F.when(norm != "", F.xxhash64(norm))
+def signatures(docs: DataFrame) -> DataFrame:
+    """doc_id and signature of every document."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in text_batches(batches):
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([signature(text_bytes(t).lower().split()) for t in texts], pa.int64())], names=["doc_id", "sig"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig long")
 
-def _scatter(docs: DataFrame, k: int, bits: int) -> DataFrame:
+
+def _scatter(docs: DataFrame, k: int, bits: int, spreads: int) -> DataFrame:
     """Shingles of each batch's different texts, by fragment. A shingle of several texts of the batch is sent on
     once, marked as shared (signature 0), and goes to each text's own entry (fragments below 0) directly."""
 
@@ -76,18 +84,22 @@ def _scatter(docs: DataFrame, k: int, bits: int) -> DataFrame:
         return [f, sig[cut].astype("<i8").tobytes(), counts.tobytes(), (h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), ((h >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sigs, texts = b.column("sig").to_pylist(), b.column("text")
-            seen: dict[int, np.ndarray] = {}
-            size = 0
-            for i, s in enumerate(sigs):
-                if s not in seen:
-                    seen[s] = h = shingle_hashes(word_hashes(texts[i].as_py()), k)
-                    size += len(h)
-                if seen and (size > 2_000_000 or i == len(sigs) - 1):
+        seen: dict[int, np.ndarray] = {}
+        size = 0
+        for _, texts in text_batches(batches):
+            for t in texts:
+                words = text_bytes(t).lower().split()
+                s = signature(words)
+                if s is None or s in seen:
+                    continue
+                seen[s] = h = shingle_hashes(_HASHES.of(words), k)
+                size += len(h)
+                if size > BATCH_SHINGLES:
                     yield from emit(seen)
                     seen, size = {}, 0
                     _HASHES.trim()
+        if seen:
+            yield from emit(seen)
 
     def emit(seen: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         n = np.array([len(h) for h in seen.values()], dtype=np.int64)
@@ -101,18 +113,18 @@ def _scatter(docs: DataFrame, k: int, bits: int) -> DataFrame:
         many = (np.bincount(run_no) > 1)[run_no]
         rows = []
         # the sizes of all texts, and the shingles shared inside the batch
-        for spread in range(SPREAD):
-            mine = sig % SPREAD == spread
+        for spread in range(spreads):
+            mine = sig % spreads == spread
             if mine.any():
                 rows.append([-1 - spread, sig[mine].astype("<i8").tobytes(), n[mine].astype("<u4").tobytes(), b"", b""])
         if many.any():
             ms, mh = own[many], h[many]
             o = np.argsort(ms, kind="stable")
             ms, mh = ms[o], mh[o]
-            for spread in range(SPREAD):
-                mine = ms % SPREAD == spread
+            for spread in range(spreads):
+                mine = ms % spreads == spread
                 if mine.any():
-                    row = pack(-1 - SPREAD - spread, ms[mine], mh[mine])
+                    row = pack(-1 - spreads - spread, ms[mine], mh[mine])
                     row.append((mh[mine] >> np.uint64(48)).astype("<u2").tobytes())
                     row[4] = row[4] + row.pop()
                     rows.append(row)
@@ -127,30 +139,36 @@ def _scatter(docs: DataFrame, k: int, bits: int) -> DataFrame:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROWS.types, strict=True)], schema=_ROWS)
 
     # the top 16 bits of a hash within the fragment's own bits are implied; 48 lower ones travel
-    return docs.select("sig", "text").where("sig IS NOT NULL").mapInArrow(run, ROWS_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, ROWS_SCHEMA)
 
 
-_SHARED = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64()))])
+_CLASSES = pa.schema([("block", pa.int64()), ("sigs", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("ids", pa.binary())])
+CLASSES_SCHEMA = "block long, sigs binary, sizes binary, counts binary, ids binary"
 
 
-def _lists(sig: np.ndarray, ids: np.ndarray) -> pa.Table:
-    """Rows (sig, null, ids) of hashes grouped by signature."""
+def _packed(spread: int, sig: np.ndarray, ids: np.ndarray) -> tuple:
+    """A row of ids grouped by signature."""
     o = np.argsort(sig, kind="stable")
     sig, ids = sig[o], ids[o]
     cut = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, dtype=np.int64)
-    offsets = np.concatenate([cut, [len(sig)]]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int64), pa.int64()))
-    return pa.table([pa.array(sig[cut], pa.int64()), pa.nulls(len(cut), pa.int64()), lists], schema=_SHARED)
+    counts = np.diff(np.concatenate([cut, [len(sig)]])).astype("<u4")
+    return spread, sig[cut].astype("<i8").tobytes(), counts.tobytes(), ids.astype("<u8").tobytes(), b""
+
 
+def _by_spread(sig: np.ndarray, ids: np.ndarray, spreads: int) -> list[tuple]:
+    key = sig % spreads
+    return [_packed(s, sig[key == s], ids[key == s]) for s in np.unique(key).tolist()]
 
-def _shared_ids(bits: int):
+
+def _shared_ids(bits: int, spreads: int):
     def run(t: pa.Table) -> pa.Table:
         f = t.column("f")[0].as_py()
         sig = np.concatenate([np.frombuffer(x.as_py(), dtype="<i8") for x in t.column("sigs")])
         counts = np.concatenate([np.frombuffer(x.as_py(), dtype="<u4") for x in t.column("counts")]).astype(np.int64)
-        if -SPREAD <= f < 0:  # sizes
+        if -spreads <= f < 0:  # sizes: a row without ids
             sig, at = np.unique(sig, return_index=True)
-            return pa.table([pa.array(sig), pa.array(counts[at]), pa.array([[]] * len(sig), pa.list_(pa.int64()))], schema=_SHARED)
+            rows = [(-1 - f, sig.astype("<i8").tobytes(), counts[at].astype("<u4").tobytes(), None, None)]
+            return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ROWS.types, strict=True)], schema=_ROWS)
         low = np.concatenate([np.frombuffer(x.as_py(), dtype="<u4") for x in t.column("low")]).astype(np.uint64)
         sig = np.repeat(sig, counts)
         if f < 0:  # shingles shared inside a batch come with their top bits
@@ -162,20 +180,164 @@ def _shared_ids(bits: int):
                 top.append(both[m:])
             h = (np.concatenate(top) << np.uint64(48)) | (np.concatenate(high) << np.uint64(32)) | low
             frag = h >> np.uint64(64 - bits) if bits else np.zeros_like(h)
-            ids = (frag << np.uint64(48)) | (h & np.uint64((1 << 48) - 1))
-            return _lists(sig, ids)
-        high = np.concatenate([np.frombuffer(x.as_py(), dtype="<u2") for x in t.column("high")]).astype(np.uint64)
-        ids = (np.uint64(f) << np.uint64(48)) | (high << np.uint64(32)) | low
-        o = np.lexsort((sig, ids))
-        sig, ids = sig[o], ids[o]
-        new = np.concatenate([[True], ids[1:] != ids[:-1]])
-        run_no = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(ids)]]) - 1
-        # shared: two different signatures in the run, or a mark (signature 0) from a batch
-        shared = ((sig[first] != sig[last]) | (sig[first] == 0) | (np.add.reduceat((sig == 0).astype(np.int64), first) > 0))[run_no]
-        shared &= sig != 0
-        return _lists(sig[shared], ids[shared])
+            rows = _by_spread(sig, (frag << np.uint64(48)) | (h & np.uint64((1 << 48) - 1)), spreads)
+        else:
+            high = np.concatenate([np.frombuffer(x.as_py(), dtype="<u2") for x in t.column("high")]).astype(np.uint64)
+            ids = (np.uint64(f) << np.uint64(48)) | (high << np.uint64(32)) | low
+            o = np.argsort(ids, kind="stable")
+            sig, ids = sig[o], ids[o]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            run_no = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(ids)]])))
+            # shared: two different signatures, or a mark (signature 0) from a batch
+            marked = np.maximum.reduceat((sig == 0).astype(np.int8), first) > 0
+            shared = (marked | (np.minimum.reduceat(sig, first) != np.maximum.reduceat(sig, first)))[run_no] & (sig != 0)
+            rows = _by_spread(sig[shared], ids[shared], spreads)
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _ROWS.types, strict=True)], schema=_ROWS) if rows else _ROWS.empty_table()
+
+    return run
+
+
+def _merge_classes(percent: int):
+    """A spread's classes: all with their size; ids only of those with enough shared shingles, in blocks."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sizes, sigs, ids = [], [], []
+        for r in t.select(["sigs", "counts", "low"]).to_pylist():
+            s, c = np.frombuffer(r["sigs"], dtype="<i8"), np.frombuffer(r["counts"], dtype="<u4").astype(np.int64)
+            if r["low"] is None:
+                sizes.append((s, c))
+            else:
+                sigs.append(np.repeat(s, c))
+                ids.append(np.frombuffer(r["low"], dtype="<u8"))
+        sig, at = np.unique(np.concatenate([s for s, _ in sizes]), return_index=True)
+        n = np.concatenate([c for _, c in sizes])[at]
+        own = np.searchsorted(sig, np.concatenate(sigs)) if sigs else np.zeros(0, dtype=np.int64)
+        every = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint64)
+        need = -(-percent * n // 100)
+        some = np.bincount(own, minlength=len(sig)) >= need
+        own, every = own[some[own]], every[some[own]]
+        # a text in several batches may send a shingle more than once
+        o = np.lexsort((every, own))
+        own, every = own[o], every[o]
+        if len(own):
+            new = np.concatenate([[True], (own[1:] != own[:-1]) | (every[1:] != every[:-1])])
+            own, every = own[new], every[new]
+        count = np.bincount(own, minlength=len(sig))
+        left = np.flatnonzero((count >= need) & (n > 0))
+        keep = np.isin(own, left)
+        own, every, count = own[keep], every[keep], count[left]
+        spread = t.column("f")[0].as_py()
+        rows = [(-1, sig.astype("<i8").tobytes(), n.astype("<u4").tobytes(), b"", b"")]
+        cut = segments(count)
+        at = 0
+        while at < len(left):
+            end = max(at + 1, int(np.searchsorted(cut, cut[at] + BLOCK_IDS)))
+            end = min(end, len(left))
+            x = left[at:end]
+            rows.append(((len(rows) << 32) | spread, sig[x].astype("<i8").tobytes(), n[x].astype("<u4").tobytes(), count[at:end].astype("<u4").tobytes(), every[cut[at] : cut[end]].astype("<u8").tobytes()))
+            at = end
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _CLASSES.types, strict=True)], schema=_CLASSES)
+
+    return run
+
+
+class ClassBlock:
+    """A block's classes: signature, size, and shared ids of each."""
+
+    def __init__(self, r: dict):
+        self.sig = np.frombuffer(r["sigs"], dtype="<i8")
+        self.n = np.frombuffer(r["sizes"], dtype="<u4").astype(np.int64)
+        self.count = np.frombuffer(r["counts"], dtype="<u4").astype(np.int64)
+        self.ids = np.frombuffer(r["ids"], dtype="<u8")
+        self.own = np.repeat(np.arange(len(self.sig)), self.count)
+
+    def best(self) -> tuple[np.ndarray, ...]:
+        """(distinct ids ascending, classes that have each, place of each entry among them, class that leads each here):
+        the class with the greatest share of shared shingles leads (ties: larger, then greater signature)."""
+        share = self.count / self.n
+        rank = np.empty(len(self.sig), dtype=np.int64)
+        rank[np.lexsort((self.sig, self.n, share))] = np.arange(len(self.sig))
+        u, place, df = np.unique(self.ids, return_inverse=True, return_counts=True)
+        top = np.full(len(u), -1, dtype=np.int64)
+        np.maximum.at(top, place, rank[self.own])
+        by_rank = np.argsort(rank)
+        return u, df, place, by_rank[top] if len(u) else top
+
+
+_BEST_SCHEMA = "f long, block long, ids binary, df binary, share binary, sizes binary, sigs binary"
+
+
+def _best_rows(blocks: DataFrame) -> DataFrame:
+    names = [c.split()[0] for c in _BEST_SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                b = ClassBlock(r)
+                u, df, _, lead = b.best()
+                f = (u >> np.uint64(48)).astype(np.int64)
+                rows = []
+                for x in np.split(np.arange(len(u)), np.flatnonzero(f[1:] != f[:-1]) + 1):
+                    if len(x):
+                        c = lead[x]
+                        rows.append((int(f[x[0]]), r["block"], u[x].astype("<u8").tobytes(), df[x].astype("<u4").tobytes(), (b.count[c] / b.n[c]).astype("<f8").tobytes(), b.n[c].astype("<u4").tobytes(), b.sig[c].astype("<i8").tobytes()))
+                if rows:
+                    kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 5
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return blocks.mapInArrow(run, _BEST_SCHEMA)
+
+
+def _lead(t: pa.Table) -> pa.Table:
+    """How many classes have each id of a fragment, and which leads: for each block in the order it asked."""
+    join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), dtype=kind) for x in t.column(name)])
+    ids, df, share, n, sig = join("ids", "<u8"), join("df", "<u4").astype(np.int64), join("share", "<f8"), join("sizes", "<u4"), join("sigs", "<i8")
+    o = np.lexsort((sig, n, share, ids))
+    first = np.flatnonzero(np.concatenate([[True], ids[o][1:] != ids[o][:-1]]))
+    last = np.concatenate([first[1:], [len(ids)]]) - 1
+    run_no = np.empty(len(ids), dtype=np.int64)
+    run_no[o] = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(ids)]])))
+    total, lead = np.add.reduceat(df[o], first)[run_no], o[last][run_no]
+    cut = segments(np.array([len(x.as_py()) // 8 for x in t.column("ids")], dtype=np.int64))
+    parts = [(total[a:b].astype("<u4").tobytes(), n[lead[a:b]].astype("<u4").tobytes(), sig[lead[a:b]].astype("<i8").tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.table([t.column("f"), t.column("block"), *(pa.array(c, pa.binary()) for c in zip(*parts, strict=True))], names=["f", "block", "df", "sizes", "sigs"])
+
+
+_LEFT = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("p", pa.int32()), ("leader", pa.int64()), ("ids", pa.list_(pa.int64()))])
+LEFT_SCHEMA = "sig long, n long, s long, p int, leader long, ids array<long>"
+
+
+def _settle(percent: int):
+    """Rows of classes that can still have a link, ids rarest first, with the number of ids in the prefix; and rows with
+    a leader: overlaps with leaders summed over all fragments that reach the bar."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for r in left.to_pylist():
+            b = ClassBlock(r)
+            u, _, place, _ = b.best()
+            df, n, lead = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+            f = (u >> np.uint64(48)).astype(np.int64)
+            for q in right.to_pylist():
+                x = slice(np.searchsorted(f, q["f"]), np.searchsorted(f, q["f"], side="right"))
+                df[x], n[x], lead[x] = np.frombuffer(q["df"], "<u4"), np.frombuffer(q["sizes"], "<u4"), np.frombuffer(q["sigs"], "<i8")
+            e_df, e_id = df[place], b.ids.astype(np.int64)
+            e_lead, e_n = lead[place], n[place]
+            cut = segments(b.count)
+            for i in range(len(b.sig)):
+                x = np.arange(cut[i], cut[i + 1])
+                x = x[e_df[x] > 1]  # a private shingle of those left is no use to anyone else
+                size, s = int(b.n[i]), len(x)
+                need = -(-percent * size // 100)
+                if s < need:
+                    continue
+                x = x[np.lexsort((e_id[x], e_df[x]))]
+                votes, at, o = np.unique(e_lead[x], return_index=True, return_counts=True)
+                m = e_n[x][at]
+                linked = (o >= -(-percent * (size + m) // (100 + percent))) & (votes != b.sig[i])
+                out += [(int(b.sig[i]), None, None, None, int(v), None) for v in votes[linked]]
+                out.append((int(b.sig[i]), size, s, size - need + 1 - (size - s), None, e_id[x]))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _LEFT.types, strict=True)], schema=_LEFT) if out else _LEFT.empty_table()
 
     return run
 
@@ -217,23 +379,21 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    signed = docs.select("doc_id", "text", signature().alias("sig"))
+    members = stage(signatures(docs), "members")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, min(15, (size // BYTES_PER_SHINGLE // FRAGMENT_SHINGLES).bit_length()))
-    scattered = _scatter(signed, k, bits)
-    shared = scattered.groupBy("f").applyInArrow(_shared_ids(bits), "sig long, n long, ids array<long>")
-    per_class = shared.groupBy("sig").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
-    keep = F.size("ids") >= F.ceil(percent * F.col("n") / 100 - 1e-9)
-    classes = stage(per_class.select("sig", "n", F.when(keep, F.col("ids")).alias("ids")), "classes")
-    edges = _links(classes.where("ids IS NOT NULL"), percent)
+    spreads = max(16, 1 << bits)
+    shared = _scatter(docs, k, bits, spreads).groupBy("f").applyInArrow(_shared_ids(bits, spreads), ROWS_SCHEMA)
+    merged = stage(shared.groupBy("f").applyInArrow(_merge_classes(percent), CLASSES_SCHEMA), "classes")
+    edges = _links(merged.where("block >= 0"), percent)
+    classes = merged.where("block < 0").select("sigs", "sizes").mapInArrow(_sizes, "sig long, n long")
     roots = connected(edges, "join")
-    members = signed.select("doc_id", "sig")
     # the least doc_id of each class, then of each component of classes
     by_class = members.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("class_id"))
     placed = by_class.join(roots.withColumnRenamed("v", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     placed = stage(placed, "placed")
     least = placed.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    table = placed.join(least, "root").join(classes.select("sig", "n"), "sig").select("sig", "n", "class_id", "component_id")
+    table = placed.join(least, "root").join(classes, "sig").select("sig", "n", "class_id", "component_id")
     return members.join(table, "sig", "left").select(
         "doc_id",
         F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
@@ -242,40 +402,37 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     )
 
 
-def _links(rest: DataFrame, percent: int) -> DataFrame:
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for s, n in zip(b.column("sigs"), b.column("sizes"), strict=True):
+            yield pa.record_batch([pa.array(np.frombuffer(s.as_py(), dtype="<i8")), pa.array(np.frombuffer(n.as_py(), dtype="<u4").astype(np.int64))], names=["sig", "n"])
+
+
+def _links(blocks: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes, enough of them for the exact components."""
-    entries = rest.select("sig", "n", F.explode("ids").alias("id"))
-    # a private shingle of those left is no use to anyone else: count again without the ones that left
-    df = entries.groupBy("id").agg(F.count("*").alias("df")).where("df > 1")
-    counted = entries.join(df, "id").groupBy("sig", "n").agg(F.sort_array(F.collect_list(F.struct("df", "id"))).alias("e"))
-    s = F.size("e")
-    left = counted.where(s >= F.ceil(percent * F.col("n") / 100 - 1e-9))
-    # entries of the prefix: of n shingles the private ones come first, then the rarest shared ones
-    prefix = F.col("n") - F.ceil(percent * F.col("n") / 100 - 1e-9) + 1 - (F.col("n") - s)
-    left = stage(left.select("sig", "n", s.alias("s"), prefix.cast("int").alias("p"), _feasible(F.col("n"), s, percent).alias("most"), "e"), "left")
-    score = F.struct((F.col("s") / F.col("n")).alias("r"), F.col("n").alias("n"), F.col("sig").alias("sig"))
-    flat = left.select("sig", "n", score.alias("score"), F.explode("e.id").alias("id"))
-    leaders = flat.groupBy("id").agg(F.max("score").alias("l")).select("id", F.col("l.sig").alias("b"), F.col("l.n").alias("m"))
-    votes = flat.join(leaders, "id").where("sig <> b").groupBy(F.col("sig").alias("a"), "b", "n", "m").agg(F.count("*").alias("o"))
-    stars = stage(votes.where(F.col("o") >= _need(F.col("n"), F.col("m"), percent)).select("a", "b"), "stars")
+    leads = _best_rows(blocks).groupBy("f").applyInArrow(_lead, "f long, block long, df binary, sizes binary, sigs binary")
+    settled = stage(blocks.groupBy("block").cogroup(leads.groupBy("block")).applyInArrow(_settle(percent), LEFT_SCHEMA), "settled")
+    stars = settled.where("leader IS NOT NULL").select(F.col("sig").alias("a"), F.col("leader").alias("b"))
+    left = settled.where("leader IS NULL").withColumn("most", _feasible(F.col("n"), F.col("s"), percent))
     groups = connected(stars, "stars")
     # pairs of different groups that share a prefix shingle
-    heads = left.where("p > 0").select("sig", "n", "s", "most", F.posexplode(F.slice("e", 1, F.col("p"))).alias("pos", "x"))
-    heads = heads.select("sig", "n", "most", F.col("x.id").alias("id"), (F.col("s") - F.col("pos") - 1).alias("after"))
+    heads = left.where("p > 0").select("sig", "n", "s", "most", F.posexplode(F.slice("ids", 1, F.col("p"))).alias("pos", "id"))
+    heads = heads.select("sig", "n", "most", "id", (F.col("s") - F.col("pos") - 1).alias("after"))
     heads = heads.join(groups.withColumnRenamed("v", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     heads = stage(heads, "heads")
     mixed = heads.groupBy("id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("id")
     heads = heads.join(mixed, "id")
-    a, b = heads.alias("a"), heads.alias("b")
-    c = lambda x: F.col(x)
+    a, b, c = heads.alias("a"), heads.alias("b"), F.col
     fits = (c("a.n") <= c("b.most")) & (c("b.n") <= c("a.most")) & (1 + F.least("a.after", "b.after") >= _need(c("a.n"), c("b.n"), percent))
     pairs = a.join(b, (c("a.id") == c("b.id")) & (c("a.sig") < c("b.sig")) & (c("a.root") != c("b.root")) & fits)
     pairs = stage(pairs.select(c("a.sig").alias("a"), c("b.sig").alias("b"), c("a.n").alias("n"), c("b.n").alias("m")).distinct(), "pairs")
     # partial overlaps of each pair, one for each fragment that both have, summed per pair
-    parts = left.select("sig", F.explode("e.id").alias("id")).groupBy("sig", F.shiftright("id", 48).alias("f")).agg(F.collect_list("id").alias("ids"))
+    wanted = pairs.select(c("a").alias("sig")).unionByName(pairs.select(c("b").alias("sig"))).distinct()
+    f = F.expr(f"cast(pmod(id, {PAIR_FRAGMENTS}) as int)")
+    parts = left.join(wanted, "sig").select("sig", F.explode("ids").alias("id")).groupBy("sig", f.alias("f")).agg(F.collect_list("id").alias("ids"))
     parts = stage(parts, "parts")
-    pa_, pb = parts.select(F.col("sig").alias("a"), "f", F.col("ids").alias("ia")), parts.select(F.col("sig").alias("b"), "f", F.col("ids").alias("ib"))
-    partial = pairs.join(pa_, "a").join(pb, ["b", "f"]).select("a", "b", "n", "m", F.size(F.array_intersect("ia", "ib")).alias("o"))
+    of_a, of_b = parts.select(c("sig").alias("a"), "f", c("ids").alias("ia")), parts.select(c("sig").alias("b"), "f", c("ids").alias("ib"))
+    partial = pairs.join(of_a, "a").join(of_b, ["b", "f"]).select("a", "b", "n", "m", F.size(F.array_intersect("ia", "ib")).alias("o"))
     found = partial.groupBy("a", "b", "n", "m").agg(F.sum("o").alias("o")).where(F.col("o") >= _need(F.col("n"), F.col("m"), percent))
     return stars.unionByName(found.select("a", "b"))
 
