@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import prefix_lengths
+from ..lineage import cut
 from .aggregate import feature_presence
 from .clean import assign_ids
 from .match import MASS_BAND
@@ -88,7 +89,7 @@ def gap_runs(peaks: DataFrame, column: str, gap: float, within: list[str], name:
 def group_between(massifs: DataFrame, mass_tol: float = 0.150, rt_tol: float = 180.0) -> DataFrame:
     """Groups over all samples: leaders by ascending mass take the free massifs that agree in time, band and isotope prefix.
     Runs of mass, and of time inside them, are independent tasks. Adds group_id (run, group). massifs: sample, idtab, mh, rt, iso, intensity."""
-    runs = gap_runs(massifs, "mh", MASS_BAND, [], "run_mh")
+    runs = cut(gap_runs(massifs, "mh", MASS_BAND, [], "run_mh"))
     runs = gap_runs(runs, "rt", rt_tol, ["run_mh"], "run_rt")
     kinds = {f.name: f.dataType.simpleString() for f in massifs.schema.fields}
 
@@ -104,8 +105,9 @@ def group_between(massifs: DataFrame, mass_tol: float = 0.150, rt_tol: float = 1
 
 def assemble_map(groups: DataFrame, min_fraction: float = 10.0, prefix: str = "FT") -> tuple[DataFrame, DataFrame]:
     """(reference map, abundance cells): groups in at least ``min_fraction`` % of the samples, with medians and identifiers by mass."""
+    groups = cut(groups)
     cells = groups.groupBy("group_id", "sample").agg(F.max("intensity").alias("x")).withColumnRenamed("group_id", "feature")
     kept = feature_presence(cells, min_fraction)
     med = groups.groupBy(F.col("group_id").alias("feature")).agg(F.median("mh").alias("mh"), F.median("rt").alias("rt"), F.median("intensity").alias("maxo"))
-    ref = assign_ids(med.join(kept, "feature"), [F.col("mh"), F.col("rt"), F.col("feature")], prefix)
+    ref = assign_ids(cut(med.join(kept, "feature")), [F.col("mh"), F.col("rt"), F.col("feature")], prefix)
     return ref.select("id", "mh", "rt", "maxo", "presence", "feature"), cells.join(kept.select("feature"), "feature", "left_semi")

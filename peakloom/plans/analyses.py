@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..operators import align, clean, grouping, match, normalize, normalizers
 from ..sources.readers import read_map
 from ..sources.writers import write_map
@@ -26,14 +27,15 @@ def pairs_with_reference(peaks: DataFrame, centre: str, ppm: float = 50.0) -> Da
 def build_map(peaks: DataFrame, bandwidth: float = 100.0, min_fraction: float = 10.0, p_sample: float = 50.0, min_normalizers: int = 100, min_density: float = 0.15, density_bandwidth: float = 20.0) -> dict[str, DataFrame]:
     """peaks: peak_id, sample, mh, rt, iso, intensity. The frames map_ref, cells, normalizers_ref and peaks (corrected)."""
     centre = align.choose_reference_sample(peaks).first()["sample"]
-    pairs = align.density_filter(pairs_with_reference(peaks, centre), density_bandwidth, min_density)
+    pairs = cut(align.density_filter(pairs_with_reference(peaks, centre), density_bandwidth, min_density))
     times = align.kernel_correction(peaks, pairs, bandwidth)
-    corrected = peaks.drop("rt").join(times.select("peak_id", "sample", F.col("rt_corrected").alias("rt")), ["peak_id", "sample"])
+    corrected = cut(peaks.drop("rt").join(times.select("peak_id", "sample", F.col("rt_corrected").alias("rt")), ["peak_id", "sample"]))
     grouped = grouping.group_within_samples(corrected)
-    numbered = grouped.withColumn("idtab", F.xxhash64("sample", "mh", "rt", "intensity"))
+    numbered = cut(grouped.withColumn("idtab", F.xxhash64("sample", "mh", "rt", "intensity")))
     ref, cells = grouping.assemble_map(grouping.group_between(numbered), min_fraction)
+    ref = cut(ref)
     ids = ref.select("feature", "id")
-    cells = cells.join(ids, "feature").select(F.col("id").alias("feature"), "sample", "x")
+    cells = cut(cells.join(ids, "feature").select(F.col("id").alias("feature"), "sample", "x"))
     found = normalizers.search_normalizers(cells, p_sample=p_sample, min_normalizers=min_normalizers)
     chosen = ref.join(found.select(F.col("feature").alias("id")), "id", "left_semi")
     return {"map_ref": ref.drop("feature"), "cells": cells, "normalizers_ref": chosen.drop("feature"), "peaks": corrected}
