@@ -31,9 +31,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import mix64, ranges, read_table, segments, ship, stage, text_bytes
 
 LENGTH, K = 50, 16
-BLOCK_BYTES = 3_000_000
-CHUNK = 1 << 21
-FRAGMENT_ANCHORS = 2_000_000
+BLOCK_BYTES = 2_500_000
+CHUNK = 1 << 19
+FRAGMENT_ANCHORS = 500_000
 BUCKET_ROWS = 100_000
 _BASE = 0xD6E8FEB86659FD93
 _BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
