@@ -442,3 +442,23 @@ def op2_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs, k=4, percent=85)
 
 
+
+
+#: The same in DuckDB, by all pairs that share a shingle.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, w, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM o WHERE 100 * c >= 85 * (n + m - c)),
+l2 AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS root FROM s UNION SELECT l2.b, r.root FROM r JOIN l2 ON r.v = l2.a),
+c AS (SELECT v, min(root) AS component_id FROM r GROUP BY v)
+SELECT doc_id, len(g) AS n_shingles, component_id,
+  CASE WHEN len(w) > 0 THEN min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) ELSE doc_id END AS class_id
+FROM s JOIN c ON c.v = s.doc_id
+"""

@@ -108,7 +108,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack_round(pieces: DataFrame, partitions: int, round_no: int, last: bool, capacity: int) -> DataFrame:
     """One round: pack each partition; rows whose bin is given up come back with a null sequence_id."""
 
-    def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy(np.int64)
         bins, offsets, room = best_fit_decreasing(lengths, capacity)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op5_bm25_wand
 from .huffman import op9_huffman_token_files
-from .jaccard_join import op2_vertical_jaccard
+from .jaccard_join import OP2_SQL, op2_vertical_jaccard
 from .nbsvm import op7_nb_support_vectors
 from .ngram_lm import op10_elias_fano_trie
 from .packing import op6_best_fit_packing
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_elias_fano_trie": op10_elias_fano_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_quotation_links": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_vertical_jaccard": OP2_SQL, "op4_quotation_links": OP4_SQL}
