@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import padded_id
+from ..lineage import cut
 from ..schema import EXTERNAL_PEAKS, NUMERIC, REQUIRED, col
 
 _NUMBERS = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -114,13 +115,13 @@ def distinct_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataF
 def number_rows(df: DataFrame, order: list[Column], name: str = "_n") -> DataFrame:
     """1-based numbers over a total order without a single-task window: rows are range-partitioned, each partition
     numbers its own, and the counts before it (one for each partition) are added."""
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
-    counts = dealt.groupBy("_p").count().withColumn("_b", F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)))
-    own = Window.partitionBy("_p").orderBy(*order)
-    numbered = dealt.withColumn("_r", F.row_number().over(own)).join(F.broadcast(counts.select("_p", F.coalesce("_b", F.lit(0)).alias("_b"))), "_p")
-    return numbered.withColumn(name, F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # range bounds are sampled anew on every run, so the numbered rows are kept before their partitions are counted
+    dealt = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    counts = dealt.groupBy(part.alias("_p")).count().withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = dealt.withColumn("_p", part).join(F.broadcast(counts.select("_p", "_b")), "_p")
+    return placed.withColumn(name, F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_b") + 1).drop("_p", "_m", "_b")
 
 
 def assign_ids(df: DataFrame, order: list[Column], prefix: str = "FT", name: str = "id") -> DataFrame:
