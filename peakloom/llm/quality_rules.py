@@ -193,3 +193,59 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
+
+
+def op1_sql() -> str:
+    """The same in DuckDB, with the estimation steps written out."""
+    d, ws = len(DIMS), "[ \\t\\n\\x0b\\x0c\\r]"
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    lower = [(i, j) for i in range(d) for j in range(i + 1)]
+    keys = ["'0|' || coalesce(lang, '~') || '|' || coalesce(source, '~')", "'1|' || coalesce(lang, '~')", "'2'"]
+
+    def z(g: str) -> str:
+        out = []
+        for i in range(d):
+            part = f"({DIMS[i]} - {g}.m_{i}" + "".join(f" - {g}.l_{i}{k} * z_{k}" for k in range(i)) + f") / {g}.l_{i}{i} AS z_{i}"
+            out.append(part)
+        return ", ".join([*out, " + ".join(f"z_{i} * z_{i}" for i in range(d)) + " AS d2"])
+
+    def factor() -> str:
+        out = []
+        for j in range(d):
+            out.append(f"sqrt(greatest(s_{j}{j}" + "".join(f" - l_{j}{k} * l_{j}{k}" for k in range(j)) + f", 1e-9)) AS l_{j}{j}")
+            out += [f"(s_{j}{i}" + "".join(f" - l_{i}{k} * l_{j}{k}" for k in range(j)) + f") / l_{j}{j} AS l_{i}{j}" for i in range(j + 1, d)]
+        return ", ".join(out)
+
+    ctes = [
+        f"w AS (SELECT doc_id, lang, source, text, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{ws}+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\x0c\\r]')) AS ln FROM documents)",
+        "gram AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w))",
+        "twice AS (SELECT doc_id, i FROM gram QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1)",
+        "rep AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id)",
+        f"st AS (SELECT w.doc_id, lang, source, text, len(w) AS n_words, length(regexp_replace(t, '{ws}', '', 'g')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(ln) - len(list_distinct(ln)) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words, len(ln) AS n_lines FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id)",
+        "v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, round(ln(CAST(n_words + 1 AS DOUBLE)), 3) AS ln_words, round(ln((word_chars + 1) / (n_words + 1)), 3) AS ln_word_len, round(ln(1 + 100 * n_symbols / (n_words + 1)), 3) AS ln_symbols, round(n_dup_lines / (n_lines + 1), 3) AS dup_lines, round(n_repeat_words / (n_words + 1), 3) AS repeats FROM st)",
+        f"smp AS (SELECT lang, source, text, {', '.join(f'any_value({c}) AS {c}' for c in DIMS)} FROM v WHERE NOT base_failed GROUP BY lang, source, text)",
+        "rws AS (" + " UNION ALL ".join(f"SELECT {k} AS gkey, {', '.join(DIMS)} FROM smp" for k in keys) + ")",
+        "g0 AS (SELECT gkey, count(*) AS n, " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{i}" for i, c in enumerate(DIMS)) + ", " + ", ".join(f"{FLOOR[i] if i == j else 0.0}::DOUBLE AS l_{i}{j}" for i, j in lower) + " FROM rws GROUP BY gkey)",
+    ]
+    for s in range(1, STEPS + 1):
+        g = f"g{s - 1}"
+        scatter = ", ".join(f"coalesce(covar_pop({DIMS[i]}, {DIMS[j]}), 0) * {CONSISTENCY} + {FLOOR[i] ** 2 if i == j else 0.0} AS s_{i}{j}" for i, j in pairs)
+        ctes += [
+            f"n{s} AS (SELECT gkey, round(ln(1 + d2), 3) AS rank, {', '.join(DIMS)} FROM (SELECT rws.*, {z(g)} FROM rws JOIN {g} USING (gkey)))",
+            f"q{s} AS (SELECT gkey, count(*) AS n, quantile_cont(rank, {HALF}) AS lim FROM n{s} GROUP BY gkey)",
+            f"e{s} AS (SELECT gkey, any_value(n) AS n, {', '.join(f'avg({c}) AS m_{i}' for i, c in enumerate(DIMS))}, {scatter} FROM n{s} JOIN q{s} USING (gkey) WHERE rank <= lim GROUP BY gkey)",
+            f"g{s} AS (SELECT gkey, n, {', '.join(f'm_{i}' for i in range(d))}, {factor()} FROM e{s})",
+        ]
+    last = f"g{STEPS}"
+    ctes += [
+        "pick AS (SELECT ls.lang, ls.source, g.* FROM (SELECT DISTINCT lang, source FROM v) ls JOIN "
+        + f"(SELECT * FROM {last} WHERE n >= {MIN_ROWS} OR gkey = '2') g ON g.gkey IN ({', '.join(keys)}) QUALIFY row_number() OVER (PARTITION BY ls.lang, ls.source ORDER BY gkey) = 1)",
+        f"scored AS (SELECT v.*, {z('pick')} FROM v LEFT JOIN pick ON v.lang IS NOT DISTINCT FROM pick.lang AND v.source IS NOT DISTINCT FROM pick.source)",
+    ]
+    return (
+        "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, "
+        f"NOT base_failed AND coalesce(d2, 0) <= {CUTOFF} AS kept, round(d2, 6) AS distance2 FROM scored"
+    )
+
+
+OP1_SQL = op1_sql()

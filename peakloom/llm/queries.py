@@ -8,10 +8,10 @@ from .jaccard_join import OP2_SQL, op2_vertical_jaccard
 from .nbsvm import op7_nb_support_vectors
 from .ngram_lm import op10_elias_fano_trie
 from .packing import op6_best_fit_packing
-from .quality_rules import op1_robust_outliers
+from .quality_rules import OP1_SQL, op1_robust_outliers
 from .quotations import OP4_SQL, op4_quotation_links
 from .sharding import op3_virtual_slots
-from .suffix_dedup import op8_suffix_buckets
+from .suffix_dedup import OP8_SQL, op8_suffix_buckets
 
 QUERIES = {
     "op1_robust_outliers": op1_robust_outliers,
@@ -26,4 +26,9 @@ QUERIES = {
     "op10_elias_fano_trie": op10_elias_fano_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_vertical_jaccard": OP2_SQL, "op4_quotation_links": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_robust_outliers": OP1_SQL,
+    "op2_vertical_jaccard": OP2_SQL,
+    "op4_quotation_links": OP4_SQL,
+    "op8_suffix_buckets": OP8_SQL,
+}

@@ -401,3 +401,20 @@ def op8_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+
+
+#: The same in DuckDB, over all strings of 50 bytes in hexadecimal.
+OP8_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM b)),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT w.doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY w.doc_id ORDER BY i) + 50, true) AS opens FROM w JOIN f USING (s) WHERE least < w.doc_id),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM (SELECT doc_id, i, sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hit) GROUP BY doc_id, k),
+parts AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+cut AS (
+  SELECT p.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept
+  FROM parts p JOIN b ON b.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT b.doc_id, b.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM b LEFT JOIN cut ON cut.doc_id = b.doc_id
+"""
