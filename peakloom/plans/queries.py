@@ -446,6 +446,46 @@ def reference_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).select("feature", "sample", r6("x").alias("x"), r6("ref").alias("ref"), "stable")
 
 
+@query("SELECT l_orderkey AS feature, l_linenumber AS sample, round(CASE WHEN (SELECT max(l_extendedprice) FROM lineitem) > 107 THEN log2(l_extendedprice) ELSE l_extendedprice END, 6) AS x FROM lineitem WHERE l_extendedprice > 0")
+def scale_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = t.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("feature"), F.col("l_linenumber").alias("sample"), F.col("l_extendedprice").alias("x"))
+    return aggregate.to_log2(raw).select("feature", "sample", r6("x").alias("x"))
+
+
+@query(f"WITH {CELLS}, m AS (SELECT sample, median(x) AS m FROM cells GROUP BY sample) SELECT sample, round(1.4826 * median(abs(x - m)), 6) AS mad FROM cells JOIN m USING (sample) GROUP BY sample")
+def sample_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregate.mad(t.cells(spark, sf_dir), "x", ["sample"]).withColumn("mad", r6("mad"))
+
+
+@query("""WITH p AS (SELECT l_orderkey * 8 + l_linenumber AS peak_id, CASE WHEN l_linenumber > 1 THEN l_orderkey * 8 + 1 END AS isotope, l_quantity AS mh, l_discount AS rt FROM lineitem)
+SELECT c.peak_id, c.isotope, c.mh, c.rt, p.mh AS parent_mh, p.rt AS parent_rt FROM p c LEFT JOIN p ON c.isotope = p.peak_id""")
+def isotope_parent_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = t.table(spark, sf_dir, "lineitem")
+    key = F.col("l_orderkey") * 8
+    p = li.select((key + F.col("l_linenumber")).alias("peak_id"), F.when(F.col("l_linenumber") > 1, key + 1).alias("isotope"), F.col("l_quantity").alias("mh"), F.col("l_discount").alias("rt"))
+    return match.isotope_parents(p)
+
+
+@query(f"{LM} SELECT sample, n AS n_stable FROM fits ORDER BY n DESC, sample LIMIT 10")
+def top_samples_by_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = normalize.linear_fits(_marked(spark, sf_dir))
+    return fits.select("sample", "n_stable").orderBy(F.desc("n_stable"), "sample").limit(10)
+
+
+@query("SELECT s_suppkey AS k, s_acctbal AS v, NULL AS segment FROM supplier UNION ALL SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")
+def bind_heterogeneous_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = t.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    b = t.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_mktsegment").alias("segment"))
+    return clean.bind_rows([a, b])
+
+
+@query(f"WITH {CELLS}, {REF} SELECT feature, sample, round(x, 6) AS x FROM cells WHERE sample = 3 UNION ALL SELECT feature, -1, round(ref, 6) FROM ref")
+def single_sample_with_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = t.cells(spark, sf_dir)
+    out = normalize.with_reference_sample(cells.where("sample = 3"), aggregate.feature_median(cells), "-1")
+    return out.select("feature", "sample", r6("x").alias("x"))
+
+
 # --- metadata store --------------------------------------------------------------------------------------------
 
 
