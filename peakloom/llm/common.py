@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,10 +94,28 @@ def text_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+_MEMOS: dict[str, Callable[[], None]] = {}
+_IN_USE: list[str] = []
+
+
+def take_memory(name: str, clear: Callable[[], None]) -> None:
+    """The memo ``name`` is about to be used in this worker: the other operators' memos are emptied, so that a worker that
+    serves one stage after the other holds one memo at a time."""
+    if _IN_USE == [name]:
+        return
+    _MEMOS[name] = clear
+    for other, empty in _MEMOS.items():
+        if other != name:
+            empty()
+    _IN_USE[:] = [name]
+
+
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash, memoised; ``trim`` bounds its memory between batches."""
 
-    LIMIT = 1_000_000
+    def __init__(self, name: str, limit: int):
+        super().__init__()
+        self.name, self.limit = name, limit
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
@@ -103,10 +123,11 @@ class WordHashes(dict):
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        take_memory(self.name, self.clear)
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
     def trim(self) -> None:
-        if len(self) > self.LIMIT:
+        if len(self) > self.limit:
             self.clear()
 
 
@@ -141,7 +162,20 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, dtype=np.int64) - (ends - lengths), lengths)
 
 
-def text_batches(batches, limit: int = 4_000_000):
+def text_slices(batches, limit: int = 4_000_000):
+    """Cut Arrow batches with columns doc_id, text into slices (ids, array of texts) of about ``limit`` bytes."""
+    for b in batches:
+        texts = b.column("text")
+        total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(total[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
+            yield b.column("doc_id").slice(at, end - at), texts.slice(at, end - at)
+            at = end
+
+
+def text_batches(batches, limit: int = 2_000_000):
     """Cut Arrow batches with columns doc_id, text into lists (ids, texts) of about ``limit`` characters."""
     for b in batches:
         ids, texts = b.column("doc_id").to_pylist(), b.column("text")

@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_path, segments, ship, stage, text_batches, unstage
+from .common import read_table, scratch_path, segments, ship, stage, text_slices, unstage
 from .packing import tokenizer_path
 from .tokens import encoder
 
-MAX_BITS = 20
+MAX_BITS = 16
 CHECKPOINT = 512
 BLOCK_IDS = 1 << 20
 PART_IDS = 8 << 20
@@ -91,28 +91,32 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(id, code length) by the next ``width`` bits."""
     width = max(1, int(lengths.max(initial=1)))
     codes = canonical_codes(lengths)
-    ids, lens = np.zeros(1 << width, dtype=np.uint32), np.ones(1 << width, dtype=np.int64)
+    ids, lens = np.zeros(1 << width, dtype=np.uint32), np.ones(1 << width, dtype=np.uint8)
     seen = np.flatnonzero(lengths)
     order = seen[np.lexsort((seen, lengths[seen]))]
     spans = np.left_shift(np.int64(1), width - lengths[order].astype(np.int64))
     n = int(spans.sum())
     ids[:n] = np.repeat(order, spans)
-    lens[:n] = np.repeat(lengths[order].astype(np.int64), spans)
+    lens[:n] = np.repeat(lengths[order], spans)
     assert not len(order) or int(codes[order[0]]) == 0
     return ids, lens, width
 
 
 def encode_block(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """(bits, bit offset of every CHECKPOINT-th id). Codes do not overlap, so adding bytes sets bits."""
+    """(bits, bit offset of every CHECKPOINT-th id). Codes are set in 64-bit words, each word by one reduction; a code
+    that runs over the end of its word leaves the rest to the next."""
     lens = lengths[ids].astype(np.int64)
     at = segments(lens)
-    n_bytes = (int(at[-1]) + 7) // 8 + 8
-    value = codes[ids].astype(np.int64) << (32 - lens - (at[:-1] & 7))
-    byte = at[:-1] >> 3
-    out = np.zeros(n_bytes, dtype=np.int64)
-    for j in range(4):
-        out += np.bincount(byte + j, weights=(value >> (24 - 8 * j)) & 255, minlength=n_bytes).astype(np.int64)
-    return out.astype(np.uint8).tobytes(), at[:-1:CHECKPOINT]
+    words = np.zeros((int(at[-1]) >> 6) + 2, dtype=np.uint64)
+    if len(ids):
+        code, word = codes[ids], at[:-1] >> 6
+        over = (at[:-1] & 63) + lens - 64
+        value = np.where(over > 0, code >> np.maximum(over, 0).astype(np.uint64), code << np.maximum(-over, 0).astype(np.uint64))
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        words[word[first]] = np.bitwise_or.reduceat(value, first)
+        rest = np.flatnonzero(over > 0)
+        words[word[rest] + 1] |= code[rest] << (64 - over[rest]).astype(np.uint64)
+    return words.astype(">u8").tobytes(), at[:-1:CHECKPOINT]
 
 
 def decode_block(bits: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
@@ -130,7 +134,9 @@ def decode_block(bits: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.n
     return out.T.reshape(-1)[:n]
 
 
-_IDS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+_IDS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+IDS_SCHEMA = "doc_id long, n long, ids binary, counts binary"
+ALPHABET = 1 << 16
 _BLOCK = pa.schema(
     [("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.binary()), ("has_id", pa.binary()), ("n_tokens", pa.binary()), ("bits", pa.binary()), ("checkpoints", pa.binary())]
 )
@@ -138,36 +144,38 @@ BLOCK_SCHEMA = "part int, block int, first long, n long, doc_ids binary, has_id
 
 
 def token_table(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, number of ids and the ids (little-endian 16 bits) of each document with the end id."""
+    """doc_id, number of ids and the ids (little-endian 16 bits) of each document with the end id; and for each task a
+    last row with how often it had each id (``counts``)."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, "byte")
-        for ids, texts in text_batches(batches):
+        total = np.zeros(ALPHABET, dtype=np.int64)
+        for ids, texts in text_slices(batches):
             flat, lens = enc.encode(texts)
-            at = segments(lens)
-            flat = flat.astype("<u2")
-            end = np.array([END_ID], dtype="<u2").tobytes()
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(lens + 1), pa.array([flat[a:b].tobytes() + end for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=_IDS)
+            flat = np.insert(flat, segments(lens)[1:], END_ID)
+            total += np.bincount(flat, minlength=ALPHABET)
+            offsets = (2 * segments(lens + 1)).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(flat.astype("<u2"))])
+            yield pa.record_batch([ids, pa.array(lens + 1), data, pa.nulls(len(lens), pa.binary())], schema=_IDS)
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()])], schema=_IDS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, IDS_SCHEMA)
 
 
-def id_counts(tokens: DataFrame, size: int = 1 << 16) -> np.ndarray:
-    """Occurrences of every id over the whole table: a row for each id and task at most."""
+def id_counts(tokens: DataFrame) -> np.ndarray:
+    """Occurrences of every id over the whole table: the tasks' counts, summed; a row for each id and task at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros(ALPHABET, dtype=np.int64)
         for b in batches:
-            for x in b.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_py(), dtype="<u2"), minlength=size) if len(x.as_py()) > 20_000 else 0
-            small = b"".join(x.as_py() for x in b.column("ids") if len(x.as_py()) <= 20_000)
-            total += np.bincount(np.frombuffer(small, dtype="<u2"), minlength=size)
+            for x in b.column("counts"):
+                total += np.frombuffer(x.as_py(), dtype=np.int64)
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
 
-    counts = np.zeros(size, dtype=np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    counts = np.zeros(ALPHABET, dtype=np.int64)
+    for r in tokens.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r["id"]] = r["n"]
     return counts
 
@@ -204,7 +212,7 @@ def write_token_files(docs: DataFrame, path: str, target: str) -> None:
         if held:
             yield flush()
 
-    ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
+    ordered = tokens.where("counts IS NULL").select("doc_id", "n", "ids").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{target}/blocks")
     unstage(tokens)
 

@@ -36,7 +36,7 @@ BLOCK_IDS = 500_000
 PAIR_FRAGMENTS = 8
 #: Bytes of text to a shingle, for the number of fragments only.
 BYTES_PER_SHINGLE = 6
-_HASHES = WordHashes()
+_HASHES = WordHashes("shingles", 600_000)
 
 _ROWS = pa.schema([("f", pa.int32()), ("sigs", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 ROWS_SCHEMA = "f int, sigs binary, counts binary, low binary, high binary"

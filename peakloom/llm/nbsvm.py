@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, mix64, read_table, segments, ship, text_batches
+from .common import crc_bucket, mix64, read_table, segments, ship, take_memory, text_batches
 
 BITS = 18
 #: Labelled rows that the fit may use, and passes of coordinate descent over them.
@@ -53,10 +53,11 @@ def shape(word: str) -> str:
 class WordTable(dict):
     """word -> row of arrays with the hashes of the word and of its shape."""
 
-    LIMIT = 800_000
+    LIMIT = 500_000
 
     def __init__(self) -> None:
         super().__init__()
+        self.clear()
         self.new: list[str] = []
         self.word = np.zeros(1 << 14, dtype=np.uint64)
         self.form = np.zeros(1 << 14, dtype=np.uint64)
@@ -88,6 +89,7 @@ _TABLE = WordTable()
 
 def indicators(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(distinct hashed n-grams of all texts in order, number for each text)."""
+    take_memory("words and shapes", _TABLE.__init__)
     _TABLE.trim()
     words: list[str] = []
     counts = np.zeros(len(texts), dtype=np.int64)

@@ -34,7 +34,7 @@ LOWEST = -16.0
 
 SHARD_TOKENS = 5_000_000
 BYTES_PER_TOKEN = 6
-_HASHES = WordHashes()
+_HASHES = WordHashes("tokens", 1_000_000)
 
 
 # --- bit sequences and Elias-Fano code -------------------------------------------------------------------------

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, segments, ship, stage, text_batches
+from .common import read_table, segments, ship, stage, text_slices
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -37,11 +37,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, "word")
-        for ids, texts in text_batches(batches):
+        for ids, texts in text_slices(batches):
             flat, lens = enc.encode(texts)
             at = segments(lens)
             out: list[tuple] = []
-            for i, doc in enumerate(ids):
+            for i, doc in enumerate(ids.to_pylist()):
                 own = np.append(flat[at[i] : at[i + 1]], END_ID).astype("<u4")
                 for p, lo in enumerate(range(0, len(own), capacity)):
                     part = own[lo : lo + capacity]

@@ -1,8 +1,8 @@
 """Exact token ids of public tokenizers, with a memo of the ids of each white-space chunk.
 
 Both pre-tokenizers used here cut at white space in a way that depends on the white space alone, so the ids of a
-text are the ids of its chunks in order. A chunk is encoded once for each worker's memo. Chunks are keyed by the
-word as ``str.split`` gives it. In style "byte", which keeps white space in tokens, a key is a word after a single
+text are the ids of its chunks in order. Arrow cuts a batch into words and numbers the different ones; each of those
+is looked up once in the worker's memo and encoded only if it is new there. Chunks are keyed by the word. In style "byte", which keeps white space in tokens, a key is a word after a single
 space, or a word with a mark for its place: after a line feed, or first in the text. Texts with other white space
 than single spaces and single line feeds between words are then encoded whole.
 """
@@ -13,8 +13,10 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .common import ranges, segments
+from .common import ranges, segments, take_memory
 
 AFTER_LINE, FIRST = "\n", "\r"
 #: \x1c-\x1f are white space to Python alone.
@@ -25,7 +27,7 @@ _WITHOUT_SEPARATOR = re.compile("[^\x01]*\\Z").match
 class ChunkEncoder(dict):
     """key of a chunk -> index into arrays of start and length of its ids; -1 for keys that need the whole text."""
 
-    LIMIT = 1_300_000
+    LIMIT = 1_250_000
 
     def __init__(self, path: str, style: str):
         super().__init__()
@@ -45,12 +47,29 @@ class ChunkEncoder(dict):
 
     def _reset(self) -> None:
         self.clear()
-        self.n = 0
+        self[FIRST] = 0  # an empty text
+        self.n = 1
         self.pending: list[str] = []
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
         self.start = np.zeros(1 << 12, dtype=np.int64)
         self.length = np.zeros(1 << 12, dtype=np.int64)
+        self.batches = np.zeros(1 << 12, dtype=np.uint8)
+
+    def _prune(self) -> None:
+        """Keep the chunks that more than one batch had: those that come once are most of the memo and no use to it."""
+        items = [(k, i) for k, i in self.items() if i > 0 and self.batches[i] > 1]
+        old = np.array([0, *(i for _, i in items)], dtype=np.int64)
+        start, length, flat = self.start[old], self.length[old], self.flat
+        batches = self.batches[old]
+        self._reset()
+        if len(items) > self.LIMIT // 2:
+            return
+        for k, _ in items:
+            self[k] = self.n
+            self.n += 1
+        self._store(0, flat[ranges(start, length)], length)
+        self.batches[: self.n] = np.minimum(batches, 1)
 
     def __missing__(self, key: str) -> int:
         if not self.plain(key):
@@ -92,48 +111,51 @@ class ChunkEncoder(dict):
         while at + len(lens) > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
             self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+            self.batches = np.concatenate([self.batches, np.zeros_like(self.batches)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[at : at + len(lens)] = self.used + segments(lens)[:-1]
         self.length[at : at + len(lens)] = lens
         self.used += len(ids)
 
-    def keys_of(self, text: str | None) -> list[str]:
-        if not text:
-            return []
+    def keys_of(self, texts: pa.Array) -> pa.Array:
+        """The words of each text, marked."""
         if self.byte:
-            words = text.replace("\n", " \n").split(" ")
-            words[0] = FIRST + words[0]
-            return words
+            marked = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " \n"), "")
+            return pc.split_pattern(marked, " ")
         # lower-casing A-Z only makes fewer keys; the tokenizer lower-cases the rest
-        return text.encode("utf-8").lower().decode("utf-8").replace("\n", " ").split(" ")
+        return pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in order, number of ids of each text)."""
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, number of ids of each text); a null text is empty."""
         if len(self) > self.LIMIT:
-            self._reset()
-        every: list[str] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        for i, t in enumerate(texts):
-            c = self.keys_of(t)
-            counts[i] = len(c)
-            every += c
-        index = np.fromiter(map(self.__getitem__, every), dtype=np.int64, count=len(every))
+            self._prune()
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts):
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        keys = self.keys_of(texts)
+        counts = pc.list_value_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = keys.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        found = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         if self.pending:
             self._encode_pending()
-        if len(index) and index.min() < 0:
+        mine = found[found >= 0]
+        self.batches[mine] = np.minimum(self.batches[mine], 200) + 1
+        index = found[coded.indices.to_numpy(zero_copy_only=False)]
+        if len(found) and found.min() < 0:
             return self._encode_some_whole(texts, index, counts)
         lens = self.length[index]
         ends = segments(lens)
         cut = segments(counts)
         return self.flat[ranges(self.start[index], lens)], ends[cut[1:]] - ends[cut[:-1]]
 
-    def _encode_some_whole(self, texts: list[str | None], index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode_some_whole(self, texts: pa.Array, index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = segments(counts)
         out, n = [], []
-        for i, t in enumerate(texts):
+        for i in range(len(texts)):
             own = index[cut[i] : cut[i + 1]]
             if len(own) and own.min() < 0:
-                ids = np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
+                ids = np.array(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
             else:
                 ids = self.flat[ranges(self.start[own], self.length[own])]
             out.append(ids)
@@ -148,4 +170,5 @@ def encoder(path: str, style: str) -> ChunkEncoder:
     """This worker's encoder, kept from task to task."""
     if (path, style) not in _ENCODERS:
         _ENCODERS[path, style] = ChunkEncoder(path, style)
+    take_memory(f"ids of {path}", _ENCODERS[path, style]._reset)
     return _ENCODERS[path, style]

@@ -27,6 +27,32 @@ def test_memo_gives_the_library_s_ids(enc, texts):
         assert ids[cut[i] : cut[i + 1]].tolist() == enc.tok.encode(t, add_special_tokens=False).ids
 
 
+def test_pruned_memo_gives_the_same_ids(enc):
+    rng = np.random.default_rng(4)
+    old, enc.LIMIT = enc.LIMIT, 300
+    try:
+        for i in range(12):
+            texts = [" ".join(words(rng, 40, 2000)) + "\nEnd." for _ in range(8)] + [None, "", "a  b"][: i % 4]
+            ids, n = enc.encode(texts)
+            assert ids.tolist() == [x for t in texts for x in enc.tok.encode(t or "", add_special_tokens=False).ids]
+            assert n.sum() == len(ids)
+    finally:
+        enc.LIMIT = old
+
+
+def test_slices_keep_all_rows():
+    import pyarrow as pa
+
+    from peakloom.llm.common import text_slices
+
+    texts = ["a" * n for n in (5, 0, 50, 3, 3, 3)] + [None]
+    b = pa.record_batch([pa.array(range(7)), pa.array(texts)], names=["doc_id", "text"])
+    got = [(i.to_pylist(), t.to_pylist()) for i, t in text_slices([b, b.slice(2, 3)], 10)]
+    assert [x for _, t in got for x in t] == texts + texts[2:5]
+    assert [x for i, _ in got for x in i] == [*range(7), 2, 3, 4]
+    assert max(sum(len(x or "") for x in t) for _, t in got if len(t) > 1) <= 10
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 10**6), min_size=1, max_size=200), st.integers(8, 16))
 def test_package_merge(weights, limit):
