@@ -74,6 +74,8 @@ def eliminate_normalizers(cells: DataFrame, start: DataFrame, min_normalizers: i
     if size > GRID_LIMIT:
         raise ValueError(f"{size} cells of candidates by samples; at most {GRID_LIMIT}")
     rows, meds = grid.select("feature", "sample", "x", "ref").toPandas(), med.toPandas().sort_values("sample")
+    if rows.empty:
+        return Elimination([])
     wide = rows.pivot(index="feature", columns="sample", values="x").sort_index().reindex(columns=meds["sample"])
     m = rows.drop_duplicates("feature").set_index("feature")["ref"].reindex(wide.index).to_numpy()
     x = wide.to_numpy()
