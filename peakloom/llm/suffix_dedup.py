@@ -10,7 +10,8 @@ windows in a row with one anchor form its context. Documents travel as blocks, c
    bytes at a time, and runs of ``LENGTH`` equal bytes give the least document of each.
 3. Blocks get both findings and cut the covered bytes.
 A context stands once for each block and once for each hash, so a passage in a third of all documents is one entry
-per block.
+per block. What is found for it holds for all its equals in the block: those of larger ids go whole anyhow, those of the
+same id (repeats inside a document, rows of equal doc_id) share its state, and an open one carries all their places.
 
 Defined results: a null text is empty; texts shorter than ``LENGTH`` lose nothing; rows of equal doc_id do not
 count as smaller; a null doc_id is larger than any other; an empty table gives no rows; other columns pass through.
@@ -103,7 +104,8 @@ class Block:
         self.buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
 
     def contexts(self) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
-        """(the columns of ``anchors``, which contexts stand for their equals in the block, which go whole by it)."""
+        """(the columns of ``anchors``, the context that stands for each among its equals in the block, one of the least
+        id; which go whole by it)."""
         cols = anchors(self.buf, self.bounds)
         fp, ch, doc = cols[:3]
         ids = self.ids[doc]
@@ -111,12 +113,9 @@ class Block:
         f, c = fp[order], ch[order]
         new = np.concatenate([[True], (f[1:] != f[:-1]) | (c[1:] != c[:-1])]) if len(f) else np.zeros(0, dtype=bool)
         first = order[np.flatnonzero(new)]
-        stands = np.zeros(len(fp), dtype=bool)
-        stands[first] = True
-        whole = np.zeros(len(fp), dtype=bool)
-        if len(f):
-            whole[order] = ids[order] > ids[first][np.cumsum(new) - 1]
-        return cols, stands, whole
+        stands = np.zeros(len(fp), dtype=np.int64)
+        stands[order] = first[np.cumsum(new) - 1]
+        return cols, stands, ids > ids[stands]
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -178,7 +177,8 @@ def _anchor_rows(blocks: DataFrame, bits: int) -> DataFrame:
             for r in batch.to_pylist():
                 block = Block(r["data"])
                 (fp, ch, doc, *_), stands, _ = block.contexts()
-                fp, ch, doc = fp[stands], ch[stands], doc[stands]
+                rep = np.flatnonzero(stands == np.arange(len(fp)))
+                fp, ch, doc = fp[rep], ch[rep], doc[rep]
                 frag = _fragments_of(fp, bits)
                 order = np.argsort(frag, kind="stable")
                 cut = np.searchsorted(frag[order], np.arange((1 << bits) + 1))
@@ -210,8 +210,9 @@ def _judge(t: pa.Table) -> pa.Table:
     run_f, run_c = np.cumsum(new_f) - 1, np.cumsum(new_c) - 1
     several = (np.add.reduceat(new_c.astype(np.int64), at_f) > 1) & (np.minimum.reduceat(d, at_f) != np.maximum.reduceat(d, at_f))
     state = np.zeros(len(f), dtype=np.uint8)
-    state[d > d[at_c][run_c]] = WHOLE
-    state[new_c & several[run_f]] = OPEN
+    later = d > d[at_c][run_c]
+    state[later] = WHOLE
+    state[~later & several[run_f]] = OPEN
     back = np.empty_like(state)
     back[order] = state
     n = np.array([len(x.as_py()) // 4 for x in t.column("fp_low")], dtype=np.int64)
@@ -220,8 +221,8 @@ def _judge(t: pa.Table) -> pa.Table:
     return pa.table([t.column("block"), t.column("f"), pa.array(out, pa.binary())], names=["block", "f", "state"])
 
 
-_FOUND_SCHEMA = "block long, starts binary, ends binary, lead binary, cut int, first int, doc_id long, context binary"
-_FOUND = pa.schema([("block", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary()), ("lead", pa.binary()), ("cut", pa.int32()), ("first", pa.int32()), ("doc_id", pa.int64()), ("context", pa.binary())])
+_FOUND_SCHEMA = "block long, starts binary, ends binary, lead binary, cut int, firsts binary, doc_id long, context binary"
+_FOUND = pa.schema([("block", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary()), ("lead", pa.binary()), ("cut", pa.int32()), ("firsts", pa.binary()), ("doc_id", pa.int64()), ("context", pa.binary())])
 
 
 def _apply_states(bits: int):
@@ -231,21 +232,26 @@ def _apply_states(bits: int):
             block = Block(r["data"])
             (fp, ch, doc, lo, hi, a), stands, whole = block.contexts()
             state = np.zeros(len(fp), dtype=np.uint8)
-            rep = np.flatnonzero(stands)
+            rep = np.flatnonzero(stands == np.arange(len(fp)))
             frag = _fragments_of(fp[rep], bits)
             order = rep[np.argsort(frag, kind="stable")]
             cut = np.searchsorted(np.sort(frag, kind="stable"), np.arange((1 << bits) + 1))
             for f, s in zip(right.column("f").to_pylist(), right.column("state").to_pylist(), strict=True):
                 state[order[cut[f] : cut[f + 1]]] = np.frombuffer(s, dtype=np.uint8)
+            state = state[stands]
             state[whole] = WHOLE
             gone = state == WHOLE
             # removed bytes of whole contexts, as runs of the block's buffer
             starts, ends = merge_runs(lo[gone], hi[gone] + LENGTH)
             out.append((r["block"], starts.astype("<u4").tobytes(), ends.astype("<u4").tobytes(), None, None, None, None, None))
             raw = block.buf.tobytes()
-            for i in np.flatnonzero(state == OPEN).tolist():
+            still = np.flatnonzero(state == OPEN)
+            still = still[np.argsort(stands[still], kind="stable")]
+            reps, at = np.unique(stands[still], return_index=True)
+            places = lo[still].astype("<u4")
+            for i, s, e in zip(reps.tolist(), at.tolist(), np.append(at, len(still))[1:].tolist(), strict=True):
                 x, y, z = int(lo[i]), int(hi[i]) + LENGTH, int(a[i])
-                out.append((r["block"], None, None, raw[z : z + K], z - x, x, int(block.ids[doc[i]]), raw[x:y]))
+                out.append((r["block"], None, None, raw[z : z + K], z - x, places[s:e].tobytes(), int(block.ids[doc[i]]), raw[x:y]))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _FOUND.types, strict=True)], schema=_FOUND) if out else _FOUND.empty_table()
 
     return run
@@ -282,7 +288,7 @@ def multikey_sort(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new) - 1
 
 
-def _suffix_matches(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int]]:
+def _suffix_matches(rows: list[tuple[int, bytes, int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """(row, window in its context) of windows that also start in a smaller document. rows: (.., doc_id, context)."""
     lens = np.array([len(r[3]) for r in rows], dtype=np.int64)
     buf = np.frombuffer(b"".join(r[3] for r in rows) + bytes(64), dtype=np.uint8)
@@ -296,7 +302,7 @@ def _suffix_matches(rows: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[i
     order, run = multikey_sort(words)
     least = np.minimum.reduceat(doc[order], np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])))
     hit = order[doc[order] > least[run]]
-    return zip(owner[hit].tolist(), (at[hit] - first[owner[hit]]).tolist(), strict=True)
+    return owner[hit], at[hit] - first[owner[hit]]
 
 
 def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,25 +311,28 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        hits: dict[int, list[int]] = {}
-        for i, w in _suffix_matches(held):
-            hits.setdefault(held[i][0], []).append(held[i][1] + w)
+        row, w = _suffix_matches(held)
+        places = np.frombuffer(b"".join(h[1] for h in held), dtype="<u4").astype(np.int64)
+        n = np.array([len(h[1]) // 4 for h in held], dtype=np.int64)
+        s = places[ranges(segments(n)[:-1][row], n[row])] + np.repeat(w, n[row])
+        where = np.repeat(np.array([h[0] for h in held], dtype=np.int64)[row], n[row])
+        order = np.argsort(where, kind="stable")
+        blocks, at = np.unique(where[order], return_index=True)
         rows = []
-        for block, starts in hits.items():
-            s = np.array(starts, dtype=np.int64)
-            a, b = merge_runs(s, s + LENGTH)
+        for block, mine in zip(blocks.tolist(), np.split(s[order], at[1:]), strict=False):
+            a, b = merge_runs(mine, mine + LENGTH)
             rows.append((block, a.astype("<u4").tobytes(), b.astype("<u4").tobytes()))
         if rows:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _FOUND.types[:3], strict=True)], names=["block", "starts", "ends"])
 
     lead = None
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("block", "first", "doc_id", "context", "lead")]
-        for block, first, doc, context, key in zip(*cols, strict=True):
+        cols = [batch.column(c).to_pylist() for c in ("block", "firsts", "doc_id", "context", "lead")]
+        for block, firsts, doc, context, key in zip(*cols, strict=True):
             if size > 1_000_000 and key != lead:
                 yield from flush()
                 held, size = [], 0
-            held.append((block, first, doc, context))
+            held.append((block, firsts, doc, context))
             size += len(context)
             lead = key
     if held:
@@ -373,7 +382,7 @@ def dedup_substrings(docs: DataFrame, also: list[str] | None = None, as_text: bo
     states = _anchor_rows(blocks, bits).groupBy("f").applyInArrow(_judge, "block long, f int, state binary")
     found = stage(blocks.groupBy("block").cogroup(states.groupBy("block")).applyInArrow(_apply_states(bits), _FOUND_SCHEMA), "found")
     whole = found.where("starts IS NOT NULL").select("block", "starts", "ends")
-    open_rows = found.where("starts IS NULL").select("block", "lead", "cut", "first", "doc_id", "context")
+    open_rows = found.where("starts IS NULL").select("block", "lead", "cut", "firsts", "doc_id", "context")
     buckets = max(1, -(-open_rows.count() // BUCKET_ROWS))
     dealt = open_rows.repartitionByRange(buckets, "lead").sortWithinPartitions("lead")
     matched = dealt.mapInArrow(_sort_bucket, "block long, starts binary, ends binary")

@@ -95,6 +95,30 @@ def test_cut_matches_brute_force(docs_of):
     assert got == brute_cut(rows)
 
 
+def placed(spark, parts):
+    """Documents with each list of rows in a partition, and so in a block, of its own."""
+    rows = [(k, i, t) for k, part in enumerate(parts) for i, t in part]
+    rdd = spark.sparkContext.parallelize(rows, 1).map(lambda r: (r[0], r[1:])).partitionBy(len(parts), lambda k: k).map(lambda r: r[1])
+    return spark.createDataFrame(rdd, "doc_id long, text string")
+
+
+@pytest.mark.parametrize("smaller", [0, 1])
+def test_cut_repeats_inside_documents_over_blocks(spark, smaller):
+    rng = np.random.default_rng(11)
+    line, other = (" ".join(words(rng, 16, 10**6)) for _ in range(2))
+    fill = lambda: " ".join(words(rng, 6, 10**6))
+    inner = line[5:75]
+    small = [(7, "long " * 40), (10, f"{fill()} {line} {fill()}"), (20, f"a{inner}b"), (30, f"{other} {fill()} {other}")]
+    large = [
+        (70, "long " * 60), (70, "x" + "long " * 30), (100, f"{line} {fill()} {line}\n{line} {fill()} {line}"),
+        (200, f"c{inner}d {fill()} c{inner}d {fill()} c{inner}d"), (200, f"c{inner}d"), (300, f"{other}{other}"), (301, f"{other} {line} {line}"),
+    ]
+    more = [(70, "long " * 50), (200, f"c{inner}d c{inner}d")]
+    got = dedup_substrings(placed(spark, [small, large, more] if smaller == 0 else [more, large, small]))
+    got = sorted((r.doc_id or -1, r.dedup_bytes, r.dedup_removed, r.dedup_spans, hashlib.sha256(r.dedup_kept).hexdigest()) for r in got.collect())
+    assert got == brute_cut([*small, *large, *more])
+
+
 def test_cut_documents_keeps_columns_and_empty_texts(docs_of):
     t = "abcdefghij" * 10
     rows = [(1, t), (2, t), (3, ""), (4, None), (5, t[:60] + "é" * 30)]
