@@ -6,7 +6,9 @@ are skipped; items of the rest are scored exactly. An impact is stated in units
 share of its score against itself, so 1 is the bar for every item. Retrieved items are verified on the words around
 the passage: question and answer (the last sentence, or the last third) must both overlap by word 3-grams.
 
-The index holds at most ``INDEX_CHARS`` characters of items; a larger benchmark is queried in several passes.
+The index holds at most ``INDEX_CHARS`` characters of items; a larger benchmark is queried in several passes. Item and
+term frequencies, mean length and window length are those of the whole benchmark in each, so the rows do not depend on
+where it is cut.
 
 Defined results: null or empty texts and items match nothing; repeated documents are reported each; items of equal
 text are each reported; an empty benchmark or table gives no rows.
@@ -14,8 +16,11 @@ text are each reported; an empty benchmark or table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -58,32 +63,55 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return w[:cut], w[cut:]
 
 
+@dataclass
+class Statistics:
+    """Of a whole benchmark: items with words, their words, words of the longest, items that hold each term."""
+
+    n: int = 0
+    total: int = 0
+    longest: int = 0
+    df: Counter = field(default_factory=Counter)
+
+    @classmethod
+    def of(cls, texts: Iterable[str | None]) -> Statistics:
+        out = cls()
+        for w in filter(None, map(words, texts)):
+            out.n += 1
+            out.total += len(w)
+            out.longest = max(out.longest, len(w))
+            out.df.update(set(w))
+        return out
+
+    def part(self, items: list[tuple[int, str]]) -> Statistics:
+        """With the terms of these items only, to be sent out with them."""
+        return Statistics(self.n, self.total, self.longest, Counter({x: self.df[x] for x in {x for _, t in items for x in words(t)}}))
+
+
 class Index:
-    """Impacts of every (term, item), greatest impacts by term and by block of items."""
+    """Impacts of every (term, item), greatest impacts by term and by block of items. ``whole``: the statistics of the
+    benchmark of which these are some items; without it they are all."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
+        whole = whole or Statistics.of(t for _, t in items)
         self.items = [(i, t) for i, t in items if words(t)]
         texts = [words(t) for _, t in self.items]
-        self.vocab: dict[str, int] = {}
-        for w in texts:
-            for x in w:
-                self.vocab.setdefault(x, len(self.vocab))
+        # in order of the terms, so that sums over an item's terms do not depend on the other items
+        self.vocab = {x: k for k, x in enumerate(sorted({x for w in texts for x in w}))}
         v, n = len(self.vocab), len(texts)
         self.n_blocks = -(-n // BLOCK)
         tf = np.zeros((v, self.n_blocks * BLOCK), dtype=np.float32)
         for j, w in enumerate(texts):
             np.add.at(tf[:, j], [self.vocab[x] for x in w], 1)
-        df = (tf > 0).sum(axis=1)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        df = [whole.df[x] for x in self.vocab]
+        idf = np.array([math.log1p((whole.n - k + 0.5) / (k + 0.5)) for k in df], dtype=np.float64)
         dl = tf.sum(axis=0)
-        norm = K1 * (1 - B + B * dl / max(1.0, float(dl.sum() / max(1, n))))
+        norm = K1 * (1 - B + B * dl / max(1.0, whole.total / max(1, whole.n)))
         score = (idf[:, None] * tf * (K1 + 1) / np.where(tf > 0, tf + norm, 1)).astype(np.float32)
-        self.bars = BAR * score.sum(axis=0)
+        self.bars = BAR * score.sum(axis=0, dtype=np.float64)
         self.impact = (score / np.where(self.bars > 0, self.bars, 1)).astype(np.float32)
         self.block_max = self.impact.reshape(v, self.n_blocks, BLOCK).max(axis=2) if v else np.zeros((0, 0), np.float32)
         self.term_max = self.block_max.max(axis=1) if v else np.zeros(0, np.float32)
-        longest = max((len(w) for w in texts), default=0)
-        self.half = max(WINDOW, longest) // 2
+        self.half = max(WINDOW, whole.longest) // 2
         self.parts = [tuple(grams(p) for p in question_answer(t)) for _, t in self.items]
 
     def retrieve(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,25 +178,28 @@ class Index:
 _INDEXES: dict[int, Index] = {}
 
 
-def _index(items: list[tuple[int, str]]) -> Index:
-    key = hash(tuple(items))
+def _index(items: list[tuple[int, str]], whole: Statistics) -> Index:
+    key = hash((*items, whole.n, whole.total, whole.longest, *sorted(whole.df.items())))
     if key not in _INDEXES:
         _INDEXES.clear()
-        _INDEXES[key] = Index(items)
+        _INDEXES[key] = Index(items, whole)
     return _INDEXES[key]
 
 
-def index_chunks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in chunks of at most INDEX_CHARS characters (one larger item is a chunk): the size of what is sent out."""
+def index_chunks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], Statistics]]:
+    """The items in chunks of at most INDEX_CHARS characters (one larger item is a chunk): the size of what is sent out.
+    With each go the statistics of the whole benchmark for its terms."""
+    rows = benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text")
+    whole = Statistics.of(r["text"] for r in rows.toLocalIterator())
     held, size = [], 0
-    for r in benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+    for r in rows.toLocalIterator():
         if held and size + len(r["text"]) > INDEX_CHARS:
-            yield held
+            yield held, whole.part(held)
             held, size = [], 0
         held.append((r["item_id"], r["text"]))
         size += len(r["text"])
     if held:
-        yield held
+        yield held, whole.part(held)
 
 
 def retrieve(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -176,10 +207,10 @@ def retrieve(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     found = spark.createDataFrame([], SCHEMA)
-    for k, items in enumerate(index_chunks(benchmark)):
+    for k, chunk in enumerate(index_chunks(benchmark)):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = _index(items)
+        def run(batches: Iterator[pa.RecordBatch], chunk=chunk) -> Iterator[pa.RecordBatch]:
+            index = _index(*chunk)
             for ids, texts in text_batches(batches):
                 rows = [(ids[d], *rest) for d, *rest in index.search(texts)]
                 if rows:
@@ -196,10 +227,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ship(spark)
     out = docs
     names = docs.columns
-    for items in index_chunks(benchmark):
+    for chunk in index_chunks(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = _index(items)
+        def run(batches: Iterator[pa.RecordBatch], chunk=chunk) -> Iterator[pa.RecordBatch]:
+            index = _index(*chunk)
             for b in batches:
                 keep = np.ones(b.num_rows, dtype=bool)
                 texts = b.column(names.index("text"))

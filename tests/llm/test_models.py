@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from peakloom.llm import nbsvm, ngram_lm
+from peakloom.llm import decontamination, nbsvm, ngram_lm
 from peakloom.llm.decontamination import Index, clean_documents, retrieve
 from peakloom.llm.ngram_lm import EliasFano
 
@@ -137,3 +137,22 @@ def test_decontamination(spark, docs_of):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i or -1 for i, _ in rows if i is None or not 200 <= i < 300)
     assert retrieve(docs, bench.limit(0)).collect() == []
     assert retrieve(docs_of([]), bench).collect() == []
+
+
+@pytest.mark.parametrize("chars", [1, 700, 2600])
+def test_chunks_of_a_benchmark_give_the_rows_of_one(spark, docs_of, monkeypatch, chars):
+    rng = np.random.default_rng(6)
+    common = words(rng, 20, 40)
+    mixed = [(i, " ".join(x for p in zip(t.split(), rng.choice(common, len(t.split())), strict=True) for x in p)) for i, t in ITEMS]
+    mixed += [(50, " ".join(words(rng, 150, 4000)) + "."), (51, mixed[0][1])]
+    fill = lambda n: " ".join(x for p in zip(words(rng, n, 4000), rng.choice(common, n), strict=True) for x in p)
+    rows = [(100 + i, fill(200)) for i in range(20)] + [(200 + i, f"{fill(90)} {t} {fill(40)}") for i, t in mixed]
+    rows += [(300 + i, f"{fill(60)} {' '.join(t.split()[: 8 + i % 30])} {fill(60)}") for i, t in mixed]
+    bench, docs = spark.createDataFrame(mixed, "item_id long, text string"), docs_of(rows)
+    one = sorted(map(tuple, retrieve(docs, bench).collect()))
+    kept = {r.doc_id for r in clean_documents(docs, bench).collect()}
+    monkeypatch.setattr(decontamination, "INDEX_CHARS", chars)
+    assert len(list(decontamination.index_chunks(bench))) > 1
+    assert sorted(map(tuple, retrieve(docs, bench).collect())) == one
+    assert {r.doc_id for r in clean_documents(docs, bench).collect()} == kept
+    assert len(one) > len(mixed)
