@@ -391,12 +391,12 @@ def group_within_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def group_between_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.group_between(t.sample_massifs(spark, sf_dir), MASS_TOL, RT_TOL)
+    return grouping.group_between(t.all_massifs(spark, sf_dir), MASS_TOL, RT_TOL)
 
 
 @query()
 def assemble_reference_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref, _ = grouping.assemble_map(grouping.group_between(t.sample_massifs(spark, sf_dir), MASS_TOL, RT_TOL), 2.0)
+    ref, _ = grouping.assemble_map(grouping.group_between(t.all_massifs(spark, sf_dir), MASS_TOL, RT_TOL), 2.0)
     return ref.drop("feature")
 
 

@@ -31,8 +31,14 @@ def reference_massifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.col("idtab").alias("ref_id"), F.col("mh").alias("ref_mh"), F.col("rt").alias("ref_rt"), F.col("iso").alias("ref_iso"), F.col("intensity").alias("ref_intensity"))
 
 
+def all_massifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The massifs of every sample, for grouping."""
+    return massifs(spark, sf_dir).select(F.col("user_id").alias("sample"), "idtab", "mh", "rt", "iso", "intensity")
+
+
 def sample_massifs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return massifs(spark, sf_dir).where("user_id % 10 <> 0").select(F.col("user_id").alias("sample"), "idtab", "mh", "rt", "iso", "intensity")
+    """Those that are matched against ``reference_massifs``."""
+    return all_massifs(spark, sf_dir).where("sample % 10 <> 0")
 
 
 def event_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,17 @@ def test_query(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_grouping_takes_every_sample(spark, db):
+    groups = own.QUERIES["group_between_samples"](spark, SF)
+    want = db.sql("SELECT DISTINCT user_id, strftime(CAST(ts AS DATE), '%Y%m%d') AS day FROM events WHERE value IS NOT NULL").fetchall()
+    rows = groups.select("sample", "idtab", "group_id").collect()
+    assert sorted((r.sample, r.idtab) for r in rows) == sorted((u, f"{u}-{d}") for u, d in want)
+    assert any(u % 10 == 0 for u, _ in want)
+    # presence counts a sample once for each group, over all samples
+    n, held = len({r.sample for r in rows}), {}
+    for r in rows:
+        held.setdefault(r.group_id, set()).add(r.sample)
+    ref = own.QUERIES["assemble_reference_map"](spark, SF).collect()
+    assert sorted(round(r.presence, 6) for r in ref) == sorted(round(100 * len(x) / n, 6) for x in held.values() if 100 * len(x) / n >= 2)
