@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import tempfile
 import uuid
 import zipfile
@@ -9,6 +12,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +26,12 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs on one host."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = Path(tempfile.mkdtemp(prefix="peakloom-")).as_uri()
@@ -95,41 +101,92 @@ def text_bytes(text: str | None) -> bytes:
 
 
 _MEMOS: dict[str, Callable[[], None]] = {}
-_IN_USE: list[str] = []
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library: its allocator decides for itself
+    _TRIM = None
 
 
-def take_memory(name: str, clear: Callable[[], None]) -> None:
-    """The memo ``name`` is about to be used in this worker: the other operators' memos are emptied, so that a worker that
-    serves one stage after the other holds one memo at a time."""
-    if _IN_USE == [name]:
-        return
+def register_memo(name: str, clear: Callable[[], None]) -> None:
+    """``clear`` empties the memo that functions marked ``@executor_task(name)`` use in this worker."""
     _MEMOS[name] = clear
-    for other, empty in _MEMOS.items():
-        if other != name:
-            empty()
-    _IN_USE[:] = [name]
+
+
+def release_memory() -> None:
+    """Hand unused memory of Arrow and of the C library back to the host."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def executor_task(*memos: str):
+    """Marks every function that runs in an executor's Python. Before it starts, the memos of other operators are emptied,
+    so a worker that serves one stage after the other holds those of one; when it ends, unused memory is given back."""
+
+    def mark(f):
+        def begin() -> None:
+            for name, clear in _MEMOS.items():
+                if name not in memos:
+                    clear()
+
+        def call(*args):
+            begin()
+            try:
+                return f(*args)
+            finally:
+                release_memory()
+
+        # Spark counts the arguments of a function over groups
+        if inspect.isgeneratorfunction(f):
+
+            def task(batches):
+                begin()
+                try:
+                    yield from f(batches)
+                finally:
+                    release_memory()
+
+        elif len(inspect.signature(f).parameters) == 1:
+
+            def task(group):
+                return call(group)
+
+        else:
+
+            def task(left, right):
+                return call(left, right)
+
+        return functools.update_wrapper(task, f, updated=())
+
+    return mark
 
 
 class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, memoised; ``trim`` bounds its memory between batches."""
+    """word (bytes) -> 64-bit hash, memoised in at most about ``limit`` bytes; a text adds its own words at most."""
+
+    #: A slot of the table, the number and the head of the key.
+    ENTRY = 170
 
     def __init__(self, name: str, limit: int):
         super().__init__()
-        self.name, self.limit = name, limit
+        self.limit, self.used = limit, 0
+        register_memo(name, self.empty)
+
+    def empty(self) -> None:
+        self.clear()
+        self.used = 0
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
         self[word] = h
+        self.used += self.ENTRY + len(word)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        take_memory(self.name, self.clear)
+        if self.used > self.limit:
+            self.empty()
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
-    def trim(self) -> None:
-        if len(self) > self.limit:
-            self.clear()
-
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

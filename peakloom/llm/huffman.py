@@ -23,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_path, segments, ship, stage, text_slices, unstage
+from .common import executor_task, read_table, scratch_path, segments, ship, stage, text_slices, unstage
 from .packing import tokenizer_path
-from .tokens import encoder
+from .tokens import MEMO, encoder
 
 MAX_BITS = 16
 CHECKPOINT = 512
@@ -148,6 +148,7 @@ def token_table(docs: DataFrame, path: str) -> DataFrame:
     last row with how often it had each id (``counts``)."""
     ship(docs.sparkSession)
 
+    @executor_task(MEMO)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, "byte")
         total = np.zeros(ALPHABET, dtype=np.int64)
@@ -166,6 +167,7 @@ def token_table(docs: DataFrame, path: str) -> DataFrame:
 def id_counts(tokens: DataFrame) -> np.ndarray:
     """Occurrences of every id over the whole table: the tasks' counts, summed; a row for each id and task at most."""
 
+    @executor_task()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ALPHABET, dtype=np.int64)
         for b in batches:
@@ -190,6 +192,7 @@ def write_token_files(docs: DataFrame, path: str, target: str) -> None:
     parts = max(1, -(-int(counts.sum()) // PART_IDS))
     sent_lengths, codes = lengths, canonical_codes(lengths)
 
+    @executor_task()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         held: list[tuple[int | None, int, bytes]] = []
@@ -232,6 +235,7 @@ def read_token_files(spark: SparkSession, source: str) -> DataFrame:
         base[p] = at
         at += n
 
+    @executor_task()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(lengths)
         for batch in batches:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, read_table, segments, ship, stage, text_batches, text_bytes, unstage
+from .common import WordHashes, executor_task, mix64, read_table, segments, ship, stage, text_batches, text_bytes, unstage
 
 FRAGMENT_SHINGLES = 2_000_000
 BATCH_SHINGLES = 700_000
@@ -36,7 +36,7 @@ BLOCK_IDS = 500_000
 PAIR_FRAGMENTS = 8
 #: Bytes of text to a shingle, for the number of fragments only.
 BYTES_PER_SHINGLE = 6
-_HASHES = WordHashes("shingles", 600_000)
+_HASHES = WordHashes("shingles", 90_000_000)
 
 _ROWS = pa.schema([("f", pa.int32()), ("sigs", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 ROWS_SCHEMA = "f int, sigs binary, counts binary, low binary, high binary"
@@ -66,6 +66,7 @@ def signature(words: list[bytes]) -> int | None:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id and signature of every document."""
 
+    @executor_task("shingles")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_batches(batches):
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([signature(text_bytes(t).lower().split()) for t in texts], pa.int64())], names=["doc_id", "sig"])
@@ -83,6 +84,7 @@ def _scatter(docs: DataFrame, k: int, bits: int, spreads: int) -> DataFrame:
         counts = np.diff(np.concatenate([cut, [len(sig)]])).astype("<u4")
         return [f, sig[cut].astype("<i8").tobytes(), counts.tobytes(), (h & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), ((h >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes()]
 
+    @executor_task("shingles")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, np.ndarray] = {}
         size = 0
@@ -97,7 +99,6 @@ def _scatter(docs: DataFrame, k: int, bits: int, spreads: int) -> DataFrame:
                 if size > BATCH_SHINGLES:
                     yield from emit(seen)
                     seen, size = {}, 0
-                    _HASHES.trim()
         if seen:
             yield from emit(seen)
 
@@ -161,6 +162,7 @@ def _by_spread(sig: np.ndarray, ids: np.ndarray, spreads: int) -> list[tuple]:
 
 
 def _shared_ids(bits: int, spreads: int):
+    @executor_task("shingles")
     def run(t: pa.Table) -> pa.Table:
         f = t.column("f")[0].as_py()
         sig = np.concatenate([np.frombuffer(x.as_py(), dtype="<i8") for x in t.column("sigs")])
@@ -200,6 +202,7 @@ def _shared_ids(bits: int, spreads: int):
 def _merge_classes(percent: int):
     """A spread's classes: all with their size; ids only of those with enough shared shingles, in blocks."""
 
+    @executor_task("shingles")
     def run(t: pa.Table) -> pa.Table:
         sizes, sigs, ids = [], [], []
         for r in t.select(["sigs", "counts", "low"]).to_pylist():
@@ -270,6 +273,7 @@ _BEST_SCHEMA = "f long, block long, ids binary, df binary, share binary, sizes b
 def _best_rows(blocks: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in _BEST_SCHEMA.split(", ")]
 
+    @executor_task("shingles")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -288,6 +292,7 @@ def _best_rows(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, _BEST_SCHEMA)
 
 
+@executor_task()
 def _lead(t: pa.Table) -> pa.Table:
     """How many classes have each id of a fragment, and which leads: for each block in the order it asked."""
     join = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), dtype=kind) for x in t.column(name)])
@@ -311,6 +316,7 @@ def _settle(percent: int):
     """Rows of classes that can still have a link, ids rarest first, with the number of ids in the prefix; and rows with
     a leader: overlaps with leaders summed over all fragments that reach the bar."""
 
+    @executor_task("shingles")
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for r in left.to_pylist():
@@ -402,6 +408,7 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     )
 
 
+@executor_task()
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for s, n in zip(b.column("sigs"), b.column("sizes"), strict=True):

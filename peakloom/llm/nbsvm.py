@@ -2,11 +2,12 @@
 
 Indicators of hashed n-grams (words, word pairs, word shapes, pairs of shapes, and repeats of the word before) are
 scaled by the log-count ratio of the classes, then a linear hinge-loss model is fitted by dual coordinate descent.
-Margins become scores by Platt's sigmoid. Fitting uses at most ``MAX_TRAIN`` labelled rows, chosen by the hash of
-their id (a documented bound); scoring covers every whole text.
+Margins become scores by Platt's sigmoid. Fitting uses at most ``MAX_TRAIN`` labelled rows and
+``MAX_TRAIN_BYTES`` of their texts, chosen by the hash of their id (a documented bound); scoring covers every whole text.
 
 Defined results: a null or empty text has no n-grams and scores by the intercept; with no labelled rows, or labels of
-one class, every score is 0.5 or that class's; repeated rows are scored each; other columns are never read.
+one class, every score is 0.5 or that class's; repeated rows are scored each and learned from once; other columns are
+never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, mix64, read_table, segments, ship, take_memory, text_batches
+from .common import crc_bucket, executor_task, mix64, read_table, register_memo, segments, ship, text_batches
 
 BITS = 18
-#: Labelled rows that the fit may use, and passes of coordinate descent over them.
+#: Labelled rows that the fit may use, bytes of their texts, and passes of coordinate descent over them.
 MAX_TRAIN = 6000
+MAX_TRAIN_BYTES = 64_000_000
 EPOCHS = 12
 ALPHA = 1.0
 C = 1.0
@@ -85,11 +87,11 @@ class WordTable(dict):
 
 
 _TABLE = WordTable()
+register_memo("words and shapes", _TABLE.__init__)
 
 
 def indicators(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(distinct hashed n-grams of all texts in order, number for each text)."""
-    take_memory("words and shapes", _TABLE.__init__)
     _TABLE.trim()
     words: list[str] = []
     counts = np.zeros(len(texts), dtype=np.int64)
@@ -120,7 +122,7 @@ def log_count_ratio(features: np.ndarray, counts: np.ndarray, labels: np.ndarray
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def dual_coordinate_descent(features: np.ndarray, counts: np.ndarray, values: np.ndarray, y: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(features: np.ndarray, counts: np.ndarray, values: np.ndarray, y: np.ndarray, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias of the L1 hinge loss with an L2 penalty; rows in a fixed shuffled order each pass."""
     w, bias = np.zeros(1 << bits), 0.0
     at = segments(counts)
@@ -131,7 +133,7 @@ def dual_coordinate_descent(features: np.ndarray, counts: np.ndarray, values: np
     n_pos = max(1, int((y > 0).sum()))
     upper = np.where(y > 0, C * len(y) / (2 * n_pos), C * len(y) / (2 * max(1, len(y) - n_pos)))
     rng = np.random.default_rng(7)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for i in rng.permutation(len(y)):
             f, v = rows[i]
             gradient = y[i] * (float(w[f] @ v) + bias) - 1.0
@@ -194,17 +196,28 @@ def fit(features: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> Model:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """doc_id, label and text of at most ``max_train`` labelled rows outside the held-out fold, least hash first."""
-    ours = labels.where(F.col("quality").isNotNull() & (crc_bucket(F.col("doc_id"), 3) != 1)).select("doc_id", "quality")
+def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
+    """doc_id, quality and text of labelled rows outside the held-out fold, least hash of the id first: at most
+    ``max_train`` rows, and none that would bring their texts over ``max_bytes``. Equal rows count once."""
+    ours = labels.where(F.col("quality").isNotNull() & (crc_bucket(F.col("doc_id"), 3) != 1)).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     chosen = ours.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    # an id may have many rows: they are numbered without their texts, a bounded list
+    sizes = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).distinct()
+    used, picked = 0, []
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "h").limit(max_train).collect():
+        if used + r["n"] <= max_bytes:
+            used += r["n"]
+            picked.append((r["doc_id"], r["quality"], r["h"]))
+    keys = docs.sparkSession.createDataFrame(picked, "doc_id long, quality int, h long")
+    return own.join(F.broadcast(keys), ["doc_id", "h"]).groupBy("doc_id", "quality", "h").agg(F.first("text").alias("text")).drop("h")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Executors turn the chosen texts into n-gram ids; the driver gets those of at most ``max_train`` rows."""
+    """Executors turn the chosen texts into n-gram ids; the driver gets those of the bounded rows."""
     ship(docs.sparkSession)
 
+    @executor_task("words and shapes")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f, n = indicators(b.column("text").to_pylist())
@@ -224,6 +237,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ship(docs.sparkSession)
     weights, rest = model.weights.astype(np.float32), (model.bias, model.slope, model.intercept)
 
+    @executor_task("words and shapes")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(weights, *rest)
         for ids, texts in text_batches(batches):
@@ -237,6 +251,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     ship(docs.sparkSession)
     weights, rest = model.weights.astype(np.float32), (model.bias, model.slope, model.intercept)
 
+    @executor_task("words and shapes")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(weights, *rest)
         for b in batches:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, crc_bucket, read_table, scratch_path, segments, ship, text_batches, text_bytes
+from .common import WordHashes, crc_bucket, executor_task, read_table, scratch_path, segments, ship, text_batches, text_bytes
 
 DISCOUNT = 0.75
 #: Quantisation of log10 values: 16 bits over this range.
@@ -34,7 +34,7 @@ LOWEST = -16.0
 
 SHARD_TOKENS = 5_000_000
 BYTES_PER_TOKEN = 6
-_HASHES = WordHashes("tokens", 1_000_000)
+_HASHES = WordHashes("tokens", 120_000_000)
 
 
 # --- bit sequences and Elias-Fano code -------------------------------------------------------------------------
@@ -263,7 +263,6 @@ class Model:
 
 def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all tokens, each text with its end; number for each text)."""
-    _HASHES.trim()
     every: list[bytes] = []
     n = np.zeros(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
@@ -288,6 +287,7 @@ def _by_shard(key: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
 def _word_counts(docs: DataFrame, bits: int) -> DataFrame:
     """Each task's distinct words with counts, by shard of the hash."""
 
+    @executor_task("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -318,6 +318,7 @@ def _join(t: pa.Table, name: str, kind: str) -> np.ndarray:
 
 
 def _write_words(folder: str):
+    @executor_task("tokens")
     def run(t: pa.Table) -> pa.Table:
         s = t.column("s")[0].as_py()
         u, at = np.unique(_join(t, "a", "<u8"), return_inverse=True)
@@ -331,6 +332,7 @@ def _write_words(folder: str):
 def _pair_counts(docs: DataFrame, model: Model) -> DataFrame:
     """Distinct (context, word) id pairs of each batch with counts, by shard of the context."""
 
+    @executor_task("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_batches(batches, 4_000_000):
             words, n = token_hashes(texts)
@@ -353,6 +355,7 @@ def _pair_counts(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _write_pairs(model: Model):
+    @executor_task("tokens")
     def run(t: pa.Table) -> pa.Table:
         s = t.column("s")[0].as_py()
         keys, counts = [], []
@@ -429,6 +432,7 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     ship(docs.sparkSession)
 
+    @executor_task("tokens")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_batches(batches):
             yield pa.record_batch([pa.array(c, t) for c, t in zip((ids, *model.score(texts)), _SCORED.types, strict=True)], schema=_SCORED)

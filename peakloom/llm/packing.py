@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, segments, ship, stage, text_slices
-from .tokens import encoder
+from .common import executor_task, read_table, segments, ship, stage, text_slices
+from .tokens import MEMO, encoder
 
 CAPACITY = 4096
 PIECES_PER_PARTITION = 40_000
@@ -35,6 +35,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
     """Pieces of at most ``capacity`` ids of every document; ids themselves stay in the task that made them."""
     ship(docs.sparkSession)
 
+    @executor_task(MEMO)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, "word")
         for ids, texts in text_slices(batches):
@@ -108,6 +109,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack_round(pieces: DataFrame, partitions: int, round_no: int, last: bool, capacity: int) -> DataFrame:
     """One round: pack each partition; rows whose bin is given up come back with a null sequence_id."""
 
+    @executor_task()
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         lengths = pdf["length"].to_numpy(np.int64)

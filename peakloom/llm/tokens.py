@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ranges, segments, take_memory
+from .common import ranges, register_memo, segments
 
 AFTER_LINE, FIRST = "\n", "\r"
 #: \x1c-\x1f are white space to Python alone.
@@ -27,7 +27,9 @@ _WITHOUT_SEPARATOR = re.compile("[^\x01]*\\Z").match
 class ChunkEncoder(dict):
     """key of a chunk -> index into arrays of start and length of its ids; -1 for keys that need the whole text."""
 
-    LIMIT = 1_250_000
+    #: Bytes of the memo; a slice of texts adds its own words at most. An entry has a slot of the table, a number and the head of its key.
+    LIMIT = 180_000_000
+    ENTRY = 190
 
     def __init__(self, path: str, style: str):
         super().__init__()
@@ -47,15 +49,20 @@ class ChunkEncoder(dict):
 
     def _reset(self) -> None:
         self.clear()
+        self.key_bytes = 0
         self[FIRST] = 0  # an empty text
         self.n = 1
         self.pending: list[str] = []
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 12, dtype=np.int64)
-        self.length = np.zeros(1 << 12, dtype=np.int64)
+        self.start = np.zeros(1 << 12, dtype=np.int32)
+        self.length = np.zeros(1 << 12, dtype=np.int32)
         self.batches = np.zeros(1 << 12, dtype=np.uint8)
 
+    def size(self) -> int:
+        """Bytes in use, about."""
+        return len(self) * self.ENTRY + self.key_bytes + self.flat.nbytes + self.start.nbytes + self.length.nbytes + self.batches.nbytes
+
     def _prune(self) -> None:
         """Keep the chunks that more than one batch had: those that come once are most of the memo and no use to it."""
         items = [(k, i) for k, i in self.items() if i > 0 and self.batches[i] > 1]
@@ -63,15 +70,17 @@ class ChunkEncoder(dict):
         start, length, flat = self.start[old], self.length[old], self.flat
         batches = self.batches[old]
         self._reset()
-        if len(items) > self.LIMIT // 2:
+        if len(items) * self.ENTRY > self.LIMIT // 2:
             return
         for k, _ in items:
             self[k] = self.n
             self.n += 1
+            self.key_bytes += len(k)
         self._store(0, flat[ranges(start, length)], length)
         self.batches[: self.n] = np.minimum(batches, 1)
 
     def __missing__(self, key: str) -> int:
+        self.key_bytes += len(key)
         if not self.plain(key):
             self[key] = -1
             return -1
@@ -127,7 +136,7 @@ class ChunkEncoder(dict):
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, number of ids of each text); a null text is empty."""
-        if len(self) > self.LIMIT:
+        if self.size() > self.LIMIT:
             self._prune()
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not len(texts):
@@ -136,18 +145,23 @@ class ChunkEncoder(dict):
         counts = pc.list_value_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = keys.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        found = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        found = np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
         if self.pending:
             self._encode_pending()
         mine = found[found >= 0]
         self.batches[mine] = np.minimum(self.batches[mine], 200) + 1
-        index = found[coded.indices.to_numpy(zero_copy_only=False)]
+        index = found.take(coded.indices.to_numpy(zero_copy_only=False))
         if len(found) and found.min() < 0:
             return self._encode_some_whole(texts, index, counts)
         lens = self.length[index]
-        ends = segments(lens)
+        ends = np.cumsum(lens, dtype=np.int64)
+        total = int(ends[-1])
+        small = np.int32 if total < 1 << 31 and self.used < 1 << 31 else np.int64
+        at = np.repeat((self.start[index] - (ends - lens)).astype(small), lens)
+        at += np.arange(total, dtype=small)
+        ends = np.concatenate([[0], ends])
         cut = segments(counts)
-        return self.flat[ranges(self.start[index], lens)], ends[cut[1:]] - ends[cut[:-1]]
+        return self.flat.take(at), ends[cut[1:]] - ends[cut[:-1]]
 
     def _encode_some_whole(self, texts: pa.Array, index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = segments(counts)
@@ -164,11 +178,21 @@ class ChunkEncoder(dict):
 
 
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
+#: The memo of token ids, one for a worker's tokenizers.
+MEMO = "token ids"
+
+
+def _empty() -> None:
+    for e in _ENCODERS.values():
+        e._reset()
+
+
+register_memo(MEMO, _empty)
 
 
 def encoder(path: str, style: str) -> ChunkEncoder:
     """This worker's encoder, kept from task to task."""
     if (path, style) not in _ENCODERS:
+        _empty()
         _ENCODERS[path, style] = ChunkEncoder(path, style)
-    take_memory(f"ids of {path}", _ENCODERS[path, style]._reset)
     return _ENCODERS[path, style]

@@ -96,6 +96,46 @@ def test_the_fold_is_not_learned(spark, docs_of):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in used)
 
 
+def test_training_is_bounded_in_rows_and_bytes(spark, docs_of):
+    ours = next(i for i in range(3, 9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    rows = [(ours, f"text {i}") for i in range(50)] + [(ours, "same")] * 50 + [(i, "x" * 100) for i in range(10, 40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in [ours, *range(10, 40)]] * 2, "doc_id long, quality int")
+    assert nbsvm.training_rows(docs_of(rows), labels.where("doc_id < 10"), 20).count() == 20
+    assert nbsvm.training_rows(docs_of(rows), labels, 12).count() == 12
+    assert nbsvm.training_rows(docs_of(rows), labels.where("doc_id < 10")).count() == 51
+    assert nbsvm.training_rows(docs_of(rows), labels.where("doc_id > 9"), 1000, 750).count() == 7
+    assert nbsvm.training_rows(docs_of([(ours, None)]), labels).collect()[0].text is None
+
+
+def test_ratios_and_dual_against_plain_solutions():
+    rng = np.random.default_rng(12)
+    bits, n = 6, 80
+    labels = rng.integers(0, 2, n)
+    rows = [np.unique(np.concatenate([rng.integers(0, 40, 6), 40 + 10 * q + rng.integers(0, 10, 2)])) for q in labels]
+    counts, features = np.array([len(r) for r in rows]), np.concatenate(rows)
+    p, q = Counter(), Counter()
+    for r, y in zip(rows, labels, strict=True):
+        (p if y else q).update(r.tolist())
+    size = 1 << bits
+    np_, nq = sum(p.values()) + size, sum(q.values()) + size
+    want = [math.log(((p[i] + 1) / np_) / ((q[i] + 1) / nq)) for i in range(size)]
+    ratio = nbsvm.log_count_ratio(features, counts, labels, bits)
+    assert np.allclose(ratio, want)
+    y = np.where(labels > 0, 1.0, -1.0)
+    values = ratio[features]
+    x = np.zeros((n, size + 1))
+    x[np.repeat(np.arange(n), counts), features] = values
+    x[:, -1] = 1
+    upper = np.where(y > 0, n / (2 * (y > 0).sum()), n / (2 * (y < 0).sum()))
+    # projected gradient on the dual, to convergence
+    k = (y[:, None] * x) @ (y[:, None] * x).T
+    a = np.zeros(n)
+    for _ in range(40_000):
+        a = np.clip(a - (k @ a - 1) / np.linalg.norm(k, 2), 0, upper)
+    w, bias = nbsvm.dual_coordinate_descent(features, counts, values, y, bits, 600)
+    assert np.allclose(np.append(w, bias), (a * y) @ x, atol=1e-3)
+
+
 @pytest.mark.parametrize("marks", [[], [(1, 1)]])
 def test_labels_of_one_class_or_none(spark, docs_of, marks):
     docs = docs_of([(1, "a b"), (2, "")])

@@ -29,7 +29,7 @@ def test_memo_gives_the_library_s_ids(enc, texts):
 
 def test_pruned_memo_gives_the_same_ids(enc):
     rng = np.random.default_rng(4)
-    old, enc.LIMIT = enc.LIMIT, 300
+    old, enc.LIMIT = enc.LIMIT, 500_000
     try:
         for i in range(12):
             texts = [" ".join(words(rng, 40, 2000)) + "\nEnd." for _ in range(8)] + [None, "", "a  b"][: i % 4]
