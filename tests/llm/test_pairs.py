@@ -6,7 +6,7 @@ import pytest
 
 from peakloom.llm import suffix_dedup
 from peakloom.llm.jaccard_join import connected, jaccard_components
-from peakloom.llm.suffix_dedup import LENGTH, anchors, cut_documents, dedup_substrings, merge_runs, multikey_sort
+from peakloom.llm.suffix_dedup import LENGTH, anchors, cut_documents, dedup_substrings, merge_runs, multikey_quicksort, splitters
 
 from .conftest import ODD, words
 
@@ -82,7 +82,7 @@ def brute_cut(rows):
     return sorted(out)
 
 
-def test_cut_matches_brute_force(docs_of):
+def test_cut_matches_brute_force(docs_of, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [r for r in ODD if r[0] != 7] + [(7, "long " * 60), (70, "long " * 40)]
     pool = [" ".join(words(rng, 14, 30)) for _ in range(6)]
@@ -91,8 +91,15 @@ def test_cut_matches_brute_force(docs_of):
         parts.insert(1, pool[int(rng.integers(0, 6))][int(rng.integers(0, 9)) :])
         rows.append((100 + i * 3 % 97, "é".join(parts)))
     rows += [(500, rows[20][1]), (501, rows[20][1] + "x"), (502, "x" + rows[20][1])]
-    got = sorted((r.doc_id or -1, r.dedup_bytes, r.dedup_removed, r.dedup_spans, hashlib.sha256(r.dedup_kept).hexdigest()) for r in dedup_substrings(docs_of(rows)).collect())
-    assert got == brute_cut(rows)
+    want = brute_cut(rows)
+    one = dedup_substrings(docs_of(rows))
+    small = dict(BLOCK_BYTES=900, FRAGMENT_ANCHORS=40, BUCKET_TEXT=3000, BUCKET_SAMPLES=400, SORT_WINDOWS=200, HOT_ROWS=150)
+    for options in ({}, small, {**small, "HOT": 3}, {**small, "HOT": 0, "HOT_ROWS": 40, "MOST_FRAGMENTS": 2}):
+        with monkeypatch.context() as m:
+            for k, v in options.items():
+                m.setattr(suffix_dedup, k, v)
+            got = dedup_substrings(docs_of(rows, 5)) if options else one
+            assert sorted((r.doc_id or -1, r.dedup_bytes, r.dedup_removed, r.dedup_spans, hashlib.sha256(r.dedup_kept).hexdigest()) for r in got.collect()) == want
 
 
 def placed(spark, parts):
@@ -139,20 +146,29 @@ def test_anchor_of_equal_windows_is_equal():
     finally:
         suffix_dedup.CHUNK = old
     where = []
-    for fp, ch, _, lo, hi, at in cols:
+    for fp, _, lo, hi, at in cols:
         where.append({int(w): (int(f), int(p) - int(w)) for f, l, h, p in zip(fp, lo, hi, at, strict=True) for w in range(int(l), int(h) + 1)})
-        assert len(ch) == len(fp)
     assert all(where[0][300 + i] == where[1][1000 + i] for i in range(200 - LENGTH + 1))
     assert all(len(w) == 4000 - LENGTH + 1 for w in where)
 
 
-def test_multikey_sort():
+@pytest.mark.parametrize("cuts", [[0], [0, 100, 100, 350]])
+def test_multikey_quicksort(cuts):
     rng = np.random.default_rng(8)
-    cols = [rng.integers(0, 3, 500).astype(np.uint64) for _ in range(4)]
-    order, run = multikey_sort(cols)
-    rows = [tuple(int(c[i]) for c in cols) for i in order]
-    assert rows == sorted(rows)
-    assert len(set(rows)) == run[-1] + 1
+    words_ = rng.integers(0, 3, (500, 4)).astype(np.uint64)
+    starts = np.array(cuts)
+    order, new = multikey_quicksort(words_, starts, np.diff(np.append(starts, 500)))
+    rows = [tuple(words_[i].tolist()) for i in order]
+    for a, b in zip(cuts, [*cuts[1:], 500], strict=True):
+        assert sorted(order[a:b].tolist()) == list(range(a, b))
+        assert rows[a:b] == sorted(rows[a:b])
+        assert int(new[a:b].sum()) == len(set(rows[a:b]))
+
+
+def test_splitters_part_the_weight():
+    lead = [bytes([97 + i]) * 16 for i in range(20)]
+    got = splitters([(b"".join(lead), np.ones(20, "<i8").tobytes())], 4)
+    assert got.tolist() == [lead[4], lead[9], lead[14]]
 
 
 def test_merge_runs():
