@@ -39,11 +39,11 @@ LENGTH, K = 50, 16
 CONTEXT = 2 * LENGTH - K
 BLOCK_BYTES = 2_500_000
 CHUNK = 1 << 19
-FRAGMENT_ANCHORS = 500_000
+FRAGMENT_ANCHORS = 200_000
 #: Fragments beyond this number hold more anchors each, and are judged range by range.
 MOST_FRAGMENTS = 1 << 17
 #: Bytes of text to a bucket, sampled anchors to a bucket, windows sorted at a time.
-BUCKET_TEXT = 32_000_000
+BUCKET_TEXT = 16_000_000
 BUCKET_SAMPLES = 64
 SORT_WINDOWS = 400_000
 #: Contexts of an anchor from which its windows are dealt one by one, and rows of a range of those.
@@ -216,7 +216,7 @@ def _judge(hot: int, at_once: int):
         state = [np.zeros(len(x), dtype=np.uint8) for x in low]
         weight = [np.zeros(len(x), dtype=np.int64) for x in low]
         total = sum(len(x) for x in low)
-        parts = max(1, total // (at_once))
+        parts = max(1, total // at_once)
         edges = [(1 << 48) * i // parts for i in range(parts + 1)]
         values = [(h.astype(np.uint64) << np.uint64(32)) | x for h, x in zip(high, low, strict=True)] if parts == 1 else None
         for p in range(parts):
@@ -530,66 +530,105 @@ def _sort_bucket(at_once: int):
 
 # --- windows of hot anchors --------------------------------------------------------------------------------------
 
-_WINDOW_SCHEMA = "w binary, block long, doc long, places binary, edge boolean"
-_WINDOW = pa.schema([("w", pa.binary()), ("block", pa.int64()), ("doc", pa.int64()), ("places", pa.binary()), ("edge", pa.bool_())])
+#: A window and its block, in one order.
+_KEY = LENGTH + 8
 
 
-@executor_task()
-def _unpack_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            k = np.frombuffer(r["e"], dtype="<u4")
-            doc = np.frombuffer(r["d"], dtype="<i8")[k]
-            g = np.frombuffer(r["g"], dtype="<u4")
-            z = 4 * segments(g[: len(k)].astype(np.int64))
-            raw = g[len(k) :].tobytes()
-            w = [r["a"][i : i + LENGTH] for i in range(0, len(r["a"]), LENGTH)]
-            yield pa.record_batch([pa.array(w, pa.binary()), pa.array([r["block"]] * len(k), pa.int64()), pa.array(doc), pa.array([raw[x:y] for x, y in zip(z[:-1], z[1:], strict=True)], pa.binary()), pa.nulls(len(k), pa.bool_())], schema=_WINDOW)
+class Windows:
+    """The windows of some rows of kind 2: bytes, block, id, and places of each."""
+
+    def __init__(self, rows: list[dict]):
+        number = [len(r["e"]) // 4 for r in rows]
+        self.bytes = np.frombuffer(b"".join(r["a"] for r in rows), dtype=np.uint8).reshape(-1, LENGTH)
+        self.block = np.repeat(np.array([r["block"] for r in rows], dtype=np.int64), number)
+        self.doc = np.concatenate([np.frombuffer(r["d"], dtype="<i8")[np.frombuffer(r["e"], dtype="<u4")] for r in rows])
+        g = [np.frombuffer(r["g"], dtype="<u4").astype(np.int64) for r in rows]
+        self.n = np.concatenate([x[:k] for x, k in zip(g, number, strict=True)])
+        self.places = np.concatenate([x[k:] for x, k in zip(g, number, strict=True)])
+
+    def keys(self) -> np.ndarray:
+        both = np.concatenate([self.bytes, self.block.astype(">i8").view(np.uint8).reshape(-1, 8)], axis=1)
+        return np.ascontiguousarray(both).view(f"S{_KEY}").ravel()
+
+    def found(self, which: np.ndarray) -> list[tuple]:
+        times, at = _at_places(which, self.n, self.places)
+        return _found(np.repeat(self.block[which], times), at, at + LENGTH)
+
+
+def _sample_windows(stride: int):
+    @executor_task()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            if rows:
+                yield pa.record_batch([pa.array([np.sort(Windows([r]).keys())[stride // 2 :: stride].tobytes() for r in rows], pa.binary())], names=["keys"])
+
+    return run
+
+
+def _deal_windows(split: np.ndarray):
+    @executor_task()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                w = Windows([r])
+                bucket = np.searchsorted(split, w.keys(), side="right")
+                by = np.argsort(bucket, kind="stable")
+                rows = []
+                for x in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+                    times, at = _at_places(x, w.n, w.places)
+                    rows.append(_row(2, int(bucket[x[0]]), r["block"], w.bytes[x], np.zeros(0), np.zeros(0), w.doc[x], times, at))
+                yield from _table(rows).to_batches()
+
+    return run
 
 
 @executor_task()
-def _sort_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range's windows, sorted: those with a smaller document come out; the first and last runs come out whole, as edges."""
-    held = list(batches)
-    if not sum(b.num_rows for b in held):
-        return
-    t = pa.Table.from_batches(held).combine_chunks()
-    del held
-    buf = np.concatenate([np.frombuffer(b"".join(x.as_py() for x in t.column("w")), dtype=np.uint8), np.zeros(8, dtype=np.uint8)])
-    doc = t.column("doc").to_numpy()
-    order, new = multikey_quicksort(_words(buf, np.arange(t.num_rows) * LENGTH, LENGTH), *_whole(t.num_rows))
+def _sort_windows(t: pa.Table) -> pa.Table:
+    """A range's windows, sorted: what has a smaller document comes out, and the first and the last run as edges (kind 3;
+    a: the window, block: the run's least document, b: blocks, d: ids, e: numbers of places, g: places)."""
+    w = Windows(t.to_pylist())
+    buf = np.concatenate([w.bytes.ravel(), np.zeros(8, dtype=np.uint8)])
+    order, new = multikey_quicksort(_words(buf, np.arange(len(w.doc)) * LENGTH, LENGTH), *_whole(len(w.doc)))
     at = np.flatnonzero(new)
+    least = np.minimum.reduceat(w.doc[order], at)
     size = np.diff(np.append(at, len(order)))
-    least = np.repeat(np.minimum.reduceat(doc[order], at), size)
-    edge = np.zeros(len(order), dtype=bool)
-    edge[: size[0]] = True
-    edge[len(order) - size[-1] :] = True
-    out = edge | (doc[order] > least)
-    t = t.take(pa.array(order[out])).drop_columns(["edge"]).append_column("edge", pa.array(edge[out]))
-    yield from t.to_batches(max_chunksize=50_000)
+    edges = sorted({0, len(at) - 1})
+    inner = w.doc[order] > np.repeat(least, size)
+    out = []
+    for k in edges:
+        x = order[at[k] : at[k] + size[k]]
+        inner[at[k] : at[k] + size[k]] = False
+        times, places = _at_places(x, w.n, w.places)
+        out.append((3, t.column("bucket")[0].as_py(), int(least[k]), w.bytes[x[0]].tobytes(), w.block[x].astype("<i8").tobytes(), None, w.doc[x].astype("<i8").tobytes(), times.astype("<u4").tobytes(), places.astype("<u4").tobytes()))
+    return _table(w.found(order[inner]) + out)
 
 
 @executor_task()
-def _windows_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        raw = b.column("places").to_pylist()
-        at = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int64)
-        block = np.repeat(b.column("block").to_numpy(), [len(x) // 4 for x in raw])
-        yield from _table(_found(block, at, at + LENGTH)).to_batches()
+def _edges_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            later = np.flatnonzero(np.frombuffer(r["d"], dtype="<i8") > r["least"])
+            times, at = _at_places(later, np.frombuffer(r["e"], dtype="<u4").astype(np.int64), np.frombuffer(r["g"], dtype="<u4").astype(np.int64))
+            yield from _table(_found(np.repeat(np.frombuffer(r["b"], dtype="<i8")[later], times), at, at + LENGTH)).to_batches()
 
 
 def _hot_windows(windows: DataFrame) -> DataFrame:
     """What sorting the windows of hot anchors finds. Equal windows of many blocks may be cut by a range's end: the runs
-    at the ends of each range (two rows of leading bytes for each) are compared across all of them."""
-    rows = stage(windows.mapInArrow(_unpack_windows, _WINDOW_SCHEMA), "windows")
-    n = max(1, -(-rows.count() // HOT_ROWS))
-    done = stage(rows.repartitionByRange(n, "w", "block").mapInArrow(_sort_windows, _WINDOW_SCHEMA), "sorted-windows")
-    edges = done.where("edge")
-    least = edges.groupBy("w").agg(F.min("doc").alias("least"))
-    across = edges.join(least, "w").where("doc > least").drop("least")
-    return done.where("NOT edge").unionByName(across).mapInArrow(_windows_found, _DEALT_SCHEMA)
+    at the ends of each range are compared across all of them."""
+    total = windows.agg(F.sum(F.length("e") / 4)).first()[0] or 0
+    n = int(total // HOT_ROWS) + 1
+    split = np.zeros(0, dtype=f"S{_KEY}")
+    if n > 1:
+        keys = [r["keys"] for r in windows.mapInArrow(_sample_windows(max(1, HOT_ROWS // 64)), "keys binary").collect()]
+        keys = np.sort(np.frombuffer(b"".join(keys), dtype=f"S{_KEY}"))
+        split = np.unique(keys[len(keys) * np.arange(1, n) // n]) if len(keys) else split
+    dealt = windows.mapInArrow(_deal_windows(split), _DEALT_SCHEMA).repartition(n, "bucket")
+    done = stage(dealt.groupBy("bucket").applyInArrow(_sort_windows, _DEALT_SCHEMA), "windows")
+    edges = done.where("kind = 3")
+    least = edges.groupBy("a").agg(F.min("block").alias("least"))
+    across = edges.join(least, "a").select("least", "b", "d", "e", "g").mapInArrow(_edges_found, _DEALT_SCHEMA)
+    return done.where("kind = 0").unionByName(across)
 
 
 # --- the cut -----------------------------------------------------------------------------------------------------
@@ -651,10 +690,10 @@ def dedup_substrings(docs: DataFrame, also: list[str] | None = None, as_text: bo
     buckets = max(1, -(-size // BUCKET_TEXT))
     sample = max(0, (BUCKET_TEXT // 17 // BUCKET_SAMPLES // 8).bit_length())
     blocks = stage(_blocks(docs), "blocks")
-    states = stage(_anchor_rows(blocks, bits, sample).groupBy("f").applyInArrow(_judge(HOT, 4 * FRAGMENT_ANCHORS), _STATE_SCHEMA), "states")
+    states = stage(_anchor_rows(blocks, bits, sample).repartition(1 << bits, "f").groupBy("f").applyInArrow(_judge(HOT, 10 * FRAGMENT_ANCHORS), _STATE_SCHEMA), "states")
     split = splitters([(r["state"], r["weights"]) for r in states.where("block IS NULL").select("state", "weights").collect()] if buckets > 1 else [], buckets)
     dealt = blocks.groupBy("block").cogroup(states.where("block IS NOT NULL").groupBy("block")).applyInArrow(_deal(bits, split), _DEALT_SCHEMA)
-    found = stage(dealt.groupBy("bucket").applyInArrow(_sort_bucket(SORT_WINDOWS), _DEALT_SCHEMA), "found")
+    found = stage(dealt.repartition(len(split) + 1, "bucket").groupBy("bucket").applyInArrow(_sort_bucket(SORT_WINDOWS), _DEALT_SCHEMA), "found")
     removed = found.where("kind = 0").select("block", "a", "b")
     windows = found.where("kind = 2")
     if not windows.isEmpty():

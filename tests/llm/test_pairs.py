@@ -93,6 +93,10 @@ def test_cut_matches_brute_force(docs_of, monkeypatch):
     rows += [(500, rows[20][1]), (501, rows[20][1] + "x"), (502, "x" + rows[20][1])]
     want = brute_cut(rows)
     one = dedup_substrings(docs_of(rows))
+    hot, ranges_ = [], []
+    deal, windows = suffix_dedup._deal_windows, suffix_dedup._hot_windows
+    monkeypatch.setattr(suffix_dedup, "_hot_windows", lambda w: hot.append(w.count()) or windows(w))
+    monkeypatch.setattr(suffix_dedup, "_deal_windows", lambda split: ranges_.append(len(split) + 1) or deal(split))
     small = dict(BLOCK_BYTES=900, FRAGMENT_ANCHORS=40, BUCKET_TEXT=3000, BUCKET_SAMPLES=400, SORT_WINDOWS=200, HOT_ROWS=150)
     for options in ({}, small, {**small, "HOT": 3}, {**small, "HOT": 0, "HOT_ROWS": 40, "MOST_FRAGMENTS": 2}):
         with monkeypatch.context() as m:
@@ -100,6 +104,9 @@ def test_cut_matches_brute_force(docs_of, monkeypatch):
                 m.setattr(suffix_dedup, k, v)
             got = dedup_substrings(docs_of(rows, 5)) if options else one
             assert sorted((r.doc_id or -1, r.dedup_bytes, r.dedup_removed, r.dedup_spans, hashlib.sha256(r.dedup_kept).hexdigest()) for r in got.collect()) == want
+    assert len(hot) == 2
+    assert min(hot) > 0
+    assert min(ranges_) > 3
 
 
 def placed(spark, parts):
@@ -134,6 +141,10 @@ def test_cut_documents_keeps_columns_and_empty_texts(docs_of):
     assert out.schema == docs.schema
     assert {r.doc_id: r.text for r in out.collect()} == {1: t, 3: "", 4: None, 5: "é" * 30}
     assert cut_documents(docs_of([])).collect() == []
+    clash = docs.withColumnsRenamed({"lang": "dedup_removed", "source": "Dedup_Kept"})
+    again = cut_documents(clash)
+    assert again.schema == clash.schema
+    assert {r.doc_id: (r.text, r.dedup_removed) for r in again.collect()} == {1: (t, "en"), 3: ("", "en"), 4: (None, "en"), 5: ("é" * 30, "en")}
 
 
 def test_anchor_of_equal_windows_is_equal():
