@@ -13,6 +13,8 @@ def cut(df: DataFrame) -> DataFrame:
     follows plans over rows, not over everything before them, and a lost executor costs nothing."""
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(Path(tempfile.mkdtemp(prefix="peakloom-")).as_uri())
     elif sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))

@@ -75,31 +75,53 @@ def local_linear(x: np.ndarray, y: np.ndarray, at: np.ndarray, bandwidth: float,
     return out
 
 
-def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = LOESS_SPAN, robust: int = 4) -> np.ndarray:
-    """Local regression of degree 1 with tricube weights and bisquare re-weighting; nan outside the range of x."""
+def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = LOESS_SPAN, robust: int = 4, block: int = 512) -> np.ndarray:
+    """Local regression of degree 1 with tricube weights and bisquare re-weighting; nan outside the range of x. The nearest
+    rows of a point are neighbours in the order of x, so each point looks at its own window alone, a block of points at a time."""
+    by = np.argsort(x, kind="stable")
+    x, y = x[by], y[by]
     n = len(x)
     k = max(2, min(n, int(np.floor(span * n + 1e-9))))
     robustness = np.ones(n)
 
-    def fit(points: np.ndarray) -> np.ndarray:
-        d = x[None, :] - points[:, None]
-        a = np.abs(d)
-        h = np.maximum(np.partition(a, k - 1, axis=1)[:, k - 1], 1e-12)
-        w = np.clip(1 - np.minimum(a / h[:, None], 1) ** 3, 0, 1) ** 3 * robustness
-        s0, s1, s2 = w.sum(1), (w * d).sum(1), (w * d * d).sum(1)
-        t0, t1 = (w * y).sum(1), (w * d * y).sum(1)
-        det = s0 * s2 - s1 * s1
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(det > 1e-12 * np.maximum(s0 * s2, 1e-300), (s2 * t0 - s1 * t1) / det, t0 / s0)
-
+    def windows(points: np.ndarray) -> np.ndarray:
+        """First row of the k nearest of each point."""
+        lo, hi = np.zeros(len(points), dtype=np.int64), np.full(len(points), n - k)
+        while (lo < hi).any():
+            mid = (lo + hi) >> 1
+            right = points - x[mid] > x[np.minimum(mid + k, n - 1)] - points
+            lo, hi = np.where(right & (lo < hi), mid + 1, lo), np.where(right, hi, mid)
+        return lo
+
+    def fit(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+        out = np.empty(len(points))
+        for s in range(0, len(points), block):
+            rows = first[s : s + block, None] + np.arange(k)
+            d = x[rows] - points[s : s + block, None]
+            a = np.abs(d)
+            h = np.maximum(a.max(axis=1), 1e-12)
+            u = a / h[:, None]
+            w = 1 - u * u * u
+            w = w * w * w * robustness[rows]
+            wd, wy = w * d, w * y[rows]
+            s0, s1, s2 = w.sum(1), wd.sum(1), (wd * d).sum(1)
+            t0, t1 = wy.sum(1), (wy * d).sum(1)
+            det = s0 * s2 - s1 * s1
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[s : s + block] = np.where(det > 1e-12 * np.maximum(s0 * s2, 1e-300), (s2 * t0 - s1 * t1) / det, t0 / s0)
+        return out
+
+    own = windows(x)
     for _ in range(robust - 1):
-        r = y - fit(x)
+        r = y - fit(x, own)
         scale = 6 * np.median(np.abs(r))
         if not scale > 1e-12:
             break
         robustness = np.clip(1 - (r / scale) ** 2, 0, None) ** 2
-    out = fit(at)
-    return np.where((at >= x.min()) & (at <= x.max()), out, np.nan)
+    inside = (at >= x[0]) & (at <= x[-1])
+    out = np.full(len(at), np.nan)
+    out[inside] = fit(at[inside], windows(at[inside]))
+    return out
 
 
 def normalize_by_group(marked: DataFrame, min_iset: int, method: str) -> DataFrame:

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MAD_SCALE
+from ..lineage import cut
 from .aggregate import feature_median, feature_presence, retained_samples, to_log2, variation
 
-#: Cells of the candidate grid (candidates x samples) that the driver takes; a larger one is refused.
+#: Cells of the candidate grid (candidates x samples) that the driver takes; a larger one stays on the executors.
 GRID_LIMIT = 20_000_000
 
 
@@ -23,9 +26,20 @@ def candidates(cells: DataFrame, p_features: float = 10.0, p_sample: float = 50.
     return feature_presence(kept, p_sample).join(variation(kept, "feature").select("feature", "cv"), "feature").join(feature_median(kept).withColumnRenamed("ref", "median_x"), "feature")
 
 
+def rank_candidates(cells: DataFrame, p_features: float = 10.0, p_sample: float = 50.0, top: int = 100) -> DataFrame:
+    """The ``top`` candidates of least variation (unknown ones last, ties by feature)."""
+    return _least(candidates(cells, p_features, p_sample), top)
+
+
+def _least(found: DataFrame, n: int) -> DataFrame:
+    return found.orderBy(F.col("cv").asc_nulls_last(), "feature").limit(n)
+
+
 def search_normalizers(cells: DataFrame, p_features: float = 10.0, p_sample: float = 50.0, min_normalizers: int = 100) -> DataFrame:
-    """The ``min_normalizers`` candidates of least variation (unknown ones last, ties by feature)."""
-    return candidates(cells, p_features, p_sample).orderBy(F.col("cv").asc_nulls_last(), "feature").limit(min_normalizers)
+    """The candidates of least variation, as many as ``require_candidates`` grants, with their medians back on the linear scale
+    beside them (``median``). Fewer candidates than wanted are an error."""
+    found = cut(candidates(cells, p_features, p_sample))
+    return _least(found, require_candidates(found.count(), min_normalizers)).withColumn("median", F.pow(F.lit(2.0), "median_x"))
 
 
 def require_candidates(found: int, wanted: int) -> int:
@@ -63,36 +77,77 @@ def _metric(x: np.ndarray, m: np.ndarray, stable: np.ndarray, med: np.ndarray, m
     return now, without
 
 
+def _spreads_of_grid(x: np.ndarray, m: np.ndarray, stable: np.ndarray, med: np.ndarray, min_iset: int) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    return lambda alive: _metric(x[alive], m[alive], stable[alive], med, min_iset)
+
+
+def _spreads_on_executors(stable: DataFrame, med: DataFrame, min_iset: int) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+    """The same by one row for each sample (its stable cells, as lists) that stays on the executors: a step emits each sample's
+    median without each candidate, and takes exact medians by candidate. stable: k, sample, a, b; med: sample, med."""
+    cells = stable.groupBy("sample").agg(F.collect_list("k").alias("k"), F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    rows = cut(cells.join(med, "sample"))
+
+    def spreads(alive: np.ndarray) -> tuple[float, np.ndarray]:
+        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for k, a, b, at in zip(pdf["k"], pdf["a"], pdf["b"], pdf["med"], strict=True):
+                    place = np.searchsorted(alive, k)
+                    own = alive[np.minimum(place, len(alive) - 1)] == k
+                    place, a, b = place[own], np.asarray(a)[own], np.asarray(b)[own]
+                    n, sa, sm, saa, sam = (np.full(len(alive) + 1, float(v.sum())) for v in (np.ones(len(a)), a, b, a * a, a * b))
+                    for s, v in ((n, 1.0), (sa, a), (sm, b), (saa, a * a), (sam, a * b)):
+                        s[place] -= v
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        slope = (n * sam - sa * sm) / (n * saa - sa * sa)
+                        y = (sm - slope * sa) / n + slope * at
+                    good = (n >= min_iset) & np.isfinite(y)
+                    yield pd.DataFrame({"k": np.flatnonzero(good), "y": y[good]})
+
+        ys = rows.mapInPandas(step, "k long, y double")
+        mid = ys.groupBy("k").agg(F.median("y").alias("mid"), F.count("*").alias("n"))
+        got = ys.join(F.broadcast(mid), "k").groupBy("k").agg(F.median(F.abs(F.col("y") - F.col("mid"))).alias("s"), F.first("n").alias("n")).collect()
+        out = np.full(len(alive) + 1, np.inf)
+        for r in got:
+            if r["n"] > 1:
+                out[r["k"]] = MAD_SCALE * r["s"]
+        return float(out[-1]), out[:-1]
+
+    return spreads
+
+
 def eliminate_normalizers(cells: DataFrame, start: DataFrame, min_normalizers: int = 10, cutrat: float = 1.0, min_iset: int = 10) -> Elimination:
     """Backward elimination: drop the candidate without which the samples' medians spread least, while that is strictly
-    better and more than ``min_normalizers`` are left. The grid of candidates by samples is bounded by GRID_LIMIT."""
+    better and more than ``min_normalizers`` are left. Grids over GRID_LIMIT cells take the same steps on the executors."""
     cells = to_log2(cells)
     med = cells.groupBy("sample").agg(F.median("x").alias("med"))
     ref = feature_median(cells)
     grid = cells.join(start.select("feature"), "feature", "left_semi").join(ref, "feature")
-    size = start.count() * med.count()
-    if size > GRID_LIMIT:
-        raise ValueError(f"{size} cells of candidates by samples; at most {GRID_LIMIT}")
-    rows, meds = grid.select("feature", "sample", "x", "ref").toPandas(), med.toPandas().sort_values("sample")
-    if rows.empty:
+    features = grid.select("feature", "ref").distinct().toPandas().sort_values("feature").reset_index(drop=True)
+    if features.empty:
         return Elimination([])
-    wide = rows.pivot(index="feature", columns="sample", values="x").sort_index().reindex(columns=meds["sample"])
-    m = rows.drop_duplicates("feature").set_index("feature")["ref"].reindex(wide.index).to_numpy()
-    x = wide.to_numpy()
-    stable = np.isfinite(x) & (np.abs(x - m[:, None]) <= cutrat)
+    names, m = list(features["feature"]), features["ref"].to_numpy()
     mid = float(np.nanmean(m))
-    x, m, med_x = x - mid, m - mid, meds["med"].to_numpy() - mid
-    alive = np.arange(len(m))
-    out = Elimination(list(wide.index))
+    if len(names) * med.count() <= GRID_LIMIT:
+        rows, meds = grid.select("feature", "sample", "x").toPandas(), med.toPandas().sort_values("sample")
+        wide = rows.pivot(index="feature", columns="sample", values="x").reindex(index=names, columns=meds["sample"])
+        x = wide.to_numpy()
+        stable = np.isfinite(x) & (np.abs(x - m[:, None]) <= cutrat)
+        spreads = _spreads_of_grid(x - mid, m - mid, stable, meds["med"].to_numpy() - mid, min_iset)
+    else:
+        numbers = cells.sparkSession.createDataFrame([(f, i) for i, f in enumerate(names)], f"feature {dict(cells.dtypes)['feature']}, k long")
+        near = grid.where(F.abs(F.col("x") - F.col("ref")) <= cutrat).join(F.broadcast(numbers), "feature")
+        spreads = _spreads_on_executors(near.select("k", "sample", (F.col("x") - mid).alias("a"), (F.col("ref") - mid).alias("b")), med.withColumn("med", F.col("med") - mid), min_iset)
+    alive = np.arange(len(names))
+    out = Elimination(names)
     while len(alive) > min_normalizers:
-        now, without = _metric(x[alive], m[alive], stable[alive], med_x, min_iset)
+        now, without = spreads(alive)
         if not out.history:
             out.history.append(now)
         best = int(np.argmin(without))
         if not without[best] < now:
             break
-        out.excluded.append(wide.index[alive[best]])
+        out.excluded.append(names[alive[best]])
         out.history.append(float(without[best]))
         alive = np.delete(alive, best)
-    out.kept = [wide.index[i] for i in alive]
+    out.kept = [names[i] for i in alive]
     return out

@@ -88,7 +88,7 @@ def cleanup_plan(projects: DataFrame, days: float = RETENTION["days"], most: int
     fits. projects: project_id, last_modified (timestamp), size_mb; one row each, a catalogue of a few thousand at most."""
     at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
     order = Window.orderBy(F.desc("last_modified"), F.desc("project_id"))
-    p = projects.withColumn("old", F.col("last_modified") < at - F.expr(f"INTERVAL {days} DAYS"))
+    p = projects.withColumn("old", F.col("last_modified") < at - F.expr(f"INTERVAL {round(days * 86400)} SECONDS"))
     young = p.where("NOT old").withColumn("place", F.row_number().over(order))
     held = young.where(F.col("place") <= most).withColumn("sum_mb", F.sum("size_mb").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rules = (
@@ -129,17 +129,31 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
 
 @dataclass
 class Store:
-    """The three tables below a folder. Updates write a new copy beside the old one and swap names."""
+    """The three tables below a folder. Updates write a new copy beside the old one and swap names; a table whose swap was
+    cut short is put in place by the next who reads it. Numbers are claimed by files that one caller alone can create, and
+    the greatest stays, so no number comes twice, not even after its row is gone."""
 
     spark: SparkSession
     root: str
 
+    def _recover(self, name: str) -> None:
+        """Finish a swap: the new copy if it was written whole, else the old one."""
+        path = f"{self.root}/{name}"
+        if exists(self.spark, path):
+            return
+        for part in (".new", ".old"):
+            if exists(self.spark, f"{path}{part}/_SUCCESS"):
+                rename(self.spark, path + part, path)
+                return
+
     def table(self, name: str) -> DataFrame:
+        self._recover(name)
         path = f"{self.root}/{name}"
         return self.spark.read.schema(SCHEMAS[name]).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], SCHEMAS[name])
 
     def init(self) -> None:
         for name, schema in SCHEMAS.items():
+            self._recover(name)
             if not exists(self.spark, f"{self.root}/{name}"):
                 self.spark.createDataFrame([], schema).write.parquet(f"{self.root}/{name}")
 
@@ -157,7 +171,16 @@ class Store:
         self.spark.createDataFrame([tuple(row.get(c) for c in SCHEMAS[name].names)], SCHEMAS[name]).write.mode("append").parquet(f"{self.root}/{name}")
 
     def _next(self, name: str, key: str) -> int:
-        return (self.table(name).agg(F.max(key)).first()[0] or 0) + 1
+        fs, folder = _fs(self.spark, f"{self.root}/.numbers/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs.mkdirs(folder)
+        claimed = sorted(int(x.getPath().getName()) for x in fs.listStatus(folder) if x.getPath().getName().isdigit())
+        number = max([self.table(name).agg(F.max(key)).first()[0] or 0, *claimed]) + 1
+        while not fs.createNewFile(path(folder, str(number))):
+            number += 1
+        for old in claimed:
+            fs.delete(path(folder, str(old)), False)
+        return number
 
     def upsert_project(self, project_name: str, data_directory: str = "", total_files: int = 0, cache_directory: str = "", cache_id: str = "") -> int:
         """By unique name; an existing project starts again as running."""
@@ -166,7 +189,7 @@ class Store:
         row = old.asDict() if old else {"project_id": self._next("projects", "project_id"), "project_name": project_name, "created_at": now_text()}
         row |= {"data_directory": data_directory, "total_files": total_files, "cache_directory": cache_directory, "cache_id": cache_id, "last_modified": now_text(), "status": "running", "processing_stage": "initialized"}
         new = self.spark.createDataFrame([tuple(row[c] for c in PROJECTS.names)], PROJECTS)
-        self._replace("projects", t.where(F.col("project_name") != project_name).unionByName(new))
+        self._replace("projects", t.where(~F.col("project_name").eqNullSafe(project_name)).unionByName(new))
         return row["project_id"]
 
     def project(self, project_id: int):
@@ -176,7 +199,7 @@ class Store:
         """Change the given columns alone."""
         if bad := set(changes) - set(PROJECTS.names):
             raise ValueError(f"no such columns: {sorted(bad)}")
-        mine = F.col("project_id") == project_id
+        mine = F.col("project_id").eqNullSafe(project_id)
         cols = {k: F.when(mine, F.lit(v)).otherwise(F.col(k)) for k, v in (changes | {"last_modified": now_text()}).items()}
         self._replace("projects", self.table("projects").withColumns(cols))
 
@@ -191,20 +214,34 @@ class Store:
 
     def invalidate(self, checkpoint_id: int) -> None:
         t = self.table("checkpoints")
-        self._replace("checkpoints", t.withColumn("is_valid", F.col("is_valid") & (F.col("checkpoint_id") != checkpoint_id)))
+        self._replace("checkpoints", t.withColumn("is_valid", F.col("is_valid") & ~F.col("checkpoint_id").eqNullSafe(checkpoint_id)))
 
     def purge_invalid(self, project_id: int) -> int:
         """Delete the project's invalid checkpoints with their files; their number."""
         gone = self.table("checkpoints").where((F.col("project_id") == project_id) & ~F.col("is_valid")).collect()
         for r in gone:
             delete(self.spark, r["checkpoint_file_path"])
-        self._replace("checkpoints", self.table("checkpoints").where((F.col("project_id") != project_id) | F.col("is_valid")))
+        self._replace("checkpoints", self.table("checkpoints").where(~F.col("project_id").eqNullSafe(project_id) | F.coalesce("is_valid", F.lit(True))))
         return len(gone)
 
     def delete_project(self, project_id: int) -> None:
         """From all three tables."""
         for name in SCHEMAS:
-            self._replace(name, self.table(name).where(F.col("project_id") != project_id))
+            self._replace(name, self.table(name).where(~F.col("project_id").eqNullSafe(project_id)))
+
+    def clean_up(self, sizes: DataFrame, now: str | None = None, **limits) -> list[int]:
+        """Apply ``cleanup_plan``: its projects leave all three tables, and their cache folders go. sizes: project_id, size_mb.
+        The plan is a catalogue of a few thousand projects at most."""
+        known = self.table("projects").join(sizes.select("project_id", "size_mb"), "project_id", "left").withColumn("size_mb", F.coalesce("size_mb", F.lit(0.0)))
+        plan = cleanup_plan(known.withColumn("last_modified", F.col("last_modified").cast("timestamp")), now=now, **limits).select("project_id").distinct()
+        gone = known.join(plan, "project_id", "left_semi").select("project_id", "cache_directory").collect()
+        for r in gone:
+            if r["cache_directory"]:
+                delete(self.spark, r["cache_directory"])
+        ids = [r["project_id"] for r in gone]
+        for name in SCHEMAS if ids else ():
+            self._replace(name, self.table(name).where(~F.coalesce(F.col("project_id").isin(ids), F.lit(False))))
+        return sorted(ids)
 
     def crashed(self) -> DataFrame:
         return crash_scan(self.table("projects"), self.table("checkpoints"))

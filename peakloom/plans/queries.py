@@ -179,14 +179,14 @@ f AS (SELECT feature, 100.0 * count(x) / (SELECT count(DISTINCT sample) FROM k)
 SELECT feature, round(presence, 6) AS presence, round(cv, 6) AS cv, round(m, 6) AS median_x FROM f WHERE presence >= {P_SAMPLE} ORDER BY f.cv NULLS LAST, feature LIMIT 100"""
 )
 def rank_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = normalizers.search_normalizers(t.cells(spark, sf_dir), 10.0, P_SAMPLE, 100)
+    top = normalizers.rank_candidates(t.cells(spark, sf_dir), 10.0, P_SAMPLE, 100)
     return top.select("feature", r6("presence").alias("presence"), r6("cv").alias("cv"), r6("median_x").alias("median_x"))
 
 
 @query()
 def eliminate_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = t.cells(spark, sf_dir)
-    out = normalizers.eliminate_normalizers(cells, normalizers.search_normalizers(cells, 10.0, P_SAMPLE, 60), 20, CUTRAT, MIN_ISET)
+    out = normalizers.eliminate_normalizers(cells, normalizers.rank_candidates(cells, 10.0, P_SAMPLE, 60), 20, CUTRAT, MIN_ISET)
     rows = [(int(f), i + 1, round(m, 6)) for i, (f, m) in enumerate(zip(out.excluded, out.history[1:], strict=True))]
     return spark.createDataFrame(rows + [(int(f), None, None) for f in out.kept], "feature long, step int, w_metric double")
 
@@ -219,7 +219,18 @@ def match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_stats(status, s)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE x AS (SELECT row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS i, s_suppkey AS id, s_acctbal AS mz FROM supplier WHERE s_acctbal > 0),
+y AS (SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) AS k, c_custkey AS id, c_acctbal AS mz FROM customer WHERE c_acctbal > 0),
+near AS (SELECT x.i, list({{'d': abs(y.mz - x.mz), 'k': k, 'id': y.id, 'mz': y.mz}} ORDER BY abs(y.mz - x.mz), k) AS c FROM x JOIN y ON y.mz BETWEEN x.mz * (1 - 2e-6 * {PPM}) AND x.mz * (1 + 2e-6 * {PPM}) AND abs(y.mz - x.mz) <= x.mz * {PPM} * 1e-6 GROUP BY x.i),
+todo AS (SELECT x.i, x.id, x.mz, near.c FROM x LEFT JOIN near ON near.i = x.i),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS x_id, CAST(NULL AS DOUBLE) AS x_mz, CAST(NULL AS STRUCT(d DOUBLE, k BIGINT, id BIGINT, mz DOUBLE)) AS pick, CAST([] AS BIGINT[]) AS held
+  UNION ALL
+  SELECT i, x_id, x_mz, pick, CASE WHEN pick IS NULL THEN old ELSE list_append(old, pick.k) END FROM (
+    SELECT t.i, t.id AS x_id, t.mz AS x_mz, list_filter(t.c, lambda e: NOT list_contains(s.held, e.k))[1] AS pick, s.held[-64:] AS old FROM step s JOIN todo t ON t.i = s.i + 1))
+SELECT x_id, x_mz, pick.id AS t_id, pick.mz AS t_mz FROM step WHERE i > 0"""
+)
 def mz_match_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = t.table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("x_id"), F.col("s_acctbal").alias("x_mz"))
     y = t.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("t_id"), F.col("c_acctbal").alias("t_mz"))
@@ -414,11 +425,10 @@ def isotope_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.isotope_rollup(p).withColumns({"height": F.round("height", 4), "area": r6("area"), "nb_isotope": F.col("nb_isotope").cast("long")})
 
 
-@query(f"WITH {CELLS} SELECT feature, CAST(sample AS VARCHAR) AS sample, round(max(x), 6) AS x FROM cells WHERE sample < 8 GROUP BY ALL")
+@query(f"WITH {CELLS} SELECT feature, CAST(sample AS VARCHAR) AS sample, round(max(x), 6) AS x FROM cells GROUP BY ALL")
 def abundance_pivot_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A matrix of eight samples, to wide and back."""
-    some = t.cells(spark, sf_dir).where("sample < 8").withColumn("sample", F.col("sample").cast("string"))
-    wide = aggregate.abundance_matrix(some, [str(i) for i in range(8)])
+    """The matrix of all samples, to wide and back."""
+    wide = aggregate.abundance_matrix(t.cells(spark, sf_dir).withColumn("sample", F.col("sample").cast("string")))
     return aggregate.abundance_long(wide, "feature").withColumn("x", r6("x"))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import abundance_matrix
 from ..operators.store import _fs, delete, now_text
+from . import xlsx
 
 
 def write_map(tables: dict[str, DataFrame], root: str, name: str) -> None:
@@ -27,19 +31,40 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     (flat.coalesce(1) if one_file else flat).write.mode("overwrite").csv(path, header=True)
 
 
+def write_workbook(frames: dict[str, DataFrame], path: str) -> None:
+    """One Excel file with a sheet for each frame, written on the driver row by row."""
+    spark = next(iter(frames.values())).sparkSession
+    flat = lambda v: ",".join(map(str, v)) if isinstance(v, list) else v if isinstance(v, int | float | str | None) else str(v)
+    with tempfile.TemporaryDirectory(prefix="peakloom-") as folder:
+        xlsx.write_workbook(f"{folder}/w.xlsx", {name: itertools.chain([df.columns], (map(flat, r) for r in df.toLocalIterator())) for name, df in frames.items()})
+        fs, p = _fs(spark, path)
+        fs.copyFromLocalFile(False, True, spark._jvm.org.apache.hadoop.fs.Path(f"file://{folder}/w.xlsx"), p)
+
+
+def write_table(df: DataFrame, path: str, one_file: bool = False) -> None:
+    """An Excel file where the path says so, else CSV."""
+    if path.lower().endswith(".xlsx"):
+        write_workbook({"Sheet1": df}, path)
+    else:
+        write_csv(df, path, one_file)
+
+
 def write_matrix(cells: DataFrame, path: str, samples: list[str] | None = None) -> None:
-    write_csv(abundance_matrix(cells, samples), path, one_file=True)
+    write_table(abundance_matrix(cells, samples), path, one_file=True)
 
 
 def write_corrected(peaks: DataFrame, path: str, summary: dict[str, object], samples: DataFrame | None = None) -> None:
-    """Three tables: corrected peaks, sample information if there is any, and a summary of the correction."""
-    spark = peaks.sparkSession
-    write_csv(peaks, f"{path}/Corrected_Peaks")
-    if samples is not None:
-        write_csv(samples, f"{path}/Sample_Info", one_file=True)
+    """Three tables: corrected peaks, sample information if there is any, and a summary of the correction; sheets of one
+    Excel file where the path says so, else folders of CSV."""
     n = peaks.agg(F.count("*").alias("p"), F.count_distinct("sample").alias("s")).first()
     rows = {**summary, "date": now_text(), "peaks": n["p"], "samples": n["s"]}
-    write_csv(spark.createDataFrame([(k, str(v)) for k, v in rows.items()], "parameter string, value string"), f"{path}/Correction_Summary", one_file=True)
+    frames = {"Corrected_Peaks": peaks, "Sample_Info": samples, "Correction_Summary": peaks.sparkSession.createDataFrame([(k, str(v)) for k, v in rows.items()], "parameter string, value string")}
+    frames = {k: df for k, df in frames.items() if df is not None}
+    if path.lower().endswith(".xlsx"):
+        write_workbook(frames, path)
+        return
+    for k, df in frames.items():
+        write_csv(df, f"{path}/{k}", one_file=k != "Corrected_Peaks")
 
 
 def write_parameters(spark: SparkSession, parameters: dict[str, object], path: str) -> None:

@@ -70,7 +70,7 @@ def test_reference_sample(spark):
     assert align.choose_reference_sample(spark.createDataFrame(peaks, "sample string, rt double")).first()["sample"] == "b"
 
 
-def test_elimination_is_monotone_and_matches_refits(spark):
+def test_elimination_is_monotone_and_matches_refits(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.uniform(8, 14, 16)
     rows = [(f"f{i:02d}", f"s{j:02d}", float(base[i] + rng.normal(0, 0.2) + 0.1 * j)) for i in range(16) for j in range(9) if rng.random() < 0.95]
@@ -81,6 +81,45 @@ def test_elimination_is_monotone_and_matches_refits(spark):
     assert len(out.kept) + len(out.excluded) == 16
     first = normalize.variability(cells, start, 4, 2.0).first()
     assert abs(first["w_metric"] - out.history[0]) < 1e-9
+    monkeypatch.setattr(normalizers, "GRID_LIMIT", 10)
+    far = normalizers.eliminate_normalizers(cells, start, 8, 2.0, 4)
+    assert (far.kept, far.excluded) == (out.kept, out.excluded)
+    assert np.allclose(far.history, out.history)
+
+
+def test_search_wants_enough_candidates(spark):
+    cells = spark.createDataFrame([(f"f{i}", f"s{j}", 8.0 + i + 0.01 * j * i) for i in range(6) for j in range(4)], "feature string, sample string, x double")
+    assert [r.feature for r in normalizers.search_normalizers(cells, min_normalizers=2).collect()] == ["f0", "f1"]
+    assert normalizers.search_normalizers(cells, min_normalizers=6).count() == 2
+    assert normalizers.search_normalizers(cells, min_normalizers=2).first().median == 2.0**8
+    with pytest.raises(ValueError, match="candidate"):
+        normalizers.search_normalizers(cells, min_normalizers=7)
+
+
+def plain_loess(x, y, at, span, robust):
+    n = len(x)
+    k = max(2, min(n, int(np.floor(span * n + 1e-9))))
+    rob = np.ones(n)
+
+    def one(p):
+        d = x - p
+        h = max(np.sort(np.abs(d))[k - 1], 1e-12)
+        w = np.clip(1 - np.minimum(np.abs(d) / h, 1) ** 3, 0, 1) ** 3 * rob
+        a = np.stack([np.ones(n), d], axis=1)
+        return np.linalg.lstsq(a * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0][0]
+
+    for _ in range(robust - 1):
+        r = y - np.array([one(p) for p in x])
+        rob = np.clip(1 - (r / (6 * np.median(np.abs(r)))) ** 2, 0, None) ** 2
+    return np.array([one(p) for p in at])
+
+
+def test_loess_against_least_squares():
+    rng = np.random.default_rng(9)
+    x = rng.uniform(0, 10, 90)
+    y = np.sin(x) + rng.normal(0, 0.1, 90)
+    at = np.concatenate([x[:7], [x.min(), x.max(), 5.0]])
+    assert np.allclose(normalize.loess(x, y, at, 0.4, block=16), plain_loess(x, y, at, 0.4, 4))
 
 
 def test_constant_candidate_count():

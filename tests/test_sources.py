@@ -1,3 +1,5 @@
+import sqlite3
+
 import pytest
 
 from peakloom.operators.match import match_massifs
@@ -36,6 +38,41 @@ def test_parameters_round_trip(spark, tmp_path):
     assert writers.remove_files(spark, f"{tmp_path}/p", ".txt") == 1
 
 
+def test_parameters_of_many_lines(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("".join(f"key {i}: {i}\n" for i in range(3000)))
+    assert readers.read_parameters(spark, f"{tmp_path}/p.txt")["key 2999"] == "2999"
+
+
+def test_text_files_are_comma_separated(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("M+H,rt\n1.5,2\n")
+    (tmp_path / "b.tsv").write_text("M+H\trt\n2.5\t2\n")
+    assert sorted(r["M+H"] for r in readers.read_peak_lists(spark, [f"{tmp_path}/a.txt", f"{tmp_path}/b.tsv"]).collect()) == [1.5, 2.5]
+
+
+def test_workbooks(spark, tmp_path):
+    cells = spark.createDataFrame([("f1", "s1", 1.5), ("f2", "s2", 2.5)], "feature string, sample string, x double")
+    writers.write_matrix(cells, f"{tmp_path}/m.xlsx")
+    assert sorted(map(tuple, readers.read_abundance(spark, f"{tmp_path}/m.xlsx").collect())) == [("f1", "s1", 1.5), ("f2", "s2", 2.5)]
+    peaks = spark.createDataFrame([("a<&>\x01 é", 1, None, [1.0, 2.0], True)], "sample string, n int, x double, iso array<double>, ok boolean")
+    writers.write_corrected(peaks, f"{tmp_path}/c.xlsx", {"bandwidth": 20}, cells)
+    assert readers.read_sheet(spark, f"{tmp_path}/c.xlsx").first().asDict() == {"sample": "a<&> é", "n": 1.0, "x": None, "iso": "1.0,2.0", "ok": "True"}
+    assert readers.read_sheet(spark, f"{tmp_path}/c.xlsx", "Sample_Info").count() == 2
+    assert ("bandwidth", "20") in set(map(tuple, readers.read_sheet(spark, f"{tmp_path}/c.xlsx", "Correction_Summary").collect()))
+    writers.write_corrected(peaks, f"{tmp_path}/c", {"bandwidth": 20})
+    assert spark.read.csv(f"{tmp_path}/c/Corrected_Peaks", header=True).count() == 1
+
+
+def test_maps_in_sqlite(spark, tmp_path):
+    with sqlite3.connect(tmp_path / "old.sqlite") as con:
+        con.execute('CREATE TABLE map_ref (ID TEXT, "M.H" REAL, rt REAL, maxo REAL, "iso.mass.link" TEXT)')
+        con.execute("INSERT INTO map_ref VALUES ('FT1', 500.25, 60, 10, 'x'), ('FT2', 600, 70, NULL, 'y')")
+    assert readers.list_maps(spark, tmp_path.as_uri()) == ["old"]
+    got = readers.read_map(spark, tmp_path.as_uri(), "old")
+    assert sorted(map(tuple, got.collect())) == [("FT1", 500.25, 60.0, 10.0), ("FT2", 600.0, 70.0, None)]
+    with pytest.raises(KeyError):
+        readers.read_map(spark, tmp_path.as_uri(), "old", normalizers=True)
+
+
 def test_empty_peaks(spark):
     assert len(readers.empty_peaks(spark, external=True).columns) == 16
     assert readers.empty_peaks(spark).count() == 0

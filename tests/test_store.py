@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from peakloom.operators import store as store_module
 from peakloom.operators.store import STAGES, Checkpoints, StageMachine, Store, digest
 
 
@@ -39,6 +40,56 @@ def test_checkpoints_crash_and_purge(store):
     assert store.table("checkpoints").count() == 1
 
 
+def test_rows_without_project_stay(store):
+    a = store.upsert_project("one")
+    store.log(None, "start", "INFO", "unassigned")
+    store.log(a, "pick", "INFO", "mine")
+    store.purge_invalid(a)
+    store.delete_project(a)
+    assert [r.message for r in store.table("processing_logs").collect()] == ["unassigned"]
+
+
+@pytest.mark.parametrize("crash", ["before", "between"])
+def test_a_swap_cut_short_is_finished(store, monkeypatch, crash):
+    a = store.upsert_project("one")
+    real, done = store_module.rename, []
+
+    def rename(spark, source, target):
+        if len(done) == (0 if crash == "before" else 1):
+            raise KeyboardInterrupt
+        done.append(source)
+        real(spark, source, target)
+
+    monkeypatch.setattr(store_module, "rename", rename)
+    with pytest.raises(KeyboardInterrupt):
+        store.update_project(a, status="completed")
+    monkeypatch.undo()
+    assert store.project(a)["status"] == ("running" if crash == "before" else "completed")
+    store.update_project(a, status="failed")
+    assert store.project(a)["status"] == "failed"
+
+
+def test_numbers_do_not_come_twice(store):
+    a = store.upsert_project("one")
+    store.delete_project(a)
+    b = store.upsert_project("two")
+    assert b > a
+    other = Store(store.spark, store.root)
+    assert other._next("projects", "project_id") > b
+
+
+def test_clean_up_is_applied(store):
+    a, b = store.upsert_project("one", cache_directory=f"{store.root}/cache-a"), store.upsert_project("two")
+    store.spark.range(1).write.parquet(f"{store.root}/cache-a")
+    store.update_project(b, processing_stage="x")
+    sizes = store.spark.createDataFrame([(a, 10.0), (b, 1.0)], "project_id long, size_mb double")
+    store.log(a, "x", "INFO", "m")
+    assert store.clean_up(sizes, most=5, days=10.0, gb=100.0) == []
+    assert store.clean_up(sizes, now="2999-01-01 00:00:00", most=5, days=10.0, gb=100.0) == [a, b]
+    assert store.table("projects").count() + store.table("processing_logs").count() == 0
+    assert not store_module.exists(store.spark, f"{store.root}/cache-a")
+
+
 def test_save_load_versions_and_repair(spark, tmp_path):
     c = Checkpoints(spark, tmp_path.as_uri(), keep=2)
     for i in range(3):
