@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ast
 import ctypes
 import functools
 import inspect
+import io
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +16,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -246,3 +249,53 @@ def text_batches(batches, limit: int = 2_000_000):
                 at, size, part = i + 1, 0, []
         if part:
             yield ids[at:], part
+
+
+def write_arrays(uri: str, arrays: dict[str, np.ndarray], numbers: dict[str, int]) -> None:
+    """One file of arrays on 64-byte bounds behind a header, moved to its name when it is whole."""
+    head: dict = {"numbers": numbers, "arrays": {}}
+    at = 0
+    for k, v in arrays.items():
+        head["arrays"][k] = (str(v.dtype), len(v), at)
+        at += -(-v.nbytes // 64) * 64
+    text = repr(head).encode()
+    start = -(-(len(text) + 16) // 64) * 64
+    out = io.BytesIO()
+    out.write(f"{len(text):016d}".encode() + text)
+    out.write(bytes(start - out.tell()))
+    for v in arrays.values():
+        out.write(v.tobytes())
+        out.write(bytes(-v.nbytes % 64))
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}.{xxhash.xxh3_64_hexdigest(np.random.bytes(16))}.part"
+    with fs.open_output_stream(part) as f:
+        f.write(out.getbuffer())
+    fs.move(part, path)
+
+
+#: Files of arrays that this worker has open, and bytes of those that it had to read; a file of its own at most above the bound.
+_OPEN: dict[str, tuple[dict[str, np.ndarray], dict[str, int]]] = {}
+_READ = [0]
+READ_BYTES = 200_000_000
+OPEN_FILES = 4096
+
+
+def map_arrays(uri: str) -> tuple[dict[str, np.ndarray], dict[str, int]]:
+    """The arrays of a file, mapped into memory and not read. On a store that cannot be mapped they are read, and kept
+    while they are few."""
+    if uri not in _OPEN:
+        fs, path = pafs.FileSystem.from_uri(uri)
+        mapped = isinstance(fs, pafs.LocalFileSystem)
+        size = 0 if mapped else fs.get_file_info(path).size
+        if len(_OPEN) >= OPEN_FILES or _READ[0] + size > READ_BYTES:
+            _OPEN.clear()
+            _READ[0] = 0
+        raw = np.memmap(path, dtype=np.uint8, mode="r") if mapped else np.frombuffer(fs.open_input_stream(path).read(), dtype=np.uint8)
+        _READ[0] += size
+        n = int(raw[:16].tobytes())
+        head = ast.literal_eval(raw[16 : 16 + n].tobytes().decode())
+        start = -(-(n + 16) // 64) * 64
+        arrays = {k: np.frombuffer(raw, dtype=d, count=m, offset=start + at) for k, (d, m, at) in head["arrays"].items()}
+        _OPEN[uri] = arrays, head["numbers"]
+    return _OPEN[uri]

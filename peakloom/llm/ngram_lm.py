@@ -14,19 +14,15 @@ with no training rows every probability is that of the one unknown word; repeate
 
 from __future__ import annotations
 
-import ast
-import io
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, crc_bucket, executor_task, read_table, scratch_path, segments, ship, text_batches, text_bytes
+from .common import WordHashes, crc_bucket, executor_task, map_arrays, read_table, scratch_path, segments, ship, text_batches, text_bytes, write_arrays
 
 DISCOUNT = 0.75
 #: Quantisation of log10 values: 16 bits over this range.
@@ -133,48 +129,7 @@ class EliasFano:
         return lo, equal
 
 
-# --- level files -----------------------------------------------------------------------------------------------
-
-
-def _write_arrays(uri: str, arrays: dict[str, np.ndarray], numbers: dict[str, int]) -> None:
-    """One file of arrays on 64-byte bounds behind a header, moved to its name when it is whole."""
-    head: dict = {"numbers": numbers, "arrays": {}}
-    at = 0
-    for k, v in arrays.items():
-        head["arrays"][k] = (str(v.dtype), len(v), at)
-        at += -(-v.nbytes // 64) * 64
-    text = repr(head).encode()
-    start = -(-(len(text) + 16) // 64) * 64
-    out = io.BytesIO()
-    out.write(f"{len(text):016d}".encode() + text)
-    out.write(bytes(start - out.tell()))
-    for v in arrays.values():
-        out.write(v.tobytes())
-        out.write(bytes(-v.nbytes % 64))
-    fs, path = pafs.FileSystem.from_uri(uri)
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    part = f"{path}.{xxhash.xxh3_64_hexdigest(np.random.bytes(16))}.part"
-    with fs.open_output_stream(part) as f:
-        f.write(out.getbuffer())
-    fs.move(part, path)
-
-
-_OPEN: dict[str, tuple[dict[str, np.ndarray], dict[str, int]]] = {}
-
-
-def _map_arrays(uri: str) -> tuple[dict[str, np.ndarray], dict[str, int]]:
-    """The arrays of a level file, mapped and not read. A store that cannot be mapped is read instead."""
-    if uri not in _OPEN:
-        if len(_OPEN) > 4096:
-            _OPEN.clear()
-        fs, path = pafs.FileSystem.from_uri(uri)
-        raw = np.memmap(path, dtype=np.uint8, mode="r") if isinstance(fs, pafs.LocalFileSystem) else np.frombuffer(fs.open_input_stream(path).read(), dtype=np.uint8)
-        n = int(raw[:16].tobytes())
-        head = ast.literal_eval(raw[16 : 16 + n].tobytes().decode())
-        start = -(-(n + 16) // 64) * 64
-        arrays = {k: np.frombuffer(raw, dtype=d, count=m, offset=start + at) for k, (d, m, at) in head["arrays"].items()}
-        _OPEN[uri] = arrays, head["numbers"]
-    return _OPEN[uri]
+# --- levels ----------------------------------------------------------------------------------------------------
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
@@ -205,7 +160,7 @@ class Model:
         for s in np.flatnonzero(np.diff(cut)).tolist():
             if self.first[s + 1] == self.first[s]:
                 continue
-            arrays, _ = _map_arrays(f"{self.folder}/words-{s}")
+            arrays, _ = map_arrays(f"{self.folder}/words-{s}")
             mine = hashes[cut[s] : cut[s + 1]]
             at = np.minimum(np.searchsorted(arrays["hash"], mine), len(arrays["hash"]) - 1)
             hit = arrays["hash"][at] == mine
@@ -228,7 +183,7 @@ class Model:
         for s in np.flatnonzero(np.diff(cut)).tolist():
             if not self.paired[s]:
                 continue
-            a, num = _map_arrays(f"{self.folder}/pairs-{s}")
+            a, num = map_arrays(f"{self.folder}/pairs-{s}")
             seq = {k: EliasFano(num[f"{k}.n"], num[f"{k}.bits"], a[f"{k}.low"], a[f"{k}.high"], a[f"{k}.ranks"]) for k in ("next", "pointer", "base")}
             c, w = context[cut[s] : cut[s + 1]] - self.first[s], word[cut[s] : cut[s + 1]]
             begin, end, base = seq["pointer"].get(c), seq["pointer"].get(c + 1), seq["base"].get(c)
@@ -323,7 +278,7 @@ def _write_words(folder: str):
         s = t.column("s")[0].as_py()
         u, at = np.unique(_join(t, "a", "<u8"), return_inverse=True)
         c = np.bincount(at, weights=_join(t, "b", "<u4")).astype(np.uint64)
-        _write_arrays(f"{folder}/words-{s}", {"hash": u, "count": c}, {})
+        write_arrays(f"{folder}/words-{s}", {"hash": u, "count": c}, {})
         return pa.table({"s": pa.array([s], pa.int32()), "words": pa.array([len(u)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64())})
 
     return run
@@ -393,7 +348,7 @@ def _write_pairs(model: Model):
             arrays |= {f"{k}.low": ef.low, f"{k}.high": ef.high, f"{k}.ranks": ef.ranks}
             numbers |= {f"{k}.n": ef.n, f"{k}.bits": ef.bits}
         arrays |= {"probability": quantise(np.log10(p)), "backoff": quantise(np.log10(weight))}
-        _write_arrays(f"{model.folder}/pairs-{s}", arrays, numbers)
+        write_arrays(f"{model.folder}/pairs-{s}", arrays, numbers)
         return pa.table({"s": pa.array([s], pa.int32()), "pairs": pa.array([len(key)], pa.int64()), "bytes": pa.array([sum(v.nbytes for v in arrays.values())], pa.int64())})
 
     return run
@@ -404,7 +359,7 @@ def _counts_of_ids(model: Model, ids: np.ndarray) -> np.ndarray:
     out = np.zeros(len(ids), dtype=np.int64)
     shard = model.shard_of(ids)
     for s, x in _by_shard(shard, model.bits):
-        out[x] = _map_arrays(f"{model.folder}/words-{s}")[0]["count"][ids[x] - model.first[s]]
+        out[x] = map_arrays(f"{model.folder}/words-{s}")[0]["count"][ids[x] - model.first[s]]
     return out
 
 

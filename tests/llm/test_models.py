@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from peakloom.llm import decontamination, nbsvm, ngram_lm
-from peakloom.llm.decontamination import Index, clean_documents, retrieve
+from peakloom.llm.decontamination import Index, Statistics, clean_documents, index_arrays, question_answer, retrieve
 from peakloom.llm.ngram_lm import EliasFano
 
 from .conftest import ODD, words
@@ -147,19 +147,68 @@ def test_labels_of_one_class_or_none(spark, docs_of, marks):
 ITEMS = [(i, " ".join(words(np.random.default_rng(50 + i), 12, 4000)) + ". " + " ".join(words(np.random.default_rng(90 + i), 8, 4000)) + ".") for i in range(30)]
 
 
-def test_retrieval_is_exhaustive():
+def bm25_by_hand(items, rows):
+    """{(document, item): scores of its passages that reach the bar}, by the formula alone."""
+    import re
+
+    tok = lambda t: re.findall(r"\w+", (t or "").lower())
+    bags = {i: Counter(tok(t)) for i, t in items if tok(t)}
+    n, mean = len(bags), sum(sum(b.values()) for b in bags.values()) / max(1, len(bags))
+    df = Counter(x for b in bags.values() for x in b)
+    half = max(64, *(sum(b.values()) for b in bags.values())) // 2
+
+    def score(bag, terms):
+        norm = 1.2 * (1 - 0.75 + 0.75 * sum(bag.values()) / mean)
+        return sum(math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * bag[x] * 2.2 / (bag[x] + norm) for x in terms if x in bag)
+
+    out = {}
+    for d, t in rows:
+        w = tok(t)
+        halves = -(-len(w) // half)
+        for k in range(max(halves - 1, min(halves, 1))):
+            terms = set(w[k * half : (k + 2) * half])
+            for i, bag in bags.items():
+                x, bar = score(bag, terms), 0.5 * score(bag, bag)
+                if x >= bar * (1 - 1e-6):
+                    out.setdefault((d, i), []).append(x)
+    return out
+
+
+@pytest.mark.parametrize("chars", [1, 900, 10**6])
+def test_retrieval_is_that_of_the_formula(spark, docs_of, monkeypatch, chars):
+    monkeypatch.setattr(decontamination, "SEGMENT_CHARS", chars)
     rng = np.random.default_rng(4)
-    ix = Index(ITEMS)
+    common = words(rng, 12, 30)
+    items = [(i, f"{t} {' '.join(rng.choice(common, 6))}.") for i, t in ITEMS] + [(70, ITEMS[0][1]), (71, None), (72, "?")]
+    fill = lambda n: " ".join(np.concatenate([words(rng, n, 4000), rng.choice(common, n)])[rng.permutation(2 * n)])
+    rows = [(i, fill(int(rng.integers(1, 150)))) for i in range(30)]
+    rows += [(100 + i, f"{fill(int(rng.integers(1, 80)))} {' '.join(t.split()[: int(rng.integers(4, 26))])} {fill(40)}") for i, t in items[:31] for _ in range(2)] + [(5000, None), (5001, "")]
+    want = bm25_by_hand([(i, t) for i, t in items if t], rows)
+    got = retrieve(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == set(want)
+    assert len(want) > 20
+    assert all(min(abs(r.bm25 - x) for x in want[r.doc_id, r.item_id]) < 1e-4 * r.bm25 for r in got)
+
+
+@pytest.mark.parametrize("table", [0, 10**7])
+def test_pivots_lose_nothing(monkeypatch, table):
+    monkeypatch.setattr(decontamination, "TABLE", table)
+    rng = np.random.default_rng(4)
+    ix = Index(*index_arrays(ITEMS, Statistics(t for _, t in ITEMS)))
+    dense = np.zeros((len(ix.terms), len(ITEMS)))
+    term = np.repeat(ix.block_key // ix.blocks, np.diff(ix.block_first))
+    dense[term, ix.item] = ix.impact
     terms, counts = [], []
     for i in range(60):
-        w = [ix.vocab[x] for x in ix.vocab if rng.random() < 0.05] + ([ix.vocab[x.strip(".")] for x in ITEMS[i % 30][1].split()[:14]] if i % 2 else [])
-        terms.append(np.unique(w))
+        w = np.flatnonzero(rng.random(len(ix.terms)) < 0.05)
+        terms.append(np.unique(np.concatenate([w, np.flatnonzero(dense[:, i % 30])[: 14 * (i % 2)]])))
         counts.append(len(terms[-1]))
     p, j, s = ix.retrieve(np.concatenate(terms), np.array(counts))
-    want = {(q, int(k)) for q, t in enumerate(terms) for k in np.flatnonzero(ix.impact[t].astype(float).sum(0) >= 1 - 1e-6)}
+    want = {(q, int(k)) for q, t in enumerate(terms) for k in np.flatnonzero(dense[t].sum(0) >= 1 - 1e-6)}
     assert set(zip(p.tolist(), j.tolist(), strict=True)) == want
-    assert len(want) >= 30
+    assert len(want) >= 20
     assert (s >= 1 - 1e-6).all()
+    assert all(len(question_answer(t)[1]) >= 3 for _, t in ITEMS)
 
 
 def test_decontamination(spark, docs_of):
@@ -177,6 +226,9 @@ def test_decontamination(spark, docs_of):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i or -1 for i, _ in rows if i is None or not 200 <= i < 300)
     assert retrieve(docs, bench.limit(0)).collect() == []
     assert retrieve(docs_of([]), bench).collect() == []
+    clash = docs.withColumnsRenamed({"lang": "item_id", "source": "bm25"})
+    assert clean_documents(clash, bench).count() == kept.count()
+    assert clean_documents(clash, bench).schema == clash.schema
 
 
 @pytest.mark.parametrize("chars", [1, 700, 2600])
@@ -191,8 +243,8 @@ def test_chunks_of_a_benchmark_give_the_rows_of_one(spark, docs_of, monkeypatch,
     bench, docs = spark.createDataFrame(mixed, "item_id long, text string"), docs_of(rows)
     one = sorted(map(tuple, retrieve(docs, bench).collect()))
     kept = {r.doc_id for r in clean_documents(docs, bench).collect()}
-    monkeypatch.setattr(decontamination, "INDEX_CHARS", chars)
-    assert len(list(decontamination.index_chunks(bench))) > 1
+    monkeypatch.setattr(decontamination, "SEGMENT_CHARS", chars)
+    assert len(decontamination.write_index(bench)) > 1
     assert sorted(map(tuple, retrieve(docs, bench).collect())) == one
     assert {r.doc_id for r in clean_documents(docs, bench).collect()} == kept
     assert len(one) > len(mixed)
