@@ -1,13 +1,14 @@
 """Quality rules: text statistics and robust multivariate outliers, in DataFrame functions alone.
 
 A text's statistics are transformed to a vector of ``DIMS``. Minimum-covariance-determinant estimates of centre and
-scatter are fitted per language and source: from coordinate medians, concentration steps keep the half of the
-group nearest by Mahalanobis distance and re-estimate from it. A text whose distance exceeds ``CUTOFF`` is rejected.
+scatter are fitted per language and source: from two starts (coordinate medians; mean and covariance of all)
+concentration steps keep the half of the group nearest by Mahalanobis distance and re-estimate from it, and the start
+whose half ends with the least determinant stands. A text whose distance exceeds ``CUTOFF`` is rejected.
 Equal texts of a group count once in its estimates, so a group of copies cannot become the norm. Groups of fewer
 than ``MIN_ROWS`` different texts use the estimate of their language, or else of all texts.
 
 Defined results: a null text has no words (so it fails the base rules); null lang or source is a group of its own;
-repeated rows are judged each; an empty table gives no rows; other columns are ignored.
+repeated rows are judged each; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def distance2(groups: DataFrame) -> DataFrame:
             cols[f"l_{i}{j}"] = off / F.col(f"l_{j}{j}")
         if cols:
             groups = groups.withColumns(cols)
-    return groups.select("gkey", "n", *[f"m_{i}" for i in range(d)], *[f"l_{i}{j}" for i in range(d) for j in range(i + 1)])
+    return groups.select("gkey", "start", "n", *[f"m_{i}" for i in range(d)], *[f"l_{i}{j}" for i in range(d) for j in range(i + 1)])
 
 
 def with_distance(rows: DataFrame) -> DataFrame:
@@ -133,25 +134,33 @@ def mcd_estimates(vectors: DataFrame) -> DataFrame:
     levels = F.explode(F.array(*[_group_key(x) for x in range(3)])).alias("gkey")
     sample = vectors.where("NOT base_failed").groupBy("lang", "source", "text_hash").agg(*[F.first(c).alias(c) for c in DIMS])
     rows = stage(sample.select(levels, *DIMS), "mcd-rows")
-    start = rows.groupBy("gkey").agg(F.count("*").alias("n"), *[F.expr(f"percentile({c}, 0.5)").alias(f"m_{i}") for i, c in enumerate(DIMS)])
+    by_median = rows.groupBy("gkey").agg(F.count("*").alias("n"), *[F.expr(f"percentile({c}, 0.5)").alias(f"m_{i}") for i, c in enumerate(DIMS)])
     for i in range(d):
         for j in range(i + 1):
-            start = start.withColumn(f"l_{i}{j}", F.lit(float(FLOOR[i]) if i == j else 0.0))
-    groups = stage(start, "mcd-groups")
+            by_median = by_median.withColumn(f"l_{i}{j}", F.lit(float(FLOOR[i]) if i == j else 0.0))
+    by_mean = distance2(_moments(rows.withColumn("start", F.lit(1)), F.count("*")))
+    groups = stage(by_median.withColumn("start", F.lit(0)).unionByName(by_mean), "mcd-groups")
     n_groups = groups.count()
     for _ in range(STEPS):
         near = with_distance(_join_groups(rows, groups, n_groups)).withColumn("rank", F.round(F.log1p("d2"), 3))
-        near = near.select("gkey", "rank", *DIMS)
-        limit = near.groupBy("gkey").agg(F.count("*").alias("n"), F.expr(f"percentile(rank, {HALF})").alias("limit"))
-        core = _join_groups(near, limit, n_groups).where("rank <= limit")
-        sums = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(DIMS)]
-        sums += [F.covar_pop(DIMS[i], DIMS[j]).alias(f"c_{i}{j}") for i in range(d) for j in range(i, d)]
-        est = core.groupBy("gkey").agg(F.first("n").alias("n"), *sums)
-        est = est.withColumns({f"s_{i}{j}": F.coalesce(F.col(f"c_{i}{j}"), F.lit(0.0)) * CONSISTENCY + (FLOOR[i] ** 2 if i == j else 0.0) for i in range(d) for j in range(i, d)})
-        before, groups = groups, stage(distance2(est), "mcd-groups")
+        near = near.select("gkey", "start", "rank", *DIMS)
+        limit = near.groupBy("gkey", "start").agg(F.count("*").alias("n"), F.expr(f"percentile(rank, {HALF})").alias("limit"))
+        core = near.join(F.broadcast(limit) if n_groups <= BROADCAST_GROUPS else limit, ["gkey", "start"]).where("rank <= limit")
+        before, groups = groups, stage(distance2(_moments(core, F.first("n"))), "mcd-groups")
         unstage(before)
     unstage(rows)
-    return groups
+    log_det = sum((F.log(f"l_{i}{i}") for i in range(d)), F.lit(0.0))
+    best = groups.groupBy("gkey").agg(F.min_by(F.struct(*[c for c in groups.columns if c not in ("gkey", "start")]), F.struct(F.round(log_det, 9), "start")).alias("g"))
+    return stage(best.select("gkey", "g.*"), "mcd-best")
+
+
+def _moments(rows: DataFrame, n: Column) -> DataFrame:
+    """Means m_i and scatters s_ij of the rows of each group and start."""
+    d = len(DIMS)
+    sums = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(DIMS)]
+    sums += [F.covar_pop(DIMS[i], DIMS[j]).alias(f"c_{i}{j}") for i in range(d) for j in range(i, d)]
+    est = rows.groupBy("gkey", "start").agg(n.alias("n"), *sums)
+    return est.withColumns({f"s_{i}{j}": F.coalesce(F.col(f"c_{i}{j}"), F.lit(0.0)) * CONSISTENCY + (FLOOR[i] ** 2 if i == j else 0.0) for i in range(d) for j in range(i, d)})
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -216,6 +225,10 @@ def op1_sql() -> str:
             out += [f"(s_{j}{i}" + "".join(f" - l_{i}{k} * l_{j}{k}" for k in range(j)) + f") / l_{j}{j} AS l_{i}{j}" for i in range(j + 1, d)]
         return ", ".join(out)
 
+    def lower_of() -> str:
+        return ", ".join(f"l_{i}{j}" for i, j in lower)
+
+    scatter = ", ".join(f"coalesce(covar_pop({DIMS[i]}, {DIMS[j]}), 0) * {CONSISTENCY} + {FLOOR[i] ** 2 if i == j else 0.0} AS s_{i}{j}" for i, j in pairs)
     ctes = [
         f"w AS (SELECT doc_id, lang, source, text, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{ws}+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\x0c\\r]')) AS ln FROM documents)",
         "gram AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w))",
@@ -225,18 +238,19 @@ def op1_sql() -> str:
         "v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, round(ln(CAST(n_words + 1 AS DOUBLE)), 3) AS ln_words, round(ln((word_chars + 1) / (n_words + 1)), 3) AS ln_word_len, round(ln(1 + 100 * n_symbols / (n_words + 1)), 3) AS ln_symbols, round(n_dup_lines / (n_lines + 1), 3) AS dup_lines, round(n_repeat_words / (n_words + 1), 3) AS repeats FROM st)",
         f"smp AS (SELECT lang, source, text, {', '.join(f'any_value({c}) AS {c}' for c in DIMS)} FROM v WHERE NOT base_failed GROUP BY lang, source, text)",
         "rws AS (" + " UNION ALL ".join(f"SELECT {k} AS gkey, {', '.join(DIMS)} FROM smp" for k in keys) + ")",
-        "g0 AS (SELECT gkey, count(*) AS n, " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{i}" for i, c in enumerate(DIMS)) + ", " + ", ".join(f"{FLOOR[i] if i == j else 0.0}::DOUBLE AS l_{i}{j}" for i, j in lower) + " FROM rws GROUP BY gkey)",
+        "g0 AS (SELECT gkey, 0 AS start, count(*) AS n, " + ", ".join(f"quantile_cont({c}, 0.5) AS m_{i}" for i, c in enumerate(DIMS)) + ", " + ", ".join(f"{FLOOR[i] if i == j else 0.0}::DOUBLE AS l_{i}{j}" for i, j in lower) + " FROM rws GROUP BY gkey"
+        + f" UNION ALL SELECT gkey, 1 AS start, n, {', '.join(f'm_{i}' for i in range(d))}, {lower_of()} FROM (SELECT *, {factor()} FROM (SELECT gkey, count(*) AS n, {', '.join(f'avg({c}) AS m_{i}' for i, c in enumerate(DIMS))}, {scatter} FROM rws GROUP BY gkey)))",
     ]
     for s in range(1, STEPS + 1):
         g = f"g{s - 1}"
-        scatter = ", ".join(f"coalesce(covar_pop({DIMS[i]}, {DIMS[j]}), 0) * {CONSISTENCY} + {FLOOR[i] ** 2 if i == j else 0.0} AS s_{i}{j}" for i, j in pairs)
         ctes += [
-            f"n{s} AS (SELECT gkey, round(ln(1 + d2), 3) AS rank, {', '.join(DIMS)} FROM (SELECT rws.*, {z(g)} FROM rws JOIN {g} USING (gkey)))",
-            f"q{s} AS (SELECT gkey, count(*) AS n, quantile_cont(rank, {HALF}) AS lim FROM n{s} GROUP BY gkey)",
-            f"e{s} AS (SELECT gkey, any_value(n) AS n, {', '.join(f'avg({c}) AS m_{i}' for i, c in enumerate(DIMS))}, {scatter} FROM n{s} JOIN q{s} USING (gkey) WHERE rank <= lim GROUP BY gkey)",
-            f"g{s} AS (SELECT gkey, n, {', '.join(f'm_{i}' for i in range(d))}, {factor()} FROM e{s})",
+            f"n{s} AS (SELECT gkey, start, round(ln(1 + d2), 3) AS rank, {', '.join(DIMS)} FROM (SELECT rws.*, {g}.start, {z(g)} FROM rws JOIN {g} USING (gkey)))",
+            f"q{s} AS (SELECT gkey, start, count(*) AS n, quantile_cont(rank, {HALF}) AS lim FROM n{s} GROUP BY gkey, start)",
+            f"e{s} AS (SELECT gkey, start, any_value(n) AS n, {', '.join(f'avg({c}) AS m_{i}' for i, c in enumerate(DIMS))}, {scatter} FROM n{s} JOIN q{s} USING (gkey, start) WHERE rank <= lim GROUP BY gkey, start)",
+            f"g{s} AS (SELECT gkey, start, n, {', '.join(f'm_{i}' for i in range(d))}, {lower_of()} FROM (SELECT *, {factor()} FROM e{s}))",
         ]
-    last = f"g{STEPS}"
+    ctes.append(f"best AS (SELECT * FROM g{STEPS} QUALIFY row_number() OVER (PARTITION BY gkey ORDER BY round({' + '.join(f'ln(l_{i}{i})' for i in range(d))}, 9), start) = 1)")
+    last = "best"
     ctes += [
         "pick AS (SELECT ls.lang, ls.source, g.* FROM (SELECT DISTINCT lang, source FROM v) ls JOIN "
         + f"(SELECT * FROM {last} WHERE n >= {MIN_ROWS} OR gkey = '2') g ON g.gkey IN ({', '.join(keys)}) QUALIFY row_number() OVER (PARTITION BY ls.lang, ls.source ORDER BY gkey) = 1)",

@@ -4,12 +4,14 @@ A record hashes into one of a fixed number of virtual slots (thousands). Bytes a
 versioned map says which shard holds which slot. Rebalancing never rehashes records: it writes a new version
 of the map in which a few slots have moved.
 
-Defined results: a null text has no bytes and crc32 0 (as an empty one); a null doc_id hashes by its text;
-repeated rows are separate records; an empty table gives a map of empty slots and no rows.
+Defined results: a null text has no bytes and crc32 0 (as an empty one); records hash by doc_id and text, so rows of one
+doc_id spread over slots, and only equal rows share one; repeated rows are separate records; an empty table gives a map
+of empty slots and no rows; other columns are not read, whatever their names; where no map is stored, loading gives None.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from dataclasses import dataclass, field
 
@@ -18,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import read_table, stage
+from .common import _fs, read_table, scratch_path, stage
 
 N_SLOTS = 4096
 #: Sub-buckets of a slot, so that numbering the rows of a shard is dealt over slots * sub-buckets tasks.
 N_SUB = 8
-MAP_SCHEMA = "version int, slot int, shard int, slot_bytes long"
+MAP_SCHEMA = "version int, n_shards int, slot int, shard int, slot_bytes long"
 
 
 @dataclass
@@ -86,38 +88,87 @@ class SlotMap:
                     heapq.heappush(heavy, (-load[s], s))
         return SlotMap(self.version + 1, n_shards, shard, list(self.slot_bytes))
 
-    def rebalanced(self, slot_bytes: list[int], tolerance: float = 0.02) -> SlotMap:
-        """The next version for new sizes: slots leave shards above the share by more than ``tolerance`` for the lightest."""
+    @classmethod
+    def even(cls, n_slots: int, n_shards: int) -> SlotMap:
+        """Version 1 before any bytes are known: slots in turn."""
+        return cls(1, n_shards, [i % n_shards for i in range(n_slots)], [0] * n_slots)
+
+    def rebalanced(self, slot_bytes: list[int]) -> SlotMap:
+        """The next version for new sizes. Shards above the share give up slots, greatest first, while they stay above it;
+        those go to the lightest shards; then the heaviest and the lightest shard exchange single slots as long as that
+        brings the two nearer. All other slots stay where they are."""
         now = SlotMap(self.version + 1, self.n_shards, list(self.shard), list(slot_bytes))
         load = now.shard_bytes()
         share = sum(load) / self.n_shards
-        for slot in sorted(range(len(slot_bytes)), key=lambda i: (-slot_bytes[i], i)):
-            s, b = now.shard[slot], slot_bytes[slot]
-            to = min(range(self.n_shards), key=lambda x: (load[x], x))
-            if b and load[s] > share * (1 + tolerance) and load[to] + b < load[s]:
-                now.shard[slot] = to
-                load[s] -= b
-                load[to] += b
+        order = sorted((i for i, b in enumerate(slot_bytes) if b), key=lambda i: (-slot_bytes[i], i))
+        pool = []
+        for slot in order:
+            if load[now.shard[slot]] - slot_bytes[slot] >= share:
+                load[now.shard[slot]] -= slot_bytes[slot]
+                pool.append(slot)
+        heap = [(x, s) for s, x in enumerate(load)]
+        heapq.heapify(heap)
+        for slot in pool:
+            x, s = heapq.heappop(heap)
+            now.shard[slot] = s
+            heapq.heappush(heap, (x + slot_bytes[slot], s))
+        load = now.shard_bytes()
+        held: list[list[tuple[int, int]]] = [[] for _ in range(self.n_shards)]
+        for slot in order:
+            held[now.shard[slot]].append((slot_bytes[slot], slot))
+        for h in held:
+            h.sort()
+        for _ in range(len(slot_bytes)):
+            top, low = max(range(self.n_shards), key=lambda s: (load[s], -s)), min(range(self.n_shards), key=lambda s: (load[s], s))
+            change = _exchange(held[top], held[low], load[top] - load[low])
+            if change is None:
+                break
+            give, take = change
+            for (size, slot), source, target in ((give, top, low), (take, low, top)):
+                if size:
+                    held[source].remove((size, slot))
+                    bisect.insort(held[target], (size, slot))
+                    now.shard[slot] = target
+                    load[source] -= size
+                    load[target] += size
         return now
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Append this version to the map table at ``path``."""
-        rows = [(self.version, i, s, b) for i, (s, b) in enumerate(zip(self.shard, self.slot_bytes, strict=True))]
-        spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        """Add this version to the map table at ``path``, a folder of its own that is whole or absent."""
+        rows = [(self.version, self.n_shards, i, s, b) for i, (s, b) in enumerate(zip(self.shard, self.slot_bytes, strict=True))]
+        spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.parquet(f"{path}/version-{self.version}")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        t = spark.read.schema(MAP_SCHEMA).parquet(path)
-        if version is None:
-            version = t.agg(F.max("version")).first()[0]
-        rows = t.where(F.col("version") == version).orderBy("slot").collect()
-        return cls(version, max(r.shard for r in rows) + 1, [r.shard for r in rows], [r.slot_bytes for r in rows])
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+        """A version, the latest by default; None where there is none."""
+        fs, p = _fs(spark, path)
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        whole = [int(x[8:]) for x in names if x[:8] == "version-" and x[8:].isdigit() and _fs(spark, f"{path}/{x}/_SUCCESS")[0].exists(_fs(spark, f"{path}/{x}/_SUCCESS")[1])]
+        if not whole or (version is not None and version not in whole):
+            return None
+        version = max(whole) if version is None else version
+        rows = spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version-{version}").orderBy("slot").collect()
+        return cls(version, rows[0].n_shards, [r.shard for r in rows], [r.slot_bytes for r in rows])
+
+
+def _exchange(top: list[tuple[int, int]], low: list[tuple[int, int]], gap: int) -> tuple[tuple[int, int], tuple[int, int]] | None:
+    """A slot of ``top`` and one of ``low`` (or none, of size 0) whose exchange brings two loads ``gap`` apart nearest to
+    each other; None where no exchange brings them nearer. Both lists ascend."""
+    others = [(0, -1), *low]
+    best: tuple[int, tuple[int, int], tuple[int, int]] | None = None
+    for give in top:
+        i = bisect.bisect_left(others, (give[0] - gap // 2, -2))
+        for take in others[max(0, i - 1) : i + 1]:
+            left = abs(gap - 2 * (give[0] - take[0]))
+            if left < (gap if best is None else best[0]):
+                best = left, give, take
+    return best and best[1:]
 
 
 def with_slot(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and the virtual slot with its sub-bucket. Texts are read once and go no further."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    h = F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text")))
+    h = F.xxhash64("doc_id", "text")
     return docs.select(
         "doc_id",
         (F.octet_length(raw).cast("long") + 1).alias("size"),
@@ -150,20 +201,31 @@ def shard_rows(slotted: DataFrame, slot_map: SlotMap, counts: dict[tuple[int, in
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS) -> tuple[DataFrame, SlotMap]:
-    """Balance the virtual slots over the shards by bytes; the rows with shard and place, and the map."""
+def shard_documents(docs: DataFrame, map_path: str, n_shards: int = 16, n_slots: int = N_SLOTS) -> tuple[DataFrame, SlotMap]:
+    """The rows with shard and place, by the map stored at ``map_path``: the latest version (a first one of even slots where
+    there is none) is grown to ``n_shards`` if it has fewer, rebalanced to the bytes of these rows, saved as the next
+    version and read back."""
+    spark = docs.sparkSession
     slotted = stage(with_slot(docs, n_slots), "slots")
     buckets = slotted.groupBy("vslot", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()
     slot_bytes = [0] * n_slots
     for r in buckets:
         slot_bytes[r.vslot] += r.b
-    slot_map = SlotMap.balanced(slot_bytes, n_shards)
+    if SlotMap.load(spark, map_path) is None:
+        SlotMap.even(n_slots, n_shards).save(spark, map_path)
+    stored = SlotMap.load(spark, map_path)
+    if len(stored.shard) != n_slots or stored.n_shards > n_shards:
+        raise ValueError(f"the stored map has {len(stored.shard)} slots and {stored.n_shards} shards")
+    if stored.n_shards < n_shards:
+        stored = stored.grown(n_shards)
+    stored.rebalanced(slot_bytes).save(spark, map_path)
+    slot_map = SlotMap.load(spark, map_path)
     return shard_rows(slotted, slot_map, {(r.vslot, r.sub): r.n for r in buckets}), slot_map
 
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
-    rows, slot_map = shard_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows, slot_map = shard_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "slot-map"))
     return rows.select(
         "doc_id",
         "size",

@@ -1,11 +1,12 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from peakloom.llm import queries
-from peakloom.llm.quotations import OP4_SQL, chat_documents, link_quotations
+from peakloom.llm.quotations import OP4_SQL, branch_paths, chat_documents, link_quotations
 
 from .conftest import words
 
@@ -13,7 +14,11 @@ MESSAGES = [
     (1, 0, "u", "Hello World\nSecond line"), (1, 1, "a", "> hello  world\nHi there"), (1, 2, "u", "ok\nfine"),
     (1, 3, "a", ">> Hello World\n> Hi there\n> second LINE\nreply"), (1, 4, "u", "> hello world\nnew"), (1, 5, "a", "cont"),
     (1, 6, "u", "> new\n> zzz\nlast"), (2, 0, "u", None), (2, 1, "a", "> none\n"), (2, 1, "a", "dup"), (2, 1, "a", "dup"),
-    (None, 0, "u", "x"), (None, None, "u", "> x"), (3, 0, "u", ""), (3, 2, None, "> > deep\nq"),
+    (None, 0, "u", "x"), (None, None, "u", "> x"), (3, 0, "u", ""), (3, 2, None, "> > deep\nq"), (3, None, "u", "early\n> deep"),
+    (4, 0, "u", "The first message has a long line\nthat goes on, and a second one.\n\nAnother paragraph."), (4, 1, "a", "unrelated"),
+    (4, 2, "u", "> The first message has a long line that\n> goes on, and a\n> second one.\nright"), (4, 3, "a", ">> The first message has a long line that goes on, and a second one.\n> right\nno"),
+    (4, 4, "u", "> unrelated\nwhy"), (4, 5, "a", "> > > the first message has a long line that goes on, and a second one.\ndeepest"), (4, 6, "u", ">> another paragraph.\nnobody quoted it"),
+    (5, 0, "u", "long " * 9000), (5, 1, "a", "> " + "long " * 9000), (6, 1, "u", "same\n> same"), (6, 1, "u", "> same\nsame"), (6, 2, "a", "> same"),
 ]
 
 
@@ -36,13 +41,27 @@ def test_branches_and_chat(spark):
     d = spark.createDataFrame(MESSAGES, "conv_id long, turn long, role string, text string")
     out = link_quotations(d)
     got = {r.turn: r for r in out.where("conv_id = 1").collect()}
-    assert [got[t].reply_to for t in range(7)] == [None, 0, 1, 0, 0, 4, 4]
+    assert [got[t].reply_to for t in range(7)] == [None, 0, 1, 1, 0, 4, 4]
     assert got[3].n_linked == 2
     assert got[3].quote_levels == 2
     assert all(">" not in r.clean_text for r in out.collect())
+    four = {r.turn: r for r in out.where("conv_id = 4").collect()}
+    assert [four[t].reply_to for t in range(7)] == [None, 0, 0, 2, 1, 3, 0]
+    assert [r.reply_to for r in out.where("conv_id = 5").orderBy("turn").collect()] == [None, 0]
+    assert {(r.position, r.depth, r.reply_to) for r in out.where("conv_id IS NULL").collect()} == {(0, 1, None)}
     chat = {r.conv_id: r.chat for r in chat_documents(out).collect()}
     assert chat[1].startswith("<|u|>\nHello World\nSecond line\n<|a|>\nHi there")
     assert link_quotations(d.limit(0)).collect() == []
+    clash = d.withColumns({"level": F.lit("x"), "path": F.lit("y"), "reply_to": F.lit(1)})
+    assert sorted(map(repr, link_quotations(clash).collect())) == sorted(map(repr, out.collect()))
+
+
+def test_paths_of_a_deep_chain(spark):
+    chain = spark.createDataFrame([(1, i, i - 1 if i else None) for i in range(70)] + [(2, 5, None)], "conv_id long, start long, parent long")
+    got = {(r.conv_id, r.start): r.path for r in branch_paths(chain).collect()}
+    assert got[1, 69] == list(range(70))
+    assert got[2, 5] == [5]
+    assert len(got) == 71
 
 
 def test_registered():

@@ -1,10 +1,12 @@
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from peakloom.llm.quality_rules import mcd_estimates, quality_rules, text_stats, vector
-from peakloom.llm.sharding import SlotMap, shard_documents
+from peakloom.llm.quality_rules import DIMS, OP1_SQL, mcd_estimates, quality_rules, text_stats, vector
+from peakloom.llm.sharding import SlotMap, shard_documents, with_slot
 
 from .conftest import ODD, words
 
@@ -53,14 +55,58 @@ def test_estimates_are_those_of_the_near_half(docs_of):
     assert r.l_00 >= 0.8
 
 
+def mcd_by_hand(x):
+    """(centre, scatter) of the start whose concentrated half has the least determinant."""
+    from peakloom.llm.quality_rules import CONSISTENCY, FLOOR, HALF, STEPS
+
+    floor = np.diag(np.array(FLOOR) ** 2)
+    best = None
+    for m, c in ((np.median(x, axis=0), floor), (x.mean(axis=0), np.cov(x.T, bias=True) * CONSISTENCY + floor)):
+        for _ in range(STEPS):
+            d = x - m
+            rank = np.round(np.log1p(np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d)), 3)
+            core = x[rank <= np.quantile(rank, HALF)]
+            m, c = core.mean(axis=0), np.cov(core.T, bias=True) * CONSISTENCY + floor
+        det = np.linalg.slogdet(c)[1]
+        if best is None or det < best[0] - 1e-8:
+            best = det, m, c
+    return best[1:]
+
+
+def test_estimates_are_those_of_plain_steps(docs_of):
+    rng = np.random.default_rng(13)
+    rows = [(i, " ".join(("ab" * int(rng.integers(1, 4)) if rng.random() < 0.3 else w) for w in words(rng, int(rng.integers(60, 900)), 900)) + " #" * int(rng.integers(0, 9))) for i in range(90)]
+    rows += [(200 + i, "%$ " * 40 + " ".join(words(rng, 90, 20))) for i in range(30)]
+    v = vector(text_stats(docs_of(rows)))
+    x = np.array([[r[c] for c in DIMS] for r in v.where("NOT base_failed").collect()])
+    assert len(x) > 50
+    m, c = mcd_by_hand(x)
+    r = next(r for r in mcd_estimates(v).collect() if '"level":0' in r.gkey)
+    low = np.linalg.cholesky(c)
+    assert np.allclose([r[f"m_{i}"] for i in range(5)], m)
+    assert np.allclose([[r[f"l_{i}{j}"] for j in range(i + 1)] for i in range(5)][4], low[4])
+
+
+def test_rules_match_sql(spark, docs_of, tmp_path):
+    rng = np.random.default_rng(14)
+    rows = ODD + [(10 + i, " ".join(words(rng, int(rng.integers(20, 300)), 300)) + " %" * (i % 7)) for i in range(150)]
+    docs = docs_of(rows).withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("source")))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = {(r[0], r[1], r[7], r[8] and round(r[8], 4)) for r in con.sql(f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2 FROM ({OP1_SQL})").fetchall()}
+    got = {(r.doc_id, r.n_words, r.kept, r.distance2 and round(r.distance2, 4)) for r in quality_rules(docs.withColumn("kept", F.lit(1))).collect()}
+    assert got == want
+
+
 def test_rules_of_an_empty_table(docs_of):
     assert quality_rules(docs_of([])).collect() == []
 
 
-def test_shards(docs_of):
+def test_shards(spark, docs_of, tmp_path):
     rng = np.random.default_rng(4)
     rows = ODD + [(100 + i, " ".join(words(rng, int(rng.integers(1, 200))))) for i in range(400)]
-    out, m = shard_documents(docs_of(rows), 4, 64)
+    out, m = shard_documents(docs_of(rows), f"{tmp_path.as_uri()}/m", 4, 64)
     got = out.collect()
     assert len(got) == len(rows)
     sizes = [0] * 4
@@ -71,7 +117,21 @@ def test_shards(docs_of):
     assert sizes == m.shard_bytes()
     want = sorted((i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
     assert sorted((r.doc_id or -1, r["size"], r.text_crc32) for r in got) == want
-    assert shard_documents(docs_of([]))[0].collect() == []
+    assert m == SlotMap.load(spark, f"{tmp_path.as_uri()}/m")
+    assert m.version == 2
+    small = sorted(sizes)[:3]  # one text is longer than a share
+    assert small[2] - small[0] <= 0.03 * small[2]
+    more = docs_of([*rows, *((1000 + i, "x" * 50) for i in range(200))])
+    out, n = shard_documents(more.withColumnsRenamed({"lang": "slot", "source": "shard"}), f"{tmp_path.as_uri()}/m", 5, 64)
+    assert (n.version, n.n_shards) == (4, 5)
+    assert out.count() == len(rows) + 200
+    assert SlotMap.load(spark, f"{tmp_path.as_uri()}/m", 2) == m
+    assert shard_documents(docs_of([]), f"{tmp_path.as_uri()}/e")[0].collect() == []
+
+
+def test_rows_of_one_id_spread(docs_of):
+    slots = with_slot(docs_of([(7, f"text {i}") for i in range(300)]), 64).select("vslot").distinct().count()
+    assert slots > 50
 
 
 def test_map_versions(spark, tmp_path):
@@ -85,11 +145,18 @@ def test_map_versions(spark, tmp_path):
     assert max(g.shard_bytes()) / (sum(b) / 9) < 1.05
     b[:64] = [x * 5 for x in b[:64]]
     r = g.rebalanced(b)
-    assert max(r.shard_bytes()) / (sum(b) / 9) < 1.06
+    assert max(r.shard_bytes()) / (sum(b) / 9) < 1.01
     for x in (m, g, r):
         x.save(spark, tmp_path.as_uri())
     assert SlotMap.load(spark, tmp_path.as_uri()) == r
     assert SlotMap.load(spark, tmp_path.as_uri(), 1).shard == m.shard
+    assert SlotMap.load(spark, tmp_path.as_uri(), 9) is None
+    assert SlotMap.load(spark, f"{tmp_path.as_uri()}/none") is None
+    few = SlotMap(1, 16, [0] * 8, [1] * 8)
+    few.save(spark, f"{tmp_path.as_uri()}/few")
+    assert SlotMap.load(spark, f"{tmp_path.as_uri()}/few").n_shards == 16
+    assert sum(a != z for a, z in zip(g.shard, r.shard, strict=True)) < 250
+    assert max(r.shard_bytes()) - min(r.shard_bytes()) <= 0.002 * sum(b)
 
 
 @pytest.mark.parametrize("n", [1, 16])
