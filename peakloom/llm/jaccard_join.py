@@ -387,7 +387,8 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     ship(spark)
     members = stage(signatures(docs), "members")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, min(15, (size // BYTES_PER_SHINGLE // FRAGMENT_SHINGLES).bit_length()))
+    # five bits at least, so that hashes have 53; sixteen are what a packed id leaves room for
+    bits = max(5, min(16, (size // BYTES_PER_SHINGLE // FRAGMENT_SHINGLES).bit_length()))
     spreads = max(16, 1 << bits)
     shared = _scatter(docs, k, bits, spreads).groupBy("f").applyInArrow(_shared_ids(bits, spreads), ROWS_SCHEMA)
     merged = stage(shared.groupBy("f").applyInArrow(_merge_classes(percent), CLASSES_SCHEMA), "classes")
