@@ -10,7 +10,7 @@ import io
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+#: Bytes of a batch that Spark hands to Python.
+BATCH_BYTES = 8_000_000
 _OWN_DIR: dict[str, str] = {}
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``; ``bytes.split()`` cuts at exactly these.
@@ -76,11 +78,17 @@ def unstage(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that their Python can import it."""
+    """Send this package to the executors, once per application, so that their Python can import it; and bound the batches
+    of whole texts that they are handed, unless the application bounds them itself."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
+    if spark.sparkContext.getConf().get(BATCH) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     pkg = Path(__file__).resolve().parent.parent
     target = Path(tempfile.mkdtemp(prefix="peakloom-zip-")) / f"{pkg.name}.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
@@ -222,17 +230,23 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, dtype=np.int64) - (ends - lengths), lengths)
 
 
+def row_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(first, number) of consecutive rows with about ``limit`` bytes of text, a longer one alone."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(total[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
+        yield at, end - at
+        at = end
+
+
 def text_slices(batches, limit: int = 4_000_000):
     """Cut Arrow batches with columns doc_id, text into slices (ids, array of texts) of about ``limit`` bytes."""
     for b in batches:
         texts = b.column("text")
-        total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < b.num_rows:
-            before = int(total[at - 1]) if at else 0
-            end = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
-            yield b.column("doc_id").slice(at, end - at), texts.slice(at, end - at)
-            at = end
+        for at, n in row_slices(texts, limit):
+            yield b.column("doc_id").slice(at, n), texts.slice(at, n)
 
 
 def text_batches(batches, limit: int = 2_000_000):

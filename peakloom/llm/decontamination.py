@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import executor_task, map_arrays, ranges, read_table, register_memo, scratch_path, segments, ship, text_batches, write_arrays
+from .common import executor_task, map_arrays, ranges, read_table, register_memo, row_slices, scratch_path, segments, ship, text_batches, write_arrays
 
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself that a passage must reach.
@@ -328,8 +328,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.ones(b.num_rows, dtype=bool)
-            for lo in range(0, b.num_rows, 500):
-                every = [words(t) for t in b.column(at).slice(lo, 500).to_pylist()]
+            for lo, n in row_slices(b.column(at), 2_000_000):
+                every = [words(t) for t in b.column(at).slice(lo, n).to_pylist()]
                 for index in _indexes(uris):
                     for d, _, _, _, q, a in index.search(every):
                         keep[lo + d] &= not (q >= QUESTION and a >= ANSWER)

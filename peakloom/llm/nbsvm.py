@@ -21,9 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, executor_task, mix64, read_table, register_memo, segments, ship, text_batches
+from .common import crc_bucket, executor_task, mix64, read_table, register_memo, row_slices, segments, ship, text_batches
 
 BITS = 18
+#: Bytes of text whose n-grams are counted at a time.
+SLICE = 1_000_000
 #: Labelled rows that the fit may use, bytes of their texts, and passes of coordinate descent over them.
 MAX_TRAIN = 6000
 MAX_TRAIN_BYTES = 64_000_000
@@ -55,7 +57,7 @@ def shape(word: str) -> str:
 class WordTable(dict):
     """word -> row of arrays with the hashes of the word and of its shape."""
 
-    LIMIT = 500_000
+    LIMIT = 400_000
 
     def __init__(self) -> None:
         super().__init__()
@@ -220,9 +222,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     @executor_task("words and shapes")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f, n = indicators(b.column("text").to_pylist())
-            at = segments(n)
-            yield pa.record_batch([b.column("doc_id"), b.column("quality"), pa.array([f[a:z].astype("<i4").tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "quality", "grams"])
+            for lo, rows in row_slices(b.column("text"), SLICE):
+                f, n = indicators(b.column("text").slice(lo, rows).to_pylist())
+                at = segments(n)
+                own = pa.array([f[a:z].astype("<i4").tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.record_batch([b.column("doc_id").slice(lo, rows), b.column("quality").slice(lo, rows), own], names=["doc_id", "quality", "grams"])
 
     got = training_rows(docs, labels, max_train).select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, grams binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["quality"], bytes(r["grams"])))
@@ -240,7 +244,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     @executor_task("words and shapes")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(weights, *rest)
-        for ids, texts in text_batches(batches):
+        for ids, texts in text_batches(batches, SLICE):
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(m.scores(texts))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
@@ -255,9 +259,8 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(weights, *rest)
         for b in batches:
-            texts, keep = b.column("text"), []
-            for lo in range(0, b.num_rows, 1000):
-                keep.append(m.scores(texts.slice(lo, 1000).to_pylist()) >= 0.5)
+            texts = b.column("text")
+            keep = [m.scores(texts.slice(at, n).to_pylist()) >= 0.5 for at, n in row_slices(texts, SLICE)]
             yield b.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, dtype=bool)))
 
     return docs.mapInArrow(run, docs.schema)
