@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from .common import WordHashes, executor_task, mix64, read_table, segments, ship, stage, text_batches, text_bytes, unstage
 
 FRAGMENT_SHINGLES = 2_000_000
-BATCH_SHINGLES = 700_000
+BATCH_SHINGLES = 500_000
 BLOCK_IDS = 500_000
 #: Fragments of a pair's verification.
 PAIR_FRAGMENTS = 8
 #: Bytes of text to a shingle, for the number of fragments only.
 BYTES_PER_SHINGLE = 6
-_HASHES = WordHashes("shingles", 90_000_000)
+_HASHES = WordHashes("shingles", 60_000_000)
 
 _ROWS = pa.schema([("f", pa.int32()), ("sigs", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
 ROWS_SCHEMA = "f int, sigs binary, counts binary, low binary, high binary"

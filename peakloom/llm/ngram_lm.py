@@ -1,7 +1,7 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Words are 64-bit hashes; their ids are their ranks, over hash-range shards. The trie has a level of words (counts) and
-a level of successors. Successor ids of a context, shifted by the context's base, form one monotone sequence in
+Words are 62-bit hashes; their ids are their ranks, over hash-range shards. The trie has a level of words (their hashes in
+Elias-Fano code, with exact counts, which the base score needs) and a level of successors. Successor ids of a context, shifted by the context's base, form one monotone sequence in
 Elias-Fano code; pointers (where a context's successors begin) and bases are two more. A pair is found by decoding
 its context's pointers and base and searching for the successor of base + id in the sequence, which must fall between the
 pointers. Probabilities (interpolated absolute discounting over add-one unigrams) and back-off weights are
@@ -9,7 +9,8 @@ quantised. Each shard's level is one file in the shared folder, written whole un
 mapped into memory by every task that scores.
 
 Defined results: a null or empty text is the end token alone; training and scoring read whole texts of all rows;
-with no training rows every probability is that of the one unknown word; repeated rows are scored each.
+with no training rows every probability is that of the one unknown word; repeated rows are scored each; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,13 @@ DISCOUNT = 0.75
 #: Quantisation of log10 values: 16 bits over this range.
 LOWEST = -16.0
 
+#: Bits of a word's hash; two are left free for the code of the first level.
+HASH_BITS = 62
+#: Ids of words travel as 32-bit numbers, the beginning of a text among them.
+MOST_WORDS = (1 << 32) - 2
 SHARD_TOKENS = 5_000_000
+#: Shards beyond this number are larger.
+MOST_BITS = 17
 BYTES_PER_TOKEN = 6
 _HASHES = WordHashes("tokens", 120_000_000)
 
@@ -129,6 +136,20 @@ class EliasFano:
         return lo, equal
 
 
+def _packed(sequences: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, int]]:
+    """Arrays and numbers of monotone sequences, for a file."""
+    arrays, numbers = {}, {}
+    for k, v in sequences.items():
+        ef = EliasFano.of(v)
+        arrays |= {f"{k}.low": ef.low, f"{k}.high": ef.high, f"{k}.ranks": ef.ranks}
+        numbers |= {f"{k}.n": ef.n, f"{k}.bits": ef.bits}
+    return arrays, numbers
+
+
+def _sequence(arrays: dict[str, np.ndarray], numbers: dict[str, int], name: str) -> EliasFano:
+    return EliasFano(numbers[f"{name}.n"], numbers[f"{name}.bits"], *(arrays[f"{name}.{x}"] for x in ("low", "high", "ranks")))
+
+
 # --- levels ----------------------------------------------------------------------------------------------------
 
 
@@ -155,17 +176,17 @@ class Model:
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, training count) of each distinct hash; id -1 and count 0 if unknown. ``hashes`` ascend."""
         ids, counts = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
-        shard = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), dtype=np.int64)
+        shard = (hashes >> np.uint64(HASH_BITS - self.bits)).astype(np.int64)
         cut = np.searchsorted(shard, np.arange((1 << self.bits) + 1))
         for s in np.flatnonzero(np.diff(cut)).tolist():
             if self.first[s + 1] == self.first[s]:
                 continue
-            arrays, _ = map_arrays(f"{self.folder}/words-{s}")
-            mine = hashes[cut[s] : cut[s + 1]]
-            at = np.minimum(np.searchsorted(arrays["hash"], mine), len(arrays["hash"]) - 1)
-            hit = arrays["hash"][at] == mine
-            ids[cut[s] : cut[s + 1]] = np.where(hit, at + self.first[s], -1)
-            counts[cut[s] : cut[s + 1]] = np.where(hit, arrays["count"][at], 0)
+            arrays, num = map_arrays(f"{self.folder}/words-{s}")
+            level = _sequence(arrays, num, "hash")
+            mine = slice(cut[s], cut[s + 1])
+            at, hit = level.successor((hashes[mine] & np.uint64((1 << (HASH_BITS - self.bits)) - 1)).astype(np.int64))
+            ids[mine] = np.where(hit, at + self.first[s], -1)
+            counts[mine] = np.where(hit, arrays["count"][np.minimum(at, level.n - 1)], 0)
         return ids, counts
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
@@ -184,7 +205,7 @@ class Model:
             if not self.paired[s]:
                 continue
             a, num = map_arrays(f"{self.folder}/pairs-{s}")
-            seq = {k: EliasFano(num[f"{k}.n"], num[f"{k}.bits"], a[f"{k}.low"], a[f"{k}.high"], a[f"{k}.ranks"]) for k in ("next", "pointer", "base")}
+            seq = {k: _sequence(a, num, k) for k in ("next", "pointer", "base")}
             c, w = context[cut[s] : cut[s + 1]] - self.first[s], word[cut[s] : cut[s + 1]]
             begin, end, base = seq["pointer"].get(c), seq["pointer"].get(c + 1), seq["base"].get(c)
             i, equal = seq["next"].successor(base + np.maximum(w, 0))
@@ -225,8 +246,7 @@ def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         n[i] = len(w) + 1
         every += w
         every.append(b" end")
-    out = _HASHES.of(every)
-    return out, n
+    return _HASHES.of(every) >> np.uint64(64 - HASH_BITS), n
 
 
 _TABLE = pa.schema([("s", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
@@ -251,7 +271,7 @@ def _word_counts(docs: DataFrame, bits: int) -> DataFrame:
             h = np.concatenate([x for x, _ in held])
             u, at = np.unique(h, return_inverse=True)
             c = np.bincount(at, weights=np.concatenate([x for _, x in held])).astype("<u8")
-            shard = (u >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(u), dtype=np.int64)
+            shard = (u >> np.uint64(HASH_BITS - bits)).astype(np.int64)
             rows = [(s, u[x].astype("<u8").tobytes(), c[x].astype("<u4").tobytes(), b"", b"") for s, x in _by_shard(shard, bits)]
             return pa.record_batch([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _TABLE.types, strict=True)], schema=_TABLE)
 
@@ -272,13 +292,14 @@ def _join(t: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_py(), dtype=kind) for x in t.column(name)])
 
 
-def _write_words(folder: str):
+def _write_words(folder: str, bits: int):
     @executor_task("tokens")
     def run(t: pa.Table) -> pa.Table:
         s = t.column("s")[0].as_py()
         u, at = np.unique(_join(t, "a", "<u8"), return_inverse=True)
         c = np.bincount(at, weights=_join(t, "b", "<u4")).astype(np.uint64)
-        write_arrays(f"{folder}/words-{s}", {"hash": u, "count": c}, {})
+        arrays, numbers = _packed({"hash": u & np.uint64((1 << (HASH_BITS - bits)) - 1)})
+        write_arrays(f"{folder}/words-{s}", arrays | {"count": c.astype(np.uint32) if c.max(initial=0) < 1 << 32 else c}, numbers)
         return pa.table({"s": pa.array([s], pa.int32()), "words": pa.array([len(u)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64())})
 
     return run
@@ -342,11 +363,7 @@ def _write_pairs(model: Model):
         word_counts = _counts_of_ids(model, distinct)[back]
         weight = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
         p = (n - DISCOUNT) / total[context] + weight[context] * 10 ** model.unigram(word_counts)
-        arrays, numbers = {}, {}
-        for k, v in (("next", base[context] + word), ("pointer", pointer), ("base", base)):
-            ef = EliasFano.of(v)
-            arrays |= {f"{k}.low": ef.low, f"{k}.high": ef.high, f"{k}.ranks": ef.ranks}
-            numbers |= {f"{k}.n": ef.n, f"{k}.bits": ef.bits}
+        arrays, numbers = _packed({"next": base[context] + word, "pointer": pointer, "base": base})
         arrays |= {"probability": quantise(np.log10(p)), "backoff": quantise(np.log10(weight))}
         write_arrays(f"{model.folder}/pairs-{s}", arrays, numbers)
         return pa.table({"s": pa.array([s], pa.int32()), "pairs": pa.array([len(key)], pa.int64()), "bytes": pa.array([sum(v.nbytes for v in arrays.values())], pa.int64())})
@@ -368,15 +385,17 @@ def train(docs: DataFrame, folder: str) -> Model:
     spark = docs.sparkSession
     ship(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(0, min(14, (size // BYTES_PER_TOKEN // SHARD_TOKENS).bit_length()))
+    bits = min(MOST_BITS, (size // BYTES_PER_TOKEN // SHARD_TOKENS).bit_length())
     shards = 1 << bits
-    words = _word_counts(docs, bits).groupBy("s").applyInArrow(_write_words(folder), "s int, words long, tokens long").collect()
+    words = _word_counts(docs, bits).repartition(shards, "s").groupBy("s").applyInArrow(_write_words(folder, bits), "s int, words long, tokens long").collect()
     n = {r["s"]: r["words"] for r in words}
     first = [0]
     for s in range(shards):
         first.append(first[-1] + n.get(s, 0))
     model = Model(folder, bits, sum(r["tokens"] for r in words), first[-1], first, [False] * shards)
-    for r in _pair_counts(docs, model).groupBy("s").applyInArrow(_write_pairs(model), "s int, pairs long, bytes long").collect():
+    if model.vocabulary > MOST_WORDS:
+        raise ValueError(f"{model.vocabulary} different words; at most {MOST_WORDS}")
+    for r in _pair_counts(docs, model).repartition(shards, "s").groupBy("s").applyInArrow(_write_pairs(model), "s int, pairs long, bytes long").collect():
         model.paired[r["s"]] = True
     return model
 

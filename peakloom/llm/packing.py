@@ -26,6 +26,8 @@ from .tokens import MEMO, encoder
 CAPACITY = 4096
 PIECES_PER_PARTITION = 40_000
 MAX_ROUNDS = 4
+#: Bytes of the memo of token ids: packing runs last in a pipeline, beside heaps that earlier stages have filled.
+MEMO_BYTES = 120_000_000
 END_ID = 1
 PIECE_SCHEMA = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long, certified boolean"
@@ -37,7 +39,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
 
     @executor_task(MEMO)
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, "word")
+        enc = encoder(path, "word", MEMO_BYTES)
         for ids, texts in text_slices(batches):
             flat, lens = enc.encode(texts)
             at = segments(lens)

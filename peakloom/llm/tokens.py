@@ -31,8 +31,9 @@ class ChunkEncoder(dict):
     LIMIT = 180_000_000
     ENTRY = 190
 
-    def __init__(self, path: str, style: str):
+    def __init__(self, path: str, style: str, limit: int = LIMIT):
         super().__init__()
+        self.LIMIT = limit
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -190,9 +191,9 @@ def _empty() -> None:
 register_memo(MEMO, _empty)
 
 
-def encoder(path: str, style: str) -> ChunkEncoder:
+def encoder(path: str, style: str, limit: int = ChunkEncoder.LIMIT) -> ChunkEncoder:
     """This worker's encoder, kept from task to task."""
     if (path, style) not in _ENCODERS:
         _empty()
-        _ENCODERS[path, style] = ChunkEncoder(path, style)
+        _ENCODERS[path, style] = ChunkEncoder(path, style, limit)
     return _ENCODERS[path, style]
