@@ -130,7 +130,9 @@ class ChunkEncoder(dict):
     def keys_of(self, texts: pa.Array) -> pa.Array:
         """The words of each text, marked."""
         if self.byte:
-            marked = pc.binary_join_element_wise(FIRST, pc.replace_substring(texts, "\n", " \n"), "")
+            # a text's own carriage returns are doubled: no word can then look like the first of a text
+            own = pc.replace_substring(pc.replace_substring(texts, "\r", "\r\r"), "\n", " \n")
+            marked = pc.binary_join_element_wise(FIRST, own, "")
             return pc.split_pattern(marked, " ")
         # lower-casing A-Z only makes fewer keys; the tokenizer lower-cases the rest
         return pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")

@@ -27,6 +27,13 @@ def test_memo_gives_the_library_s_ids(enc, texts):
         assert ids[cut[i] : cut[i + 1]].tolist() == enc.tok.encode(t, add_special_tokens=False).ids
 
 
+def test_carriage_returns_give_the_library_s_ids(enc):
+    texts = [" \r", "a \r\nb", "\r", "\r\r", "a \rb c", "\rb", " b\r c", "a\r\n\r\nb", "b", " \rb"]
+    ids, n = enc.encode(texts)
+    assert ids.tolist() == [x for t in texts for x in enc.tok.encode(t, add_special_tokens=False).ids]
+    assert n.tolist() == [len(enc.tok.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_pruned_memo_gives_the_same_ids(enc):
     rng = np.random.default_rng(4)
     old, enc.LIMIT = enc.LIMIT, 500_000
