@@ -1,21 +1,38 @@
-"""Cutting a plan in two with a reliable checkpoint."""
+"""Cutting a plan in two with a reliable checkpoint or a written table."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read from the folder in ``spark.checkpoint.dir`` (our own only where it is unset): what
-    follows plans over rows, not over everything before them, and a lost executor costs nothing."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local["):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; a folder of our own only where that is unset and all runs on one host."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(Path(tempfile.mkdtemp(prefix="peakloom-")).as_uri())
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+        sc.setCheckpointDir(named or Path(tempfile.mkdtemp(prefix="peakloom-")).as_uri())
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read from the shared folder: what follows plans over rows, not over everything before them,
+    and a lost executor costs nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same by a Parquet table: for plans whose last stage is costly (a checkpoint runs it once more), and for tables
+    that are filtered when they are read. Removed when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import prefix_lengths
 from ..lineage import cut
 from .aggregate import feature_presence
 from .clean import assign_ids
 from .match import MASS_BAND
+from .strips import STRIP_ROWS, leaders
 
 
 def prefix_match(candidate: np.ndarray, ref: np.ndarray, tolerance: float) -> bool:
@@ -26,7 +25,7 @@ def prefix_match(candidate: np.ndarray, ref: np.ndarray, tolerance: float) -> bo
 
 
 def leader_groups(mh: np.ndarray, rt: np.ndarray, mass_tol: float, rt_tol: float, iso: list | None = None) -> np.ndarray:
-    """Group of each row of rows in ascending mass: the first free row leads and takes all free rows within both tolerances
+    """The definition, over arrays in one pass. Group of each row of rows in ascending mass: the first free row leads and takes all free rows within both tolerances
     (with isotope lists: within the mass band and with an agreeing prefix), until none is free."""
     n = len(mh)
     group = np.full(n, -1, dtype=np.int64)
@@ -45,21 +44,14 @@ def leader_groups(mh: np.ndarray, rt: np.ndarray, mass_tol: float, rt_tol: float
     return group
 
 
-def group_within(peaks: DataFrame, mass_tol: float, rt_tol: float) -> DataFrame:
-    """One pass inside each sample: a row for each group with medians, sums and the union of isotopes. peaks: sample, mh, rt, iso, intensity."""
-    kind = peaks.schema["sample"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["mh", "rt", "intensity"], kind="stable").reset_index(drop=True)
-        pdf["g"] = leader_groups(pdf["mh"].to_numpy(), pdf["rt"].to_numpy(), mass_tol, rt_tol)
-        rows = []
-        for _, x in pdf.groupby("g", sort=True):
-            iso = sorted({float(v) for part in x["iso"] if part is not None for v in part})
-            rows.append((x["sample"].iloc[0], float(x["mh"].median()), float(x["rt"].median()), iso, float(x["intensity"].sum()), int(x["members"].sum())))
-        return pd.DataFrame(rows, columns=["sample", "mh", "rt", "iso", "intensity", "members"])
-
+def group_within(peaks: DataFrame, mass_tol: float, rt_tol: float, strip_rows: int = STRIP_ROWS) -> DataFrame:
+    """One row for each group of a sample's peaks: a leader by ascending mass (ties: time, intensity) with the free peaks within both
+    tolerances. Medians of mass and time, the isotope masses of all, intensity and members summed. A large sample is many strips."""
     rows = peaks if "members" in peaks.columns else peaks.withColumn("members", F.lit(1).cast("long"))
-    return rows.select("sample", "mh", "rt", "iso", "intensity", "members").groupBy("sample").applyInPandas(run, f"sample {kind}, mh double, rt double, iso array<double>, intensity double, members long")
+    led = leaders(rows.select("sample", "mh", "rt", "iso", "intensity", "members"), F.col("sample"), None, ["intensity"], mass_tol, rt_tol, strip_rows=strip_rows)
+    masses = F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list("iso")), lambda x: x.isNotNull())))
+    groups = led.groupBy("sample", "leader").agg(F.median("mh").alias("mh"), F.median("rt").alias("rt"), masses.alias("iso"), F.sum("intensity").alias("intensity"), F.sum("members").cast("long").alias("members"))
+    return groups.drop("leader")
 
 
 def group_within_samples(peaks: DataFrame, passes: tuple[tuple[float, float], ...] = ((0.15, 30.0), (0.09, 180.0))) -> DataFrame:
@@ -69,38 +61,12 @@ def group_within_samples(peaks: DataFrame, passes: tuple[tuple[float, float], ..
     return peaks
 
 
-def gap_runs(peaks: DataFrame, column: str, gap: float, within: list[str], name: str) -> DataFrame:
-    """Number runs of a column that lie further than ``gap`` apart; no group reaches over such a gap. Cells of
-    many gaps' width keep the window in parts: only the last value of each cell goes to the next."""
-    cell = F.floor(F.col(column) / (gap * 64))
-    p = peaks.withColumn("_c", cell)
-    own = Window.partitionBy(*within, "_c").orderBy(column)
-    edges = p.groupBy(*within, "_c").agg(F.max(column).alias("_top"))
-    edges = edges.withColumn("_before", F.lag("_top").over(Window.partitionBy(*within).orderBy("_c") if within else Window.orderBy("_c"))).drop("_top")
-    p = p.join(edges, [*within, "_c"]).withColumn("_prev", F.coalesce(F.lag(column).over(own), F.col("_before")))
-    p = p.withColumn("_o", (F.col("_prev").isNull() | (F.col(column) - F.col("_prev") > gap)).cast("int"))
-    k = p.groupBy(*within, "_c").agg(F.sum("_o").alias("_k"))
-    order = (Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    k = k.withColumn("_b", F.coalesce(F.sum("_k").over(order), F.lit(0))).drop("_k")
-    p = p.join(k, [*within, "_c"]).withColumn(name, F.col("_b") + F.sum("_o").over(own.rangeBetween(Window.unboundedPreceding, 0)))
-    return p.drop("_c", "_before", "_prev", "_o", "_b")
-
-
-def group_between(massifs: DataFrame, mass_tol: float = 0.150, rt_tol: float = 180.0) -> DataFrame:
-    """Groups over all samples: leaders by ascending mass take the free massifs that agree in time, band and isotope prefix.
-    Runs of mass, and of time inside them, are independent tasks. Adds group_id (run, group). massifs: sample, idtab, mh, rt, iso, intensity."""
-    runs = cut(gap_runs(massifs, "mh", MASS_BAND, [], "run_mh"))
-    runs = gap_runs(runs, "rt", rt_tol, ["run_mh"], "run_rt")
-    kinds = {f.name: f.dataType.simpleString() for f in massifs.schema.fields}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["mh", "rt", "sample", "idtab"], kind="stable").reset_index(drop=True)
-        pdf["g"] = leader_groups(pdf["mh"].to_numpy(), pdf["rt"].to_numpy(), mass_tol, rt_tol, pdf["iso"].tolist())
-        pdf["group_id"] = pdf["run_mh"].astype(str) + "." + pdf["run_rt"].astype(str) + "." + pdf["g"].astype(str)
-        return pdf[["sample", "idtab", "mh", "rt", "intensity", "group_id"]]
-
-    cols = ["sample", "idtab", "mh", "rt", "iso", "intensity", "run_mh", "run_rt"]
-    return runs.select(*cols).groupBy("run_mh", "run_rt").applyInPandas(run, f"sample {kinds['sample']}, idtab {kinds['idtab']}, mh double, rt double, intensity double, group_id string")
+def group_between(massifs: DataFrame, mass_tol: float = 0.150, rt_tol: float = 180.0, strip_rows: int = STRIP_ROWS) -> DataFrame:
+    """Groups over all samples: leaders by ascending mass (ties: time, sample, idtab) take the free massifs that agree in time, band
+    and isotope prefix. group_id is a number that ascends with the leaders, ``leader`` the leader's idtab. massifs: sample, idtab,
+    mh, rt, iso, intensity."""
+    led = leaders(massifs.select("sample", "idtab", "mh", "rt", "iso", "intensity"), None, F.col("idtab"), ["sample", "idtab"], MASS_BAND, rt_tol, mass_tol, strip_rows)
+    return led.select("sample", "idtab", "mh", "rt", "intensity", F.col("leader").alias("group_id"), F.col("leader_name").alias("leader"))
 
 
 def assemble_map(groups: DataFrame, min_fraction: float = 10.0, prefix: str = "FT") -> tuple[DataFrame, DataFrame]:

@@ -394,21 +394,66 @@ def kernel_batch_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.kernel_correction(t.event_peaks(spark, sf_dir), _pairs(spark, sf_dir), params=params).withColumn("rt_corrected", F.round("rt_corrected", 3))
 
 
-@query()
+WITHIN = ((1.0, 3600.0), (0.5, 7200.0))
+
+
+def _within_pass(k: int, mass_tol: float, rt_tol: float) -> str:
+    """One pass in each sample: a row goes to its first candidate that leads, else it leads itself."""
+    return f"""o{k} AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY mh, rt, intensity) AS i FROM p{k}),
+e{k} AS (SELECT b.sample, b.i, list(a.i ORDER BY a.i) AS c FROM o{k} a JOIN o{k} b ON a.sample = b.sample AND a.i < b.i AND abs(b.mh - a.mh) <= {mass_tol} AND abs(b.rt - a.rt) <= {rt_tol} GROUP BY ALL),
+t{k} AS (SELECT o.sample, o.i, coalesce(e.c, []) AS c FROM o{k} o LEFT JOIN e{k} e ON e.sample = o.sample AND e.i = o.i),
+s{k} AS (
+  SELECT DISTINCT sample, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS lead, CAST([] AS BIGINT[]) AS held FROM o{k}
+  UNION ALL
+  SELECT sample, i, coalesce(pick, i), CASE WHEN pick IS NULL THEN list_append(held, i) ELSE held END FROM (
+    SELECT t.sample, t.i, s.held, list_filter(t.c, lambda e: list_contains(s.held, e))[1] AS pick FROM s{k} s JOIN t{k} t ON t.sample = s.sample AND t.i = s.i + 1)),
+p{k + 1} AS (SELECT o.sample, median(o.mh) AS mh, median(o.rt) AS rt, list_sort(list_distinct(flatten(list(o.iso)))) AS iso, sum(o.intensity) AS intensity, CAST(sum(o.members) AS BIGINT) AS members
+  FROM o{k} o JOIN s{k} s ON s.sample = o.sample AND s.i = o.i GROUP BY o.sample, s.lead)"""
+
+
+@query(
+    f"""WITH RECURSIVE {PEAKS}, p0 AS (SELECT sample, mh, rt, [mh] AS iso, mh AS intensity, 1 AS members FROM peaks), {_within_pass(0, *WITHIN[0])}, {_within_pass(1, *WITHIN[1])}
+SELECT sample, round(mh, 6) AS mh, rt, iso, round(intensity, 6) AS intensity, members FROM p2"""
+)
 def group_within_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = t.event_peaks(spark, sf_dir).select("sample", "mh", "rt", F.array("mh").alias("iso"), F.col("mh").alias("intensity"))
-    return grouping.group_within_samples(p, ((1.0, 3600.0), (0.5, 7200.0)))
+    return grouping.group_within_samples(p, WITHIN).withColumns({"mh": r6("mh"), "intensity": r6("intensity")})
 
 
-@query()
-def group_between_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+BETWEEN = f"""{MASSIFS}, o AS (SELECT user_id AS sample, idtab, mh, rt, iso, intensity, row_number() OVER (ORDER BY mh, rt, user_id, idtab) AS i FROM massifs),
+cand AS (SELECT b.i AS j, a.i, b.iso, a.iso AS ref_iso, least(5, len(b.iso) // 2 + 1, greatest(2, len(a.iso) - 2)) AS k FROM o a JOIN o b
+  ON a.i < b.i AND abs(b.mh - a.mh) <= {match.MASS_BAND} AND abs(b.rt - a.rt) <= {RT_TOL} AND len(a.iso) >= 2 AND len(b.iso) >= 2),
+near AS (
+  SELECT *, list_transform(iso[1:k], lambda m: list_sort(list_transform(range(1, least(k + 1, len(ref_iso)) + 1), lambda i: {{'d': abs(ref_iso[i] - m), 'i': i}}))[1]) AS nn FROM cand),
+e AS (SELECT j, list(i ORDER BY i) AS c FROM near WHERE len(list_filter(nn, lambda z: z.d <= {MASS_TOL})) = k AND len(list_distinct(list_transform(nn, lambda z: z.i))) = k GROUP BY j),
+todo AS (SELECT o.i, coalesce(e.c, []) AS c FROM o LEFT JOIN e ON e.j = o.i),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS lead, CAST([] AS BIGINT[]) AS held
+  UNION ALL
+  SELECT i, coalesce(pick, i), CASE WHEN pick IS NULL THEN list_append(held, i) ELSE held END FROM (
+    SELECT t.i, s.held, list_filter(t.c, lambda e: list_contains(s.held, e))[1] AS pick FROM step s JOIN todo t ON t.i = s.i + 1)),
+led AS (SELECT o.*, s.lead FROM o JOIN step s USING (i))"""
+
+
+def _between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.group_between(t.all_massifs(spark, sf_dir), MASS_TOL, RT_TOL)
 
 
-@query()
+@query(f"WITH RECURSIVE {BETWEEN} SELECT a.sample, a.idtab, a.mh, a.rt, round(a.intensity, 6) AS intensity, l.idtab AS group_id FROM led a JOIN o l ON l.i = a.lead")
+def group_between_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each massif with its group, named by the massif that leads it."""
+    return _between(spark, sf_dir).select("sample", "idtab", "mh", "rt", r6("intensity").alias("intensity"), F.col("leader").alias("group_id"))
+
+
+@query(
+    f"""WITH RECURSIVE {BETWEEN}, n AS (SELECT count(DISTINCT sample) AS n FROM led),
+f AS (SELECT lead, median(mh) AS mh, median(rt) AS rt, median(intensity) AS maxo, 100.0 * count(DISTINCT sample) / any_value(n) AS presence FROM led, n GROUP BY lead HAVING presence >= 2),
+r AS (SELECT *, row_number() OVER (ORDER BY mh, rt, lead) AS k, count(*) OVER () AS m FROM f)
+SELECT 'FT' || lpad(CAST(k AS VARCHAR), CAST(ceil(log10(m + 1)) AS INT), '0') AS id, mh, rt, round(maxo, 6) AS maxo, round(presence, 6) AS presence FROM r"""
+)
 def assemble_reference_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref, _ = grouping.assemble_map(grouping.group_between(t.all_massifs(spark, sf_dir), MASS_TOL, RT_TOL), 2.0)
-    return ref.drop("feature")
+    ref, _ = grouping.assemble_map(_between(spark, sf_dir), 2.0)
+    return ref.select("id", "mh", "rt", r6("maxo").alias("maxo"), r6("presence").alias("presence"))
 
 
 @query(
