@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm import decontamination, jaccard_join, nbsvm, packing, suffix_dedup
-from peakloom.llm.common import read_table, stage
+from peakloom.llm.common import any_names, read_table, stage
 
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
@@ -26,6 +26,11 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each_group(docs)
+
+
+@any_names
+def one_of_each_group(docs: DataFrame) -> DataFrame:
     groups = jaccard_join.jaccard_components(docs, SHINGLE, PERCENT)
     gone = groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).where("NOT stays")
     return docs.join(gone.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)

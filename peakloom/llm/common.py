@@ -7,6 +7,8 @@ import ctypes
 import functools
 import inspect
 import io
+import itertools
+import re
 import tempfile
 import uuid
 import zipfile
@@ -98,6 +100,24 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def any_names(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For a step over whole rows (its first argument): columns whose names are not plain words, which Spark would read as
+    paths, have plain ones while it runs."""
+
+    @functools.wraps(step)
+    def call(rows: DataFrame, *args) -> DataFrame:
+        taken = set(rows.columns)
+        free = (n for i in itertools.count() if (n := f"column_{i}") not in taken)
+        plain = {c: next(free) for c in rows.columns if not re.fullmatch(r"\w+", c)}
+        if not plain:
+            return step(rows, *args)
+        own = {v: k for k, v in plain.items()}
+        out = step(rows.toDF(*[plain.get(c, c) for c in rows.columns]), *args)
+        return out.toDF(*[own.get(c, c) for c in out.columns])
+
+    return call
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

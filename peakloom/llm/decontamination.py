@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import executor_task, map_arrays, ranges, read_table, register_memo, row_slices, scratch_path, segments, ship, text_batches, write_arrays
+from .common import any_names, executor_task, map_arrays, ranges, read_table, register_memo, row_slices, scratch_path, segments, ship, text_batches, write_arrays
 
 K1, B = 1.2, 0.75
 #: Share of an item's score against itself that a passage must reach.
@@ -126,7 +126,8 @@ def index_arrays(items: list[tuple[int, str]], whole: Statistics) -> tuple[dict[
         "block_first": np.append(first, len(key)),
         "item": item.astype(np.int32),
         "impact": impact,
-        "ids": np.array([i for i, _ in items], dtype=np.int64),
+        "ids": np.array([i or 0 for i, _ in items], dtype=np.int64),
+        "has_id": np.array([i is not None for i, _ in items], dtype=np.bool_),
         "bars": bars,
         "text": np.frombuffer(b"".join(raw), dtype=np.uint8),
         "text_at": segments(np.array([len(x) for x in raw], dtype=np.int64)),
@@ -261,7 +262,7 @@ class Index:
             new = (min(q, a), float(impact), q, a)
             if new > best.get((d, int(j)), (-1.0,)):
                 best[d, int(j)] = new
-        return [(d, int(self.ids[j]), round(x[1] * float(self.bars[j]), 6), round(float(self.bars[j]), 6), x[2], x[3]) for (d, j), x in sorted(best.items())]
+        return [(d, int(self.ids[j]) if self.has_id[j] else None, round(x[1] * float(self.bars[j]), 6), round(float(self.bars[j]), 6), x[2], x[3]) for (d, j), x in sorted(best.items())]
 
 
 _SEGMENTS: dict[str, Index] = {}
@@ -318,6 +319,7 @@ def retrieve(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.withColumn("contaminated", (F.col("question_overlap") >= QUESTION) & (F.col("answer_overlap") >= ANSWER))
 
 
+@any_names
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no verified item, with all their columns."""
     ship(docs.sparkSession)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, executor_task, mix64, read_table, register_memo, row_slices, segments, ship, text_batches
+from .common import any_names, crc_bucket, executor_task, mix64, read_table, register_memo, row_slices, segments, ship, text_batches
 
 BITS = 18
 #: Bytes of text whose n-grams are counted at a time.
@@ -250,6 +250,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+@any_names
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that the model does not reject, with all their columns."""
     ship(docs.sparkSession)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import executor_task, mix64, ranges, read_table, segments, ship, stage, text_bytes
+from .common import any_names, executor_task, mix64, ranges, read_table, segments, ship, stage, text_bytes
 
 LENGTH, K = 50, 16
 #: Greatest length of a context: all windows that one anchor can have.
@@ -704,6 +704,7 @@ def dedup_substrings(docs: DataFrame, also: list[str] | None = None, as_text: bo
     return blocks.groupBy("block").cogroup(removed.groupBy("block")).applyInArrow(_cut(to_arrow_schema(schema), as_text), schema)
 
 
+@any_names
 def cut_documents(docs: DataFrame) -> DataFrame:
     """The documents with what is left of their texts; those of which nothing is left go, unless they were empty before."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]

@@ -4,7 +4,8 @@ Both pre-tokenizers used here cut at white space in a way that depends on the wh
 text are the ids of its chunks in order. Arrow cuts a batch into words and numbers the different ones; each of those
 is looked up once in the worker's memo and encoded only if it is new there. Chunks are keyed by the word. In style "byte", which keeps white space in tokens, a key is a word after a single
 space, or a word with a mark for its place: after a line feed, or first in the text. Texts with other white space
-than single spaces and single line feeds between words are then encoded whole.
+than single spaces and single line feeds between words are then encoded whole, and so are texts that hold a string which
+the tokenizer keeps for a special token.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ class ChunkEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings that the tokenizer knows as tokens of their own, in any case: texts with them are encoded whole
+        known = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(known) or r"(?!)", re.IGNORECASE).search
         self.byte = style == "byte"
         # between chunks encoded together; one token by itself: a line feed is a pre-token, and \x01 between spaces is
         self.sep = "\n" if self.byte else " \x01 "
@@ -82,7 +85,7 @@ class ChunkEncoder(dict):
 
     def __missing__(self, key: str) -> int:
         self.key_bytes += len(key)
-        if not self.plain(key):
+        if not self.plain(key) or self.special(key):
             self[key] = -1
             return -1
         i = self.n
