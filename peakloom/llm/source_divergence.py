@@ -27,7 +27,7 @@ from .common import executor_task, read_table, row_slices, segments, ship, stage
 #: Documents of its language that a kept term stands in; what is added to each count; parts of one in a probability; terms listed.
 MIN_DOCS, ADDED, ONE, TOP = 30, 5, 1_000_000_000, 50
 #: Numbers in the vectors of a chunk, and bounds of its terms.
-CELLS, LEAST_CHUNK, MOST_CHUNK = 1 << 21, 64, 1 << 16
+CELLS, LEAST_CHUNK, MOST_CHUNK = 1 << 21, 64, 1 << 12
 #: Bytes of text that are counted at once, and rows of counts that are merged before they leave a task.
 SLICE_BYTES, MERGE_ROWS = 8_000_000, 400_000
 
