@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..lineage import cut
 from .aggregate import rt_range
-from .normalize import local_linear
+from .kernels import local_fit
 
 
 def reference_sample_ranks(peaks: DataFrame) -> DataFrame:
@@ -39,55 +40,78 @@ def choose_reference_sample(peaks: DataFrame) -> DataFrame:
 def kernel_correction(peaks: DataFrame, pairs: DataFrame, bandwidth: float = 100.0, kernel: str = "gaussian", params: DataFrame | None = None) -> DataFrame:
     """Corrected times: for each sample a local-linear fit of the reference's time on the sample's over the matched pairs
     (sample, rt_ref, rt_sample), at every peak. ``params`` (sample, bandwidth, kernel) overrides both. Samples without pairs stay as they are."""
-    own = pairs.select("sample", "rt_ref", "rt_sample")
-    if params is not None:
-        own = own.join(params.select("sample", "bandwidth", "kernel"), "sample", "left")
-    else:
-        own = own.withColumns({"bandwidth": F.lit(None).cast("double"), "kernel": F.lit(None).cast("string")})
-    kinds = {f.name: f.dataType.simpleString() for f in peaks.schema.fields}
-    schema = f"peak_id {kinds['peak_id']}, sample {kinds['sample']}, rt double, rt_corrected double"
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.copy()
-        left["rt_corrected"] = left["rt"]
-        if len(left) and len(right):
-            right = right.sort_values(["rt_sample", "rt_ref"], kind="stable")
-            h, k = right["bandwidth"].iloc[0], right["kernel"].iloc[0]
-            h, k = (bandwidth if pd.isna(h) else float(h)), (kernel if pd.isna(k) else str(k))
-            y = local_linear(right["rt_sample"].to_numpy(float), right["rt_ref"].to_numpy(float), left["rt"].to_numpy(float), h, k)
-            left["rt_corrected"] = np.where(np.isfinite(y), y, left["rt"])
-        return left[["peak_id", "sample", "rt", "rt_corrected"]]
-
-    return peaks.select("peak_id", "sample", "rt").groupBy("sample").cogroup(own.groupBy("sample")).applyInPandas(run, schema)
+    rows = pairs.select("sample", F.col("rt_sample").alias("x"), F.col("rt_ref").alias("y"))
+    fitted = local_fit(peaks.select("peak_id", "sample", "rt", F.col("rt").alias("at")), rows, bandwidth, kernel, params)
+    return fitted.select("peak_id", "sample", "rt", F.coalesce("fit", F.col("rt").cast("double")).alias("rt_corrected"))
+
+
+def _axis(v: np.ndarray, low: float, high: float, grid: int) -> tuple[np.ndarray, np.ndarray]:
+    """(points of an even grid from low to high, the nearest to each value)."""
+    step = (high - low if high > low else 1.0) / (grid - 1)
+    return low + np.arange(grid) * step, np.clip(np.rint((v - low) / step).astype(int), 0, grid - 1)
+
+
+def _on_grid(x: np.ndarray, y: np.ndarray, limits: tuple[float, float, float, float], bandwidth: float, grid: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sum of the pairs' Gaussians at the grid's points, and the cell of each pair); a block of pairs at a time."""
+    (gx, ix), (gy, iy) = _axis(x, *limits[:2], grid), _axis(y, *limits[2:], grid)
+    z = np.zeros((grid, grid))
+    for lo in range(0, len(x), block):
+        kx, ky = (np.exp(-0.5 * ((g[:, None] - v[None, lo : lo + block]) / bandwidth) ** 2) for g, v in ((gx, x), (gy, y)))
+        z += kx @ ky.T
+    return z, ix, iy
 
 
 def density(x: np.ndarray, y: np.ndarray, bandwidth: float, grid: int = 500) -> np.ndarray:
     """Gaussian density of the pairs on a grid, read at each pair's cell, with a maximum of 1."""
     if not len(x):
         return np.zeros(0)
-
-    def axis(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lo, hi = v.min(), v.max()
-        g = np.linspace(lo, hi if hi > lo else lo + 1, grid)
-        return g, np.clip(np.rint((v - lo) / (g[1] - g[0])).astype(int), 0, grid - 1)
-
-    (gx, ix), (gy, iy) = axis(x), axis(y)
-    kx = np.exp(-0.5 * ((gx[:, None] - x[None, :]) / bandwidth) ** 2)
-    ky = np.exp(-0.5 * ((gy[:, None] - y[None, :]) / bandwidth) ** 2)
-    z = kx @ ky.T
+    z, ix, iy = _on_grid(x, y, (x.min(), x.max(), y.min(), y.max()), bandwidth, grid)
     return z[ix, iy] / z.max()
 
 
-def density_filter(pairs: DataFrame, bandwidth: float = 20.0, min_density: float = 0.15) -> DataFrame:
-    """Pairs (sample, rt_ref, rt_sample) where their sample's pairs are dense enough."""
-    kind = pairs.schema["sample"].dataType.simpleString()
+def density_filter(pairs: DataFrame, bandwidth: float = 20.0, min_density: float = 0.15, grid: int = 500, part_rows: int = 20_000, most_parts: int = 64) -> DataFrame:
+    """Pairs (sample, rt_ref, rt_sample) where their sample's pairs are dense enough. A sample of more than ``part_rows`` pairs is
+    split: its parts' grids are added, and its pairs read the sum by their cells. Pairs without both times are dropped."""
+    whole = F.col("rt_ref").isNotNull() & F.col("rt_sample").isNotNull() & ~F.isnan("rt_ref") & ~F.isnan("rt_sample")
+    own = cut(pairs.select("sample", F.col("rt_ref").cast("double").alias("rt_ref"), F.col("rt_sample").cast("double").alias("rt_sample")).where(whole))
+    kind = own.schema["sample"].dataType.simpleString()
+    schema = f"sample {kind}, rt_ref double, rt_sample double, density double"
+    about = own.groupBy("sample").agg(F.count("*").alias("n"), F.min("rt_ref").alias("x0"), F.max("rt_ref").alias("x1"), F.min("rt_sample").alias("y0"), F.max("rt_sample").alias("y1"))
+    about = cut(about.withColumn("parts", F.least(F.lit(most_parts), F.ceil(F.col("n") / part_rows)).cast("int")))
+    few = about.where("parts = 1").select(F.col("sample").alias("s"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def small(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rt_ref", "rt_sample"], kind="stable")
-        pdf["density"] = density(pdf["rt_ref"].to_numpy(float), pdf["rt_sample"].to_numpy(float), bandwidth)
+        pdf["density"] = density(pdf["rt_ref"].to_numpy(float), pdf["rt_sample"].to_numpy(float), bandwidth, grid)
         return pdf[pdf["density"] >= min_density]
 
-    return pairs.select("sample", "rt_ref", "rt_sample").groupBy("sample").applyInPandas(run, f"sample {kind}, rt_ref double, rt_sample double, density double")
+    out = own.join(few, F.col("sample").eqNullSafe(F.col("s")), "left_semi").groupBy("sample").applyInPandas(small, schema)
+    if about.where("parts > 1").isEmpty():
+        return out
+
+    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+        limits = tuple(float(pdf[c].iloc[0]) for c in ("x0", "x1", "y0", "y1"))
+        pdf = pdf.sort_values(["rt_ref", "rt_sample"], kind="stable")
+        z, ix, iy = _on_grid(pdf["rt_ref"].to_numpy(float), pdf["rt_sample"].to_numpy(float), limits, bandwidth, grid)
+        held = np.zeros((grid, grid), dtype=bool)
+        held[ix, iy] = True
+        return pd.DataFrame({"sample": pdf["sample"].iloc[:1], "part": pdf["part"].iloc[:1], "z": [z.tobytes()], "held": [np.packbits(held).tobytes()]})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        z = sum(np.frombuffer(b, dtype=float) for b in pdf["z"])
+        held = np.bitwise_or.reduce([np.frombuffer(b, dtype=np.uint8) for b in pdf["held"]])
+        cell = np.flatnonzero(np.unpackbits(held, count=grid * grid))
+        return pd.DataFrame({"sample": [pdf["sample"].iloc[0]] * len(cell), "cell": cell, "density": z[cell] / z.max()})
+
+    many = own.join(about.where("parts > 1").withColumnRenamed("sample", "s"), F.col("sample").eqNullSafe(F.col("s"))).drop("s")
+    step = lambda c: F.when(F.col(f"{c}1") > F.col(f"{c}0"), F.col(f"{c}1") - F.col(f"{c}0")).otherwise(1.0) / (grid - 1)
+    place = lambda v, c: F.least(F.lit(grid - 1), F.rint((F.col(v) - F.col(f"{c}0")) / step(c)).cast("int"))
+    many = cut(many.withColumns({"part": F.pmod(F.xxhash64("rt_ref", "rt_sample"), F.col("parts").cast("long")).cast("int"), "cell": place("rt_ref", "x") * grid + place("rt_sample", "y")}))
+    grids = many.drop("cell", "parts", "n").groupBy("sample", "part").applyInPandas(partial, f"sample {kind}, part int, z binary, held binary")
+    read = grids.groupBy("sample").applyInPandas(total, f"sample {kind}, cell int, density double").where(F.col("density") >= min_density).withColumnsRenamed({"sample": "s", "cell": "c"})
+    big = many.join(read, F.col("sample").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).select("sample", "rt_ref", "rt_sample", "density")
+    return out.unionByName(big)
 
 
 def align(peaks: DataFrame, centre: str, warp) -> DataFrame:

@@ -7,8 +7,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.moments import TricubeSums
 from ..functions.scalars import adjusted_r2
+from ..lineage import written
 from .aggregate import feature_median, mad, to_log2
+from .kernels import local_fit
 
 KERNEL_BANDWIDTH = 15.0
 LOESS_SPAN = 0.75
@@ -61,7 +64,7 @@ def kernel_weights(d: np.ndarray, kind: str, bandwidth: float) -> np.ndarray:
 
 
 def local_linear(x: np.ndarray, y: np.ndarray, at: np.ndarray, bandwidth: float, kind: str = "gaussian", block: int = 2048) -> np.ndarray:
-    """Local-linear kernel regression of y on x at given points; the local mean where the line is not determined, nan without weight."""
+    """The definition, over arrays: local-linear kernel regression of y on x at given points; the local mean where the line is not determined, nan without weight."""
     out = np.empty(len(at))
     for lo in range(0, len(at), block):
         d = x[None, :] - at[lo : lo + block, None]
@@ -75,9 +78,10 @@ def local_linear(x: np.ndarray, y: np.ndarray, at: np.ndarray, bandwidth: float,
     return out
 
 
-def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = LOESS_SPAN, robust: int = 4, block: int = 512) -> np.ndarray:
+def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = LOESS_SPAN, robust: int = 4, block: int = 4096) -> np.ndarray:
     """Local regression of degree 1 with tricube weights and bisquare re-weighting; nan outside the range of x. The nearest
-    rows of a point are neighbours in the order of x, so each point looks at its own window alone, a block of points at a time."""
+    rows of a point are neighbours in the order of x, and sums over such a window come from a tree of moments: a point costs the
+    logarithm of the window, and memory is that of the rows."""
     by = np.argsort(x, kind="stable")
     x, y = x[by], y[by]
     n = len(x)
@@ -93,31 +97,27 @@ def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = LOESS_SPAN
             lo, hi = np.where(right & (lo < hi), mid + 1, lo), np.where(right, hi, mid)
         return lo
 
+    table = TricubeSums(x)
+
     def fit(points: np.ndarray, first: np.ndarray) -> np.ndarray:
         out = np.empty(len(points))
-        for s in range(0, len(points), block):
-            rows = first[s : s + block, None] + np.arange(k)
-            d = x[rows] - points[s : s + block, None]
-            a = np.abs(d)
-            h = np.maximum(a.max(axis=1), 1e-12)
-            u = a / h[:, None]
-            w = 1 - u * u * u
-            w = w * w * w * robustness[rows]
-            wd, wy = w * d, w * y[rows]
-            s0, s1, s2 = w.sum(1), wd.sum(1), (wd * d).sum(1)
-            t0, t1 = wy.sum(1), (wy * d).sum(1)
-            det = s0 * s2 - s1 * s1
+        for lo in range(0, len(points), block):
+            p, a = points[lo : lo + block], first[lo : lo + block]
+            h = np.maximum(np.maximum(p - x[a], x[a + k - 1] - p), 1e-12)
+            s, t = table.sums(p, h, a, a + k)
+            det = s[:, 0] * s[:, 2] - s[:, 1] * s[:, 1]
             with np.errstate(divide="ignore", invalid="ignore"):
-                out[s : s + block] = np.where(det > 1e-12 * np.maximum(s0 * s2, 1e-300), (s2 * t0 - s1 * t1) / det, t0 / s0)
+                out[lo : lo + block] = np.where(det > 1e-12 * np.maximum(s[:, 0] * s[:, 2], 1e-300), (s[:, 2] * t[:, 0] - s[:, 1] * t[:, 1]) / det, t[:, 0] / s[:, 0])
         return out
 
     own = windows(x)
+    table.weigh(robustness, y)
     for _ in range(robust - 1):
         r = y - fit(x, own)
         scale = 6 * np.median(np.abs(r))
         if not scale > 1e-12:
             break
-        robustness = np.clip(1 - (r / scale) ** 2, 0, None) ** 2
+        table.weigh(np.clip(1 - (r / scale) ** 2, 0, None) ** 2, y)
     inside = (at >= x[0]) & (at <= x[-1])
     out = np.full(len(at), np.nan)
     out[inside] = fit(at[inside], windows(at[inside]))
@@ -125,25 +125,27 @@ def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = LOESS_SPAN
 
 
 def normalize_by_group(marked: DataFrame, min_iset: int, method: str) -> DataFrame:
-    """``kreg`` or ``loess`` for each sample: one sample's cells (a column of the matrix) are a task's group."""
+    """``kreg`` or ``loess`` for each sample. kreg reads sums by bandwidth bins; for loess one sample's cells (a column of the matrix)
+    are a task's group. Samples of fewer stable cells than ``min_iset`` pass through; y is null where a fit says nothing."""
+    columns = ("feature", "sample", "x", "ref", "stable", "normalized", "y")
+    rows = written(marked.select(*columns[:5]))
+    n = rows.groupBy("sample").agg(F.count_if("stable").alias("n"))
+    done = rows.join(n.where(F.col("n") >= min_iset).select("sample"), "sample", "left_semi").withColumn("normalized", F.lit(True))
+    other = rows.join(n.where(F.col("n") < min_iset).select("sample"), "sample", "left_semi").withColumns({"normalized": F.lit(False), "y": F.col("x")})
+    if method == "kreg":
+        fitted = local_fit(done.withColumn("at", F.col("x")), done.where("stable").select("sample", "x", F.col("ref").alias("y")), KERNEL_BANDWIDTH)
+        return fitted.withColumnRenamed("fit", "y").select(*columns).unionByName(other.select(*columns))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("feature", kind="stable")
         s = pdf[pdf["stable"]]
-        done = len(s) >= min_iset
-        if not done:
-            pdf["y"] = pdf["x"]
-        elif method == "kreg":
-            pdf["y"] = local_linear(s["x"].to_numpy(), s["ref"].to_numpy(), pdf["x"].to_numpy(), KERNEL_BANDWIDTH)
-        else:
-            pdf["y"] = loess(s["x"].to_numpy(), s["ref"].to_numpy(), pdf["x"].to_numpy())
-        pdf["normalized"] = done
-        return pdf[["feature", "sample", "x", "ref", "stable", "normalized", "y"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in marked.schema.fields}
+        pdf["y"] = loess(s["x"].to_numpy(), s["ref"].to_numpy(), pdf["x"].to_numpy())
+        return pdf[list(columns)]
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = f"feature {kinds['feature']}, sample {kinds['sample']}, x double, ref double, stable boolean, normalized boolean, y double"
-    out = marked.select("feature", "sample", "x", "ref", "stable").groupBy("sample").applyInPandas(run, schema)
-    return out.withColumn("y", F.nanvl("y", F.lit(None).cast("double")))
+    out = done.groupBy("sample").applyInPandas(run, schema).withColumn("y", F.nanvl("y", F.lit(None).cast("double")))
+    return out.unionByName(other.select(*columns))
 
 
 def normalize_samples(cells: DataFrame, normalizers: DataFrame | None = None, ref: DataFrame | None = None, min_iset: int = 10, cutrat: float | None = 1.0, method: str = "lm", scale: str = "log2") -> DataFrame:

@@ -119,10 +119,27 @@ def kreg_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("feature", "sample", F.round("y", 4).alias("y"))
 
 
-@query()
+def _loess_fit(k: int) -> str:
+    """Fit at every cell with the robustness of round k, and that of the next round from the residuals of the stable cells."""
+    return f"""u{k} AS (SELECT sample, p, sum(w * r) AS s0, sum(w * r * d) AS s1, sum(w * r * d * d) AS s2, sum(w * r * y) AS t0, sum(w * r * d * y) AS t1 FROM near JOIN r{k} USING (sample, q) GROUP BY ALL),
+f{k} AS (SELECT sample, p, CASE WHEN s0 * s2 - s1 * s1 > 1e-12 * greatest(s0 * s2, 1e-300) THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / nullif(s0, 0) END AS fit FROM u{k}),
+e{k} AS (SELECT st.sample, st.feature AS q, st.ref - f.fit AS e FROM st JOIN f{k} f ON f.sample = st.sample AND f.p = st.feature),
+c{k} AS (SELECT sample, 6 * median(abs(e)) AS c FROM e{k} GROUP BY sample),
+r{k + 1} AS MATERIALIZED (SELECT sample, q, CASE WHEN c > 1e-12 THEN greatest(1 - (e / c) ** 2, 0) ** 2 ELSE r END AS r FROM e{k} JOIN c{k} USING (sample) JOIN r{k} USING (sample, q))"""
+
+
+@query(
+    f"""WITH {CELLS}, {REF}, {MARKED}, n AS (SELECT sample, count(*) FILTER (stable) AS n, min(x) FILTER (stable) AS lo, max(x) FILTER (stable) AS hi FROM marked GROUP BY sample),
+st AS (SELECT m.* FROM marked m JOIN n USING (sample) WHERE stable AND n >= {MIN_ISET}),
+far AS (SELECT a.sample, a.feature AS p, s.feature AS q, s.x - a.x AS d, s.ref AS y, row_number() OVER (PARTITION BY a.sample, a.feature ORDER BY abs(s.x - a.x)) AS place FROM marked a JOIN st s USING (sample) JOIN n USING (sample) WHERE a.x BETWEEN lo AND hi),
+h AS (SELECT sample, p, greatest(max(abs(d)), 1e-12) AS h FROM far JOIN n USING (sample) WHERE place <= greatest(2, least(n, floor({normalize.LOESS_SPAN} * n + 1e-9))) GROUP BY ALL),
+near AS MATERIALIZED (SELECT sample, p, q, d, y, (1 - (abs(d) / h) ** 3) ** 3 AS w FROM far JOIN h USING (sample, p) WHERE abs(d) < h),
+r0 AS (SELECT sample, feature AS q, 1.0::DOUBLE AS r FROM st), {", ".join(_loess_fit(k) for k in range(4))}
+SELECT feature, sample, round(CASE WHEN n < {MIN_ISET} THEN x ELSE fit END, 4) AS y FROM marked JOIN n USING (sample) LEFT JOIN f3 f ON f.sample = marked.sample AND f.p = feature"""
+)
 def loess_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = normalize.normalize_by_group(_marked(spark, sf_dir), MIN_ISET, "loess")
-    return out.select("feature", "sample", r6("y").alias("y"))
+    return out.select("feature", "sample", F.round("y", 4).alias("y"))
 
 
 @query(f"""{LM} SELECT feature, sample, round(2 ** (b0 + b1 * x), 4) AS y FROM marked JOIN fits USING (sample) WHERE done""")
@@ -370,25 +387,50 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(day, ["day", "h"]).select(F.col("user_id").alias("sample"), "rt_ref", "rt_sample")
 
 
-@query(
-    f"""WITH {PEAKS}, e AS (SELECT user_id, CAST(ts AS DATE) AS day, hour(ts) AS h, CAST({SECOND} AS DOUBLE) AS s FROM events WHERE value IS NOT NULL),
+PAIRS = f"""e AS (SELECT user_id, CAST(ts AS DATE) AS day, hour(ts) AS h, CAST({SECOND} AS DOUBLE) AS s FROM events WHERE value IS NOT NULL),
 d AS (SELECT day, h, round(avg(s), 3) AS rt_ref FROM e GROUP BY ALL), o AS (SELECT user_id AS sample, day, h, min(s) AS rt_sample FROM e GROUP BY ALL),
-pairs AS (SELECT sample, rt_ref, rt_sample FROM o JOIN d USING (day, h)),
-w AS (SELECT p.peak_id, p.sample, p.rt, q.rt_sample - p.rt AS d, q.rt_ref AS y, exp(-0.5 * ((q.rt_sample - p.rt) / 5000.0) ** 2) AS w FROM peaks p JOIN pairs q USING (sample)),
-u AS (SELECT peak_id, sample, any_value(rt) AS rt, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * y) AS t0, sum(w * d * y) AS t1 FROM w GROUP BY ALL)
-SELECT peak_id, sample, rt, round(CASE WHEN s0 * s2 - s1 * s1 > 1e-12 * s0 * s2 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END, 3) AS rt_corrected FROM u"""
-)
+pairs AS (SELECT sample, rt_ref, rt_sample FROM o JOIN d USING (day, h))"""
+
+
+#: Bandwidth and least density.
+DENSITY = (2000.0, 0.15)
+
+
+def _kernel_sql(parameters: str, weight: str) -> str:
+    """Local-linear fits at every peak; ``weight`` of a distance d with the sample's bandwidth b and kernel k."""
+    return f"""WITH {PEAKS}, {PAIRS}, par AS ({parameters}),
+w AS (SELECT p.peak_id, p.sample, p.rt, q.rt_sample - p.rt AS d, q.rt_ref AS y, b, k FROM peaks p LEFT JOIN pairs q USING (sample) LEFT JOIN par USING (sample)),
+v AS (SELECT *, {weight} AS w FROM w),
+u AS (SELECT peak_id, sample, any_value(rt) AS rt, sum(w) AS s0, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * y) AS t0, sum(w * d * y) AS t1 FROM v GROUP BY ALL)
+SELECT peak_id, sample, rt, round(CASE WHEN s0 * s2 - s1 * s1 > 1e-12 * s0 * s2 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) WHEN s0 > 0 THEN t0 / s0 ELSE rt END, 3) AS rt_corrected FROM u"""
+
+
+@query(_kernel_sql("SELECT DISTINCT sample, 5000.0 AS b, 'gaussian' AS k FROM peaks", "exp(-0.5 * (d / b) ** 2)"))
 def kernel_rt_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = align.kernel_correction(t.event_peaks(spark, sf_dir), _pairs(spark, sf_dir), 5000.0)
     return out.withColumn("rt_corrected", F.round("rt_corrected", 3))
 
 
-@query()
+@query(
+    f"""WITH {PAIRS}, g AS (SELECT sample, min(rt_ref) AS x0, (CASE WHEN max(rt_ref) > min(rt_ref) THEN max(rt_ref) - min(rt_ref) ELSE 1 END) / 499 AS sx,
+  min(rt_sample) AS y0, (CASE WHEN max(rt_sample) > min(rt_sample) THEN max(rt_sample) - min(rt_sample) ELSE 1 END) / 499 AS sy FROM pairs GROUP BY sample),
+c AS (SELECT p.*, sx, sy, x0, y0, least(499, round_even((rt_ref - x0) / sx, 0)) AS ix, least(499, round_even((rt_sample - y0) / sy, 0)) AS iy FROM pairs p JOIN g USING (sample)),
+l AS (SELECT sample, any_value(x0) AS x0, any_value(y0) AS y0, any_value(sx) AS sx, any_value(sy) AS sy, list(rt_ref ORDER BY rt_ref, rt_sample) AS xs, list(rt_sample ORDER BY rt_ref, rt_sample) AS ys FROM c GROUP BY sample),
+k AS MATERIALIZED (SELECT sample, i, list_transform(xs, lambda v: exp(-0.5 * ((x0 + i * sx - v) / {DENSITY[0]}) ** 2)) AS kx, list_transform(ys, lambda v: exp(-0.5 * ((y0 + i * sy - v) / {DENSITY[0]}) ** 2)) AS ky FROM l, range(0, 500) r(i)),
+top AS (SELECT a.sample, max(list_dot_product(a.kx, b.ky)) AS z FROM k a JOIN k b USING (sample) GROUP BY a.sample)
+SELECT c.sample, rt_ref, rt_sample, round(list_dot_product(a.kx, b.ky) / z, 6) AS density FROM c JOIN top USING (sample) JOIN k a ON a.sample = c.sample AND a.i = ix JOIN k b ON b.sample = c.sample AND b.i = iy
+WHERE list_dot_product(a.kx, b.ky) / z >= {DENSITY[1]}"""
+)
 def density_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.density_filter(_pairs(spark, sf_dir), 2000.0, 0.15).withColumn("density", r6("density"))
+    return align.density_filter(_pairs(spark, sf_dir), *DENSITY).withColumn("density", r6("density"))
 
 
-@query()
+@query(
+    _kernel_sql(
+        "SELECT c_custkey AS sample, 2000.0 + c_nationkey * 100 AS b, CASE WHEN c_custkey % 2 = 0 THEN 'gaussian' ELSE 'epanechnikov' END AS k FROM customer",
+        "CASE WHEN coalesce(k, 'gaussian') = 'gaussian' THEN exp(-0.5 * (d / coalesce(b, 100.0)) ** 2) ELSE greatest(0, 0.75 * (1 - (d / b) ** 2)) END",
+    )
+)
 def kernel_batch_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = t.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample"), (F.lit(2000.0) + F.col("c_nationkey") * 100).alias("bandwidth"), F.when(F.col("c_custkey") % 2 == 0, "gaussian").otherwise("epanechnikov").alias("kernel"))
     return align.kernel_correction(t.event_peaks(spark, sf_dir), _pairs(spark, sf_dir), params=params).withColumn("rt_corrected", F.round("rt_corrected", 3))
