@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,10 +73,38 @@ def isotope_rollup(peaks: DataFrame) -> DataFrame:
     return g.select("sample", "peak_id", F.col("m.mh").alias("iso_mz"), F.col("m.rt").alias("iso_rt"), F.col("m.height").alias("iso_height"), F.size("m").alias("nb_isotope"), "height", "area")
 
 
+def spread(rows: DataFrame, key: str, name: str, value: str, names: list | None = None) -> DataFrame:
+    """A row for each key with a column for each name (default: all, in order; a null name is "null"), the greatest value where a
+    cell repeats. One shuffle whatever the number of columns: a key's cells become one dense array, of which the columns are
+    the places."""
+    kinds = dict(rows.dtypes)
+    if names is None:
+        names = [r[0] for r in rows.select(name).distinct().orderBy(F.asc_nulls_first(name)).collect()]
+    numbers = rows.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], f"_name {kinds[name]}, _at int")
+    put = rows.join(F.broadcast(numbers), F.col(name).eqNullSafe(F.col("_name"))).groupBy(key, "_at").agg(F.max(value).alias("_x"))
+    # keys without a value keep their row: lists leave nulls out, so places are listed where there is a value
+    lists = put.groupBy(key).agg(*[F.collect_list(F.when(F.col("_x").isNotNull(), F.col(c))).alias(c) for c in ("_at", "_x")])
+    width = len(names)
+
+    def dense(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            step = max(1, 4_000_000 // max(1, width))
+            for lo in range(0, len(b), step):
+                part = b.slice(lo, step)
+                at, x = part.column(1), part.column(2)
+                cell = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(at), 0).to_numpy(zero_copy_only=False)) * width + at.flatten().to_numpy(zero_copy_only=False)
+                index = np.full(len(part) * width, -1, dtype=np.int64)
+                index[cell] = np.arange(len(cell))
+                values = x.flatten().take(pa.array(index, mask=index < 0))
+                yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * width), values)], names=[key, "_row"])
+
+    wide = lists.select(key, "_at", "_x").mapInArrow(dense, f"`{key}` {kinds[key]}, _row array<{kinds[value]}>")
+    return wide.select(key, *[F.col("_row")[i].alias("null" if n is None else str(n)) for i, n in enumerate(names)])
+
+
 def abundance_matrix(cells: DataFrame, samples: list[str] | None = None) -> DataFrame:
     """Wide features by samples, for a sink; the greatest value where a cell repeats."""
-    g = cells.groupBy("feature")
-    return (g.pivot("sample", samples) if samples else g.pivot("sample")).agg(F.max("x"))
+    return spread(cells, "feature", "sample", "x", samples)
 
 
 def abundance_long(wide: DataFrame, feature: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..schema import CHECKPOINTS, LOGS, PROJECTS
+from ..schema import CHECKPOINTS, LOGS, PROJECTS, to_canonical
 
 LOG = logging.getLogger("peakloom.store")
 SCHEMAS = {"projects": PROJECTS, "checkpoints": CHECKPOINTS, "processing_logs": LOGS}
@@ -250,6 +250,43 @@ class Store:
         return project_statistics(self.table("checkpoints"), self.table("processing_logs"))
 
 
+# --- versions of the stored form ---------------------------------------------------------------------------------
+
+Frames = dict[str, DataFrame]
+#: Stored version -> the step that makes frames of the next version of it.
+MIGRATIONS: dict[int, Callable[[Frames, dict], Frames]] = {}
+
+
+def migration(version: int) -> Callable[[Callable[[Frames, dict], Frames]], Callable[[Frames, dict], Frames]]:
+    """Registers the step from ``version`` to the next: (frames, manifest) -> frames."""
+
+    def register(step: Callable[[Frames, dict], Frames]) -> Callable[[Frames, dict], Frames]:
+        if version in MIGRATIONS:
+            raise ValueError(f"version {version} has a step")
+        MIGRATIONS[version] = step
+        return step
+
+    return register
+
+
+@migration(0)
+def _canonical_spellings(frames: Frames, manifest: dict) -> Frames:
+    """Version 0 (manifests without a version) kept external spellings of the columns."""
+    return {k: to_canonical(df) for k, df in frames.items()}
+
+
+def migrate(frames: Frames, manifest: dict) -> Frames:
+    """Frames as the present version has them. A newer version than this, and one without a step, raise."""
+    version = int(manifest.get("schema_version", 0))
+    if version > SCHEMA_VERSION:
+        raise ValueError(f"checkpoint {manifest.get('name')} is of version {version}; this engine reads up to {SCHEMA_VERSION}")
+    for v in range(version, SCHEMA_VERSION):
+        if v not in MIGRATIONS:
+            raise ValueError(f"no step from version {v} to {v + 1}")
+        frames = MIGRATIONS[v](frames, manifest)
+    return frames
+
+
 # --- stages ----------------------------------------------------------------------------------------------------
 
 
@@ -324,7 +361,8 @@ class Checkpoints:
         for v in [wanted, *([x for x in reversed(have) if x < wanted] if repair else [])]:
             bad = self.verify(name, v)
             if not bad:
-                return {k: self.spark.read.parquet(f"{self.root}/{name}/v{v}/{k}") for k in self.manifest(name, v)["frames"]}
+                manifest = self.manifest(name, v)
+                return migrate({k: self.spark.read.parquet(f"{self.root}/{name}/v{v}/{k}") for k in manifest["frames"]}, manifest)
             LOG.warning("checkpoint %s v%d fails its check: %s", name, v, bad)
         raise ValueError(f"checkpoint {name} v{wanted} fails its check")
 
@@ -337,6 +375,13 @@ class Checkpoints:
         out = [m for n in self.names() if (m := self.manifest(n))]
         return sorted(out, key=lambda m: (m["created_at"], m["name"]), reverse=True)
 
+    def clean(self, keep: int | None = None) -> list[str]:
+        """Delete all but the newest ``keep`` versions of every checkpoint; what went."""
+        gone = [f"{n}/v{v}" for n in self.names() for v in self.versions(n)[: -max(1, keep or self.keep)]]
+        for x in gone:
+            delete(self.spark, f"{self.root}/{x}")
+        return gone
+
     def health(self, repair: bool = False) -> dict[str, list[str]]:
         """Failed frames of every version; with ``repair`` those versions are deleted."""
         out = {}
@@ -374,6 +419,11 @@ class StageMachine:
             out |= self.checkpoints.load(s)
         return out
 
+    def variables(self, stage: str) -> list[str]:
+        """Names of the frames that are there once ``stage`` is done: its own and those of the stages before it, by their manifests."""
+        held = [self.checkpoints.manifest(s) for s in self.order[: self.order.index(stage) + 1]]
+        return sorted({k for m in held if m for k in m["frames"]})
+
     def run(self, frames: dict[str, DataFrame], until: str | None = None, resume: bool = True) -> dict[str, DataFrame]:
         last = self.resume_point() if resume else None
         out = frames | (self.restore(last) if last else {})

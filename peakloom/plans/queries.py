@@ -200,12 +200,36 @@ def rank_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("feature", r6("presence").alias("presence"), r6("cv").alias("cv"), r6("median_x").alias("median_x"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {CELLS}, {REF}, keep AS (SELECT sample FROM cells GROUP BY sample HAVING 100.0 * count(x) / (SELECT count(DISTINCT feature) FROM cells) >= 10),
+kc AS (SELECT * FROM cells WHERE sample IN (SELECT sample FROM keep)),
+cand AS (SELECT feature FROM (SELECT feature, 100.0 * count(x) / (SELECT count(DISTINCT sample) FROM kc) AS presence, CASE WHEN count(x) >= 2 AND avg(x) <> 0 THEN stddev_samp(x) / avg(x) * 100 END AS cv FROM kc GROUP BY feature)
+  WHERE presence >= {P_SAMPLE} ORDER BY cv NULLS LAST, feature LIMIT 60),
+med AS (SELECT sample, median(x) AS med FROM cells GROUP BY sample),
+near AS MATERIALIZED (SELECT c.sample, c.feature, c.x AS a, r.ref AS b FROM cells c JOIN ref r USING (feature) WHERE c.feature IN (SELECT feature FROM cand) AND abs(c.x - r.ref) <= {CUTRAT}),
+todo AS (SELECT list(feature ORDER BY feature) AS alive FROM cand),
+step AS (
+  SELECT CAST(0 AS INTEGER) AS step, alive, CAST(NULL AS BIGINT) AS feature, CAST(NULL AS DOUBLE) AS w FROM todo
+  UNION ALL
+  SELECT step + 1, CASE WHEN gone = -1 THEN alive ELSE list_filter(alive, lambda v: v <> gone) END, gone, w FROM (
+    SELECT step, alive, w0, unnest(list_sort(list(struct_pack(w := w, gone := gone)))[1:1], recursive := true) FROM (
+      SELECT step, any_value(alive) AS alive, any_value(w0) AS w0, gone, round(CASE WHEN count(*) > 1 THEN 1.4826 * list_median(list(abs(y - mid))) END, 9) AS w FROM (
+        SELECT step, alive, w0, gone, y, median(y) OVER (PARTITION BY gone) AS mid FROM (
+          SELECT s.step, any_value(s.alive) AS alive, any_value(s.w) AS w0, gone, n.sample, regr_intercept(n.b, n.a) + regr_slope(n.b, n.a) * any_value(m.med) AS y
+          FROM (SELECT step, alive, w, unnest(CASE WHEN w IS NULL THEN [-1] ELSE alive END) AS gone FROM step WHERE w IS NULL OR len(alive) > 20) s
+          JOIN near n ON list_contains(s.alive, n.feature) AND n.feature <> gone JOIN med m ON m.sample = n.sample GROUP BY s.step, gone, n.sample HAVING count(*) >= {MIN_ISET})
+        WHERE y IS NOT NULL)
+      GROUP BY step, gone)
+    GROUP BY step, alive, w0)
+  WHERE w0 IS NULL OR w < w0)
+SELECT CASE WHEN feature = -1 THEN NULL ELSE feature END AS feature, CAST(step - 1 AS INTEGER) AS step, round(w, 6) AS w_metric FROM step WHERE step > 0
+UNION ALL SELECT unnest(alive), NULL, NULL FROM (SELECT alive FROM step ORDER BY step DESC LIMIT 1)"""
+)
 def eliminate_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step 0 is the spread at first; dropped features by step; the kept ones without."""
     cells = t.cells(spark, sf_dir)
-    out = normalizers.eliminate_normalizers(cells, normalizers.rank_candidates(cells, 10.0, P_SAMPLE, 60), 20, CUTRAT, MIN_ISET)
-    rows = [(int(f), i + 1, round(m, 6)) for i, (f, m) in enumerate(zip(out.excluded, out.history[1:], strict=True))]
-    return spark.createDataFrame(rows + [(int(f), None, None) for f in out.kept], "feature long, step int, w_metric double")
+    steps = normalizers.elimination_steps(cells, normalizers.rank_candidates(cells, 10.0, P_SAMPLE, 60), 20, CUTRAT, MIN_ISET)
+    return steps.withColumn("w_metric", r6("w_metric"))
 
 
 # --- matching --------------------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import abundance_matrix
-from ..operators.store import _fs, delete, now_text
+from ..operators.store import _fs, delete, exists, now_text
 from . import xlsx
 
 
@@ -20,9 +20,14 @@ def write_map(tables: dict[str, DataFrame], root: str, name: str) -> None:
 
 
 def delete_map(spark: SparkSession, root: str, name: str, confirmed: bool) -> bool:
-    if confirmed:
-        delete(spark, f"{root}/{name}")
-    return confirmed
+    """Remove a stored map, in whichever form it is kept (a folder, or one SQLite file with or without its ending in the name).
+    True if it is gone; False if that was not confirmed or there is none."""
+    kept = [p for p in (f"{root}/{name}", f"{root}/{name}.sqlite") if exists(spark, p)]
+    if not confirmed or not kept:
+        return False
+    for p in kept:
+        delete(spark, p)
+    return True
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from peakloom.operators import aggregate, align, grouping, normalize, normalizers
 
@@ -157,3 +158,56 @@ def test_kernel_correction_leaves_samples_without_pairs(spark):
     pairs = spark.createDataFrame([("a", 15.0, 10.0), ("a", 25.0, 20.0), ("a", 35.0, 30.0)], "sample string, rt_ref double, rt_sample double")
     got = {r.peak_id: round(r.rt_corrected, 6) for r in align.kernel_correction(p, pairs, 100.0).collect()}
     assert got == {1: 15.0, 2: 25.0, 3: 7.0}
+
+
+def test_search_in_batches_goes_on_where_it_stopped(spark, tmp_path):
+    from peakloom.operators.store import Checkpoints
+
+    rng = np.random.default_rng(3)
+    rows = [(f"f{i:02d}", f"s{j}", float(rng.uniform(1, 15))) for j in range(7) for i in range(4 if j == 5 else 12)] + [("f00", "lin", 2.0**10), ("f01", "lin", -1.0)]
+    cells = spark.createDataFrame(rows, "feature string, sample string, x double")
+    whole = normalizers.search_by_sample(cells, 6)
+    got = {s: [r.feature for r in whole.where(F.col("sample") == s).orderBy("feature").collect()] for s in ("s0", "s5", "lin")}
+    assert got == {"s0": [f"f{i:02d}" for i in range(6)], "s5": [None], "lin": [None]}
+    assert [r.feature for r in normalizers.search_by_sample(cells, 12).where("sample = 's1'").orderBy("feature").collect()] == ["f00", "f01", "f02", "f03"]
+    assert normalizers.search_by_sample(cells, 1).where("sample = 'lin'").first().median == 2.0**10
+    ran = []
+
+    def search(part, least):
+        ran.append(sorted(r.sample for r in part.select("sample").distinct().collect()))
+        if len(ran) == 2:
+            raise KeyboardInterrupt
+        return normalizers.search_by_sample(part, least)
+
+    kept = Checkpoints(spark, tmp_path.as_uri())
+    with pytest.raises(KeyboardInterrupt):
+        normalizers.BatchedSearch(kept).run(cells, 6, 3, search)
+    out = normalizers.BatchedSearch(kept).run(cells, 6, 3, search)
+    assert ran == [["lin", "s0", "s1"], ["s2", "s3", "s4"], ["s2", "s3", "s4"], ["s5", "s6"]]
+    order = lambda df: sorted(map(repr, df.select("sample", "feature", "median_x", "found", "median").collect()))
+    assert order(out) == order(whole)
+    # a failing batch costs its own samples, and other cells or parameters start anew
+    del ran[:]
+
+    def broken(part, least):
+        ran.append(1)
+        if part.where("sample = 's2'").count():
+            raise ValueError("no")
+        return normalizers.search_by_sample(part, least)
+
+    assert {r.sample for r in normalizers.BatchedSearch(kept).run(cells, 7, 3, broken).collect()} == {"lin", "s0", "s1", "s5", "s6"}
+    assert len(ran) == 3
+    assert [normalizers.batch_size(n) for n in (10, 200, 299, 300)] == [50, 40, 40, 30]
+
+
+def test_matrix_of_more_samples_than_a_pivot_takes(spark):
+    n = 10_500
+    cells = spark.range(n).select((F.col("id") % 7).alias("feature"), F.col("id").cast("string").alias("sample"), F.col("id").cast("double").alias("x"))
+    wide = aggregate.abundance_matrix(cells)
+    assert len(wide.columns) == n + 1
+    rows = {r["feature"]: r for r in wide.select("feature", "0", "9", "10499").collect()}
+    assert len(rows) == 7 and rows[0]["0"] == 0.0 and rows[2]["9"] == 9.0 and rows[1]["9"] is None and rows[10499 % 7]["10499"] == 10499.0
+    few = spark.createDataFrame([("a", "s1", 1.0), ("a", "s1", 3.0), ("b", "s2", None), (None, None, 2.0)], "feature string, sample string, x double")
+    got = {r["feature"]: r.asDict() for r in aggregate.abundance_matrix(few).collect()}
+    assert got == {"a": {"feature": "a", "null": None, "s1": 3.0, "s2": None}, "b": {"feature": "b", "null": None, "s1": None, "s2": None}, None: {"feature": None, "null": 2.0, "s1": None, "s2": None}}
+    assert aggregate.abundance_matrix(few, ["s2", "s1"]).columns == ["feature", "s2", "s1"]

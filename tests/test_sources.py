@@ -71,6 +71,10 @@ def test_maps_in_sqlite(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("FT1", 500.25, 60.0, 10.0), ("FT2", 600.0, 70.0, None)]
     with pytest.raises(KeyError):
         readers.read_map(spark, tmp_path.as_uri(), "old", normalizers=True)
+    # the file goes with its map, so a new map of that name is not hidden behind it
+    assert writers.delete_map(spark, tmp_path.as_uri(), "old", confirmed=True)
+    assert readers.list_maps(spark, tmp_path.as_uri()) == []
+    assert writers.delete_map(spark, tmp_path.as_uri(), "old", confirmed=True) is False
 
 
 def test_empty_peaks(spark):

@@ -130,3 +130,37 @@ def test_stages_resume(spark, tmp_path):
 def test_digest_ignores_order(spark):
     assert digest(spark.range(5)) == digest(spark.range(5).orderBy(F.desc("id")))
     assert digest(spark.range(5)) != digest(spark.range(6))
+
+
+def test_older_forms_are_migrated_and_newer_ones_refused(spark, tmp_path):
+    import json
+
+    c = Checkpoints(spark, tmp_path.as_uri())
+    old = spark.createDataFrame([(500.25, 60.0, "1,2")], ["M.H", "CE.time", "iso.mass"])
+    v = c.save("peaks", {"t": old})
+
+    def rewrite(**changes):
+        m = {k: x for k, x in (c.manifest("peaks") | changes).items() if x is not None}
+        spark.createDataFrame([(json.dumps(m),)], "value string").coalesce(1).write.mode("overwrite").text(f"{c.root}/peaks/v{v}/manifest")
+
+    assert c.load("peaks")["t"].columns == old.columns
+    rewrite(schema_version=None)
+    assert c.load("peaks")["t"].collect() == [(500.25, 60.0, [1.0, 2.0])]
+    assert c.load("peaks")["t"].columns == ["mh", "rt", "iso_mass"]
+    rewrite(schema_version=store_module.SCHEMA_VERSION + 1)
+    with pytest.raises(ValueError, match="version"):
+        c.load("peaks")
+    with pytest.raises(ValueError, match="has a step"):
+        store_module.migration(0)(lambda frames, manifest: frames)
+
+
+def test_variables_and_cleaning(spark, tmp_path):
+    c = Checkpoints(spark, tmp_path.as_uri(), keep=5)
+    m = StageMachine(c, {})
+    for i in range(3):
+        c.save(STAGES[0], {"peaks": spark.range(i)})
+    c.save(STAGES[1], {"peaks": spark.range(1), "pairs": spark.range(2)})
+    assert m.variables(STAGES[0]) == ["peaks"]
+    assert m.variables(STAGES[-1]) == ["pairs", "peaks"]
+    assert c.clean(1) == [f"{STAGES[0]}/v1", f"{STAGES[0]}/v2"]
+    assert c.versions(STAGES[0]) == [3] and c.versions(STAGES[1]) == [1]
