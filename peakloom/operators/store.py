@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import logging
+import random
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..schema import CHECKPOINTS, LOGS, PROJECTS, to_canonical
 
 LOG = logging.getLogger("peakloom.store")
 SCHEMAS = {"projects": PROJECTS, "checkpoints": CHECKPOINTS, "processing_logs": LOGS}
+KEYS = {"projects": "project_id", "checkpoints": "checkpoint_id", "processing_logs": "log_id"}
 #: Retention, applied in this order: age in days, number of projects, gigabytes, versions of a checkpoint.
 RETENTION = {"days": 60, "projects": 20, "gb": 50.0, "versions": 5}
 SCHEMA_VERSION = 1
@@ -127,70 +133,165 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot rename {source} to {target}")
 
 
+class Conflict(Exception):
+    """Another writer's commit came first, again and again."""
+
+
 @dataclass
 class Store:
-    """The three tables below a folder. Updates write a new copy beside the old one and swap names; a table whose swap was
-    cut short is put in place by the next who reads it. Numbers are claimed by files that one caller alone can create, and
-    the greatest stays, so no number comes twice, not even after its row is gone."""
+    """The three tables below a folder, each a log of numbered commits. A commit is a folder of changed rows (whole rows, or
+    marks that a key is gone) and the list of the commits that make up the table with it. It is written beside and gets its
+    number by one rename, which one writer alone can win; who loses reads again and tries anew, so no change is lost and a
+    reader sees whole commits. A key's newest row counts. After ``COMPACT`` commits the next one holds the whole table, and
+    commits that neither it nor the state before it needs are deleted. Keys only grow, also past rows that are gone. The
+    file system's rename of a folder must be atomic and must not replace one that is there."""
 
     spark: SparkSession
     root: str
 
-    def _recover(self, name: str) -> None:
-        """Finish a swap: the new copy if it was written whole, else the old one."""
-        path = f"{self.root}/{name}"
-        if exists(self.spark, path):
-            return
-        for part in (".new", ".old"):
-            if exists(self.spark, f"{path}{part}/_SUCCESS"):
-                rename(self.spark, path + part, path)
-                return
+    COMPACT = 20
+    TRIES = 100
+
+    def _folder(self, name: str) -> str:
+        return f"{self.root}/{name}.log"
+
+    def _text(self, path: str) -> str | None:
+        fs, p = _fs(self.spark, path)
+        if not fs.exists(p):
+            return None
+        data = fs.open(p)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8")
+        finally:
+            data.close()
+
+    def _put_text(self, path: str, text: str) -> None:
+        fs, p = _fs(self.spark, path)
+        out = fs.create(p, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _latest(self, name: str) -> int:
+        """The newest commit: from the hint on as far as there are any, which spares a listing; without a good hint by the listing.
+        Old commits are deleted from the first on, so one that is there has all later ones behind it."""
+        folder = self._folder(name)
+        try:
+            hint = self._text(f"{folder}/_hint")
+        except Py4JJavaError:  # another writer is putting a new one in its place
+            hint = None
+        if hint and hint.isdigit() and exists(self.spark, f"{folder}/v{hint}"):
+            v = int(hint)
+            while exists(self.spark, f"{folder}/v{v + 1}"):
+                v += 1
+            return v
+        fs, p = _fs(self.spark, folder)
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=0)
+
+    def _state(self, name: str, version: int) -> dict:
+        return json.loads(self._text(f"{self._folder(name)}/v{version}/_state")) if version else {"parts": [], "owner": None}
+
+    def _changes(self, name: str, version: int, parts: list[int]) -> DataFrame:
+        """All changes that make up the table."""
+        schema = T.StructType([*SCHEMAS[name].fields, T.StructField("_drop", T.BooleanType()), T.StructField("_version", T.LongType())])
+        if parts:
+            return self.spark.read.schema(schema).parquet(*[f"{self._folder(name)}/v{p}" for p in parts])
+        if not version and exists(self.spark, f"{self.root}/{name}"):  # a table from before there were commits
+            old = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
+            return old.withColumns({"_drop": F.lit(False), "_version": F.lit(0).cast("long")})
+        return self.spark.createDataFrame([], schema)
+
+    def _fold(self, name: str, changes: DataFrame) -> DataFrame:
+        """The newest row of each key, with marks of keys that are gone."""
+        w = Window.partitionBy(KEYS[name]).orderBy(F.desc("_version"))
+        return changes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
     def table(self, name: str) -> DataFrame:
-        self._recover(name)
-        path = f"{self.root}/{name}"
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], SCHEMAS[name])
+        v = self._latest(name)
+        return self._fold(name, self._changes(name, v, self._state(name, v)["parts"])).where("NOT _drop").select(*SCHEMAS[name].names)
 
     def init(self) -> None:
-        for name, schema in SCHEMAS.items():
-            self._recover(name)
-            if not exists(self.spark, f"{self.root}/{name}"):
-                self.spark.createDataFrame([], schema).write.parquet(f"{self.root}/{name}")
-
-    def _replace(self, name: str, df: DataFrame) -> None:
-        new, old, path = (f"{self.root}/{name}{x}" for x in (".new", ".old", ""))
-        delete(self.spark, new)
-        df.select(*SCHEMAS[name].names).write.parquet(new)
-        delete(self.spark, old)
-        if exists(self.spark, path):
-            rename(self.spark, path, old)
-        rename(self.spark, new, path)
-        delete(self.spark, old)
-
-    def _append(self, name: str, row: dict) -> None:
-        self.spark.createDataFrame([tuple(row.get(c) for c in SCHEMAS[name].names)], SCHEMAS[name]).write.mode("append").parquet(f"{self.root}/{name}")
+        for name in SCHEMAS:
+            if not self._latest(name):
+                self._commit(name, lambda table, number: None, empty=True)
+
+    def _commit(self, name: str, change: Callable[[DataFrame, int], DataFrame | None], empty: bool = False) -> None:
+        """Apply ``change`` (the table as it is now, the next free number) -> changed rows with ``_drop``, or None for no change."""
+        folder, columns = self._folder(name), SCHEMAS[name].names
+        for attempt in range(self.TRIES):
+            v = self._latest(name)
+            state = self._state(name, v)
+            changes = self._changes(name, v, state["parts"])
+            table = self._fold(name, changes)
+            number = (changes.agg(F.max(KEYS[name])).first()[0] or 0) + 1
+            rows = change(table.where("NOT _drop").select(*columns), number)
+            if rows is None and not empty:
+                return
+            rows = self.spark.createDataFrame([], changes.schema) if rows is None else rows.select(*columns, "_drop", F.lit(v + 1).cast("long").alias("_version"))
+            whole = len(state["parts"]) >= self.COMPACT or (not v and not changes.isEmpty())
+            if whole:  # the greatest key stays, also as a mark
+                folded = self._fold(name, changes.unionByName(rows))
+                rows = folded.where(~F.col("_drop") | (F.col(KEYS[name]) == number - 1)).withColumn("_version", F.lit(v + 1).cast("long"))
+            parts, owner = ([v + 1] if whole else [*state["parts"], v + 1]), uuid.uuid4().hex
+            part = f"{folder}/.part-{owner}"
+            rows.coalesce(1).write.parquet(part)
+            self._put_text(f"{part}/_state", json.dumps({"parts": parts, "owner": owner, "before": state["parts"]}))
+            with contextlib.suppress(OSError):
+                rename(self.spark, part, f"{folder}/v{v + 1}")
+            if self._state(name, v + 1)["owner"] == owner:
+                if whole:
+                    self._forget(name, {*parts, *state["parts"]})
+                self._put_text(f"{folder}/.hint-{owner}", str(v + 1))
+                delete(self.spark, f"{folder}/_hint")
+                with contextlib.suppress(OSError):
+                    rename(self.spark, f"{folder}/.hint-{owner}", f"{folder}/_hint")
+                return
+            # a rename onto a folder that is there may have put this one inside
+            delete(self.spark, part)
+            delete(self.spark, f"{folder}/v{v + 1}/.part-{owner}")
+            time.sleep(random.uniform(0, 0.05 * (attempt + 1)))
+        raise Conflict(f"{name}: {self.TRIES} commits of others came first")
+
+    def _forget(self, name: str, needed: set[int]) -> None:
+        fs, p = _fs(self.spark, self._folder(name))
+        for x in fs.listStatus(p):
+            n = x.getPath().getName()
+            if n[:1] == "v" and n[1:].isdigit() and int(n[1:]) < min(needed):
+                fs.delete(x.getPath(), True)
+
+    def _rows(self, name: str, rows: list[dict]) -> DataFrame:
+        made = self.spark.createDataFrame([tuple(r.get(c) for c in SCHEMAS[name].names) for r in rows], SCHEMAS[name])
+        return made.withColumn("_drop", F.lit(False))
+
+    def _append(self, name: str, row: dict) -> int:
+        """Add a row under the next number."""
+        given: list[int] = []
+
+        def add(table: DataFrame, number: int) -> DataFrame:
+            given.append(number)
+            return self._rows(name, [row | {KEYS[name]: number}])
+
+        self._commit(name, add)
+        return given[-1]
 
     def _next(self, name: str, key: str) -> int:
-        fs, folder = _fs(self.spark, f"{self.root}/.numbers/{name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs.mkdirs(folder)
-        claimed = sorted(int(x.getPath().getName()) for x in fs.listStatus(folder) if x.getPath().getName().isdigit())
-        number = max([self.table(name).agg(F.max(key)).first()[0] or 0, *claimed]) + 1
-        while not fs.createNewFile(path(folder, str(number))):
-            number += 1
-        for old in claimed:
-            fs.delete(path(folder, str(old)), False)
-        return number
+        """A number that no row has or had."""
+        v = self._latest(name)
+        return (self._changes(name, v, self._state(name, v)["parts"]).agg(F.max(key)).first()[0] or 0) + 1
 
     def upsert_project(self, project_name: str, data_directory: str = "", total_files: int = 0, cache_directory: str = "", cache_id: str = "") -> int:
         """By unique name; an existing project starts again as running."""
-        t = self.table("projects")
-        old = t.where(F.col("project_name") == project_name).first()
-        row = old.asDict() if old else {"project_id": self._next("projects", "project_id"), "project_name": project_name, "created_at": now_text()}
-        row |= {"data_directory": data_directory, "total_files": total_files, "cache_directory": cache_directory, "cache_id": cache_id, "last_modified": now_text(), "status": "running", "processing_stage": "initialized"}
-        new = self.spark.createDataFrame([tuple(row[c] for c in PROJECTS.names)], PROJECTS)
-        self._replace("projects", t.where(~F.col("project_name").eqNullSafe(project_name)).unionByName(new))
-        return row["project_id"]
+        given: list[int] = []
+
+        def change(table: DataFrame, number: int) -> DataFrame:
+            old = table.where(F.col("project_name") == project_name).first()
+            row = old.asDict() if old else {"project_id": number, "project_name": project_name, "created_at": now_text()}
+            row |= {"data_directory": data_directory, "total_files": total_files, "cache_directory": cache_directory, "cache_id": cache_id, "last_modified": now_text(), "status": "running", "processing_stage": "initialized"}
+            given.append(row["project_id"])
+            return self._rows("projects", [row])
+
+        self._commit("projects", change)
+        return given[-1]
 
     def project(self, project_id: int):
         return self.table("projects").where(F.col("project_id") == project_id).first()
@@ -199,48 +300,49 @@ class Store:
         """Change the given columns alone."""
         if bad := set(changes) - set(PROJECTS.names):
             raise ValueError(f"no such columns: {sorted(bad)}")
-        mine = F.col("project_id").eqNullSafe(project_id)
-        cols = {k: F.when(mine, F.lit(v)).otherwise(F.col(k)) for k, v in (changes | {"last_modified": now_text()}).items()}
-        self._replace("projects", self.table("projects").withColumns(cols))
+        new = {k: F.lit(v) for k, v in (changes | {"last_modified": now_text()}).items()}
+        self._commit("projects", lambda table, _: table.where(F.col("project_id") == project_id).withColumns(new).withColumn("_drop", F.lit(False)))
 
     def register_checkpoint(self, project_id: int, step_id: str, step_name: str, path: str, size_mb: float, checksum: str, variables: list[str], next_step: str | None = None, seconds: float | None = None) -> int:
-        number = self._next("checkpoints", "checkpoint_id")
-        self._append("checkpoints", {"checkpoint_id": number, "project_id": project_id, "step_id": step_id, "step_name": step_name, "checkpoint_file_path": path, "created_at": now_text(), "file_size_mb": size_mb, "checksum_md5": checksum, "is_valid": True, "variables_stored": variables, "next_step": next_step, "execution_time_seconds": seconds})
-        return number
+        return self._append("checkpoints", {"project_id": project_id, "step_id": step_id, "step_name": step_name, "checkpoint_file_path": path, "created_at": now_text(), "file_size_mb": size_mb, "checksum_md5": checksum, "is_valid": True, "variables_stored": variables, "next_step": next_step, "execution_time_seconds": seconds})
 
     def log(self, project_id: int | None, step: str, level: str, message: str, seconds: float | None = None, details: str | None = None) -> None:
         LOG.log(getattr(logging, level, logging.INFO), "%s: %s", step, message)
-        self._append("processing_logs", {"log_id": self._next("processing_logs", "log_id"), "project_id": project_id, "timestamp": now_text(), "step_name": step, "log_level": level, "message": message, "execution_time_seconds": seconds, "error_details": details})
+        self._append("processing_logs", {"project_id": project_id, "timestamp": now_text(), "step_name": step, "log_level": level, "message": message, "execution_time_seconds": seconds, "error_details": details})
 
     def invalidate(self, checkpoint_id: int) -> None:
-        t = self.table("checkpoints")
-        self._replace("checkpoints", t.withColumn("is_valid", F.col("is_valid") & ~F.col("checkpoint_id").eqNullSafe(checkpoint_id)))
+        self._commit("checkpoints", lambda table, _: table.where(F.col("checkpoint_id") == checkpoint_id).withColumns({"is_valid": F.lit(False), "_drop": F.lit(False)}))
+
+    def _drop(self, name: str, which: Column) -> None:
+        self._commit(name, lambda table, _: table.where(which).withColumn("_drop", F.lit(True)))
 
     def purge_invalid(self, project_id: int) -> int:
-        """Delete the project's invalid checkpoints with their files; their number."""
-        gone = self.table("checkpoints").where((F.col("project_id") == project_id) & ~F.col("is_valid")).collect()
+        """Delete the project's invalid checkpoints, and then their files; their number."""
+        gone = self.table("checkpoints").where((F.col("project_id") == project_id) & ~F.col("is_valid")).select("checkpoint_id", "checkpoint_file_path").collect()
+        if gone:
+            self._drop("checkpoints", F.col("checkpoint_id").isin([r["checkpoint_id"] for r in gone]))
         for r in gone:
             delete(self.spark, r["checkpoint_file_path"])
-        self._replace("checkpoints", self.table("checkpoints").where(~F.col("project_id").eqNullSafe(project_id) | F.coalesce("is_valid", F.lit(True))))
         return len(gone)
 
     def delete_project(self, project_id: int) -> None:
         """From all three tables."""
         for name in SCHEMAS:
-            self._replace(name, self.table(name).where(~F.col("project_id").eqNullSafe(project_id)))
+            self._drop(name, F.col("project_id") == project_id)
 
     def clean_up(self, sizes: DataFrame, now: str | None = None, **limits) -> list[int]:
-        """Apply ``cleanup_plan``: its projects leave all three tables, and their cache folders go. sizes: project_id, size_mb.
-        The plan is a catalogue of a few thousand projects at most."""
+        """Apply ``cleanup_plan``: its projects leave all three tables, and then their cache folders go, so that a run cut short
+        leaves folders without a project and not the reverse. sizes: project_id, size_mb. The plan is a catalogue of a few
+        thousand projects at most."""
         known = self.table("projects").join(sizes.select("project_id", "size_mb"), "project_id", "left").withColumn("size_mb", F.coalesce("size_mb", F.lit(0.0)))
         plan = cleanup_plan(known.withColumn("last_modified", F.col("last_modified").cast("timestamp")), now=now, **limits).select("project_id").distinct()
         gone = known.join(plan, "project_id", "left_semi").select("project_id", "cache_directory").collect()
+        ids = [r["project_id"] for r in gone]
+        for name in reversed(SCHEMAS) if ids else ():
+            self._drop(name, F.col("project_id").isin(ids))
         for r in gone:
             if r["cache_directory"]:
                 delete(self.spark, r["cache_directory"])
-        ids = [r["project_id"] for r in gone]
-        for name in SCHEMAS if ids else ():
-            self._replace(name, self.table(name).where(~F.coalesce(F.col("project_id").isin(ids), F.lit(False))))
         return sorted(ids)
 
     def crashed(self) -> DataFrame:
