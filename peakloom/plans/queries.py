@@ -492,7 +492,7 @@ cand AS (SELECT b.i AS j, a.i, b.iso, a.iso AS ref_iso, least(5, len(b.iso) // 2
 near AS (
   SELECT *, list_transform(iso[1:k], lambda m: list_sort(list_transform(range(1, least(k + 1, len(ref_iso)) + 1), lambda i: {{'d': abs(ref_iso[i] - m), 'i': i}}))[1]) AS nn FROM cand),
 e AS (SELECT j, list(i ORDER BY i) AS c FROM near WHERE len(list_filter(nn, lambda z: z.d <= {MASS_TOL})) = k AND len(list_distinct(list_transform(nn, lambda z: z.i))) = k GROUP BY j),
-todo AS (SELECT o.i, coalesce(e.c, []) AS c FROM o LEFT JOIN e ON e.j = o.i),
+todo AS MATERIALIZED (SELECT o.i, coalesce(e.c, []) AS c FROM o LEFT JOIN e ON e.j = o.i),
 step AS (
   SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS lead, CAST([] AS BIGINT[]) AS held
   UNION ALL
