@@ -150,7 +150,7 @@ class ChunkEncoder(dict):
         keys = self.keys_of(texts)
         counts = pc.list_value_length(keys).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = keys.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False)  # far faster than a list of scalars
         found = np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
         if self.pending:
             self._encode_pending()
