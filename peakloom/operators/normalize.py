@@ -129,9 +129,9 @@ def normalize_by_group(marked: DataFrame, min_iset: int, method: str) -> DataFra
     are a task's group. Samples of fewer stable cells than ``min_iset`` pass through; y is null where a fit says nothing."""
     columns = ("feature", "sample", "x", "ref", "stable", "normalized", "y")
     rows = written(marked.select(*columns[:5]))
-    n = rows.groupBy("sample").agg(F.count_if("stable").alias("n"))
-    done = rows.join(n.where(F.col("n") >= min_iset).select("sample"), "sample", "left_semi").withColumn("normalized", F.lit(True))
-    other = rows.join(n.where(F.col("n") < min_iset).select("sample"), "sample", "left_semi").withColumns({"normalized": F.lit(False), "y": F.col("x")})
+    enough = rows.groupBy(F.col("sample").alias("_s")).agg((F.count_if("stable") >= min_iset).alias("normalized"))
+    told = rows.join(enough, F.col("sample").eqNullSafe(F.col("_s"))).drop("_s")
+    done, other = told.where("normalized"), told.where("NOT normalized").withColumn("y", F.col("x"))
     if method == "kreg":
         fitted = local_fit(done.withColumn("at", F.col("x")), done.where("stable").select("sample", "x", F.col("ref").alias("y")), KERNEL_BANDWIDTH)
         return fitted.withColumnRenamed("fit", "y").select(*columns).unionByName(other.select(*columns))

@@ -24,6 +24,8 @@ from ..lineage import written
 
 #: Rows of a strip, the greatest number of strips, and rounds before strips are merged.
 STRIP_ROWS, MOST_STRIPS, PATIENCE = 5_000, 4_096, 6
+#: Added to a reach before the exact test, for sums that are rounded.
+SLACK = 1e-9
 #: monotonically_increasing_id: the partition above, the place in it below.
 _PLACE_BITS = 33
 
@@ -123,7 +125,7 @@ def _lead(starts: list[tuple[int, str, float]], band: float, rt_tol: float, iso_
 
     def reach(strip: int, key: str, mh: float) -> int:
         i = number[strip]
-        while i + 1 < len(starts) and starts[i + 1][1] == key and starts[i + 1][2] <= mh + band + 1e-12:
+        while i + 1 < len(starts) and starts[i + 1][1] == key and starts[i + 1][2] <= mh + band + SLACK:
             i += 1
         return starts[i][0]
 
@@ -145,7 +147,7 @@ def _lead(starts: list[tuple[int, str, float]], band: float, rt_tol: float, iso_
                 leader, leader_name = np.full(n, -1, dtype=np.int64), np.empty(n, dtype=object)
 
                 def take(lead: tuple, lo: int, hi: int) -> None:
-                    end = lo + int(np.searchsorted(mh[lo:hi], lead[1] + band + 1e-12, side="right"))
+                    end = lo + int(np.searchsorted(mh[lo:hi], lead[1] + band + SLACK, side="right"))
                     near = lo + np.flatnonzero((leader[lo:end] < 0) & (np.abs(rt[lo:end] - lead[2]) <= rt_tol) & (np.abs(mh[lo:end] - lead[1]) <= band))
                     if isotopes is not None:
                         near = near[isotopes.match(near, lead[3], iso_tol)]
@@ -162,7 +164,7 @@ def _lead(starts: list[tuple[int, str, float]], band: float, rt_tol: float, iso_
                         take(lead, i + 1, spans[key[i]][1])
                         live.append(lead)
                         own.append(i)
-                live = [x for x in live if x[0] == key[-1] and x[1] + band + 1e-12 >= mh[-1]]
+                live = [x for x in live if x[0] == key[-1] and x[1] + band + SLACK >= mh[-1]]
                 strips = part.column("strip").to_numpy(zero_copy_only=False)
                 last = strips.copy()
                 for i in own:
