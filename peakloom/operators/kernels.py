@@ -16,8 +16,10 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..lineage import written
 
@@ -55,16 +57,29 @@ def _bins(rows: DataFrame) -> DataFrame:
     return g.select("k", "bin", F.array(*[f"a{j}" for j in range(TERMS + 2)], *[f"b{j}" for j in range(TERMS + 1)]).alias("m"))
 
 
+def _neighbours(bins: DataFrame) -> DataFrame:
+    """k, p and the bins that a point of bin p sees: their distance from p (``off``) and moments (``m``), in order."""
+    seen = bins.withColumn("p", F.explode(F.sequence(F.col("bin") - REACH, F.col("bin") + REACH)))
+    lists = seen.groupBy("k", "p").agg(F.sort_array(F.collect_list(F.struct((F.col("bin") - F.col("p")).cast("int").alias("off"), "m"))).alias("b"))
+    return lists.select("k", "p", F.col("b.off").alias("off"), F.flatten("b.m").alias("m"))
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a bin gives to a point. Batches: i, t (the point's distance from the bin's centre), h, m."""
-    one = np.array([1 / factorial(j) for j in range(TERMS)])
+    """The sums of each point over the bins that it sees. Columns t (distance from its own bin's centre, in bandwidths), h, off and m
+    are used up."""
+    one, width = np.array([1 / factorial(j) for j in range(TERMS)]), 2 * TERMS + 3
     for b in batches:
-        t, h = (b.column(c).to_numpy(zero_copy_only=False) for c in ("t", "h"))
-        m = b.column("m").flatten().to_numpy(zero_copy_only=False).reshape(len(t), 2 * TERMS + 3)
+        off, m = b.column("off"), b.column("m")
+        n = pc.fill_null(pc.list_value_length(off), 0).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(b)), n)
+        h = b.column("h").to_numpy(zero_copy_only=False)[row]
+        t = b.column("t").to_numpy(zero_copy_only=False)[row] - off.flatten().to_numpy(zero_copy_only=False)
+        m = m.flatten().to_numpy(zero_copy_only=False).reshape(len(row), width)
         p = np.exp(-0.5 * t * t)[:, None] * one * np.cumprod(np.concatenate([np.ones((len(t), 1)), np.repeat(t[:, None], TERMS - 1, axis=1)], axis=1), axis=1)
         a0, a1, a2, b0, b1 = ((p * m[:, k : k + TERMS]).sum(1) for k in (0, 1, 2, TERMS + 2, TERMS + 3))
         out = [a0, h * (a1 - t * a0), h * h * (a2 - 2 * t * a1 + t * t * a0), b0, h * (b1 - t * b0)]
-        yield pa.record_batch([b.column("i"), *map(pa.array, out)], names=["i", *SUMS])
+        kept = [c for c in b.schema.names if c not in ("t", "off", "m")]
+        yield pa.record_batch([*(b.column(c) for c in kept), *(pa.array(np.bincount(row, weights=x, minlength=len(b)).astype(np.float64)) for x in out)], names=[*kept, *SUMS])
 
 
 def local_fit(points: DataFrame, rows: DataFrame, bandwidth: float, kernel: str = "gaussian", params: DataFrame | None = None) -> DataFrame:
@@ -76,32 +91,36 @@ def local_fit(points: DataFrame, rows: DataFrame, bandwidth: float, kernel: str
     number = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
     key = F.coalesce(F.concat(F.lit("="), F.col("sample").cast("string")), F.lit("")).alias("k")
     data = rows.where(number("x") & number("y")).select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    about = data.groupBy("k").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    about = data.groupBy("k").agg(F.count("*").alias("n"))
     if params is not None:
         about = about.join(params.select(key, F.col("bandwidth").cast("double").alias("h"), "kernel").dropDuplicates(["k"]), "k", "left")
     else:
         about = about.withColumns({"h": F.lit(None).cast("double"), "kernel": F.lit(None).cast("string")})
     about = written(about.withColumns({"h": F.coalesce("h", F.lit(float(bandwidth))), "kernel": F.coalesce("kernel", F.lit(kernel))}))
     data = data.join(about.select("k", "h", "kernel"), "k")
-    own = F.struct(*[F.col(f"`{c}`") for c in points.columns])
-    every = written(points.select(own.alias("own"), key, F.col("at").cast("double").alias("at")).withColumn("i", F.monotonically_increasing_id()))
-    asked = every.where(number("at")).select("i", "k", "at").join(about, "k")
+    bell = F.col("kernel") == "gaussian"
 
-    end = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ENDS.items() for x in kv]), F.col("kernel")), F.lit(1.0)) * F.col("h")
-    bell = asked.where("kernel = 'gaussian'").withColumn("p", F.floor(F.col("at") / F.col("h")))
-    first, last = F.greatest(F.floor(F.col("low") / F.col("h")), F.col("p") - REACH), F.least(F.floor(F.col("high") / F.col("h")), F.col("p") + REACH)
-    seen = bell.where(first <= last).select("i", "k", "at", "h", F.explode(F.sequence(first, last)).alias("bin"))
-    read = seen.join(_bins(data.where("kernel = 'gaussian'")), ["k", "bin"]).select("i", (F.col("at") / F.col("h") - F.col("bin") - 0.5).alias("t"), "h", "m")
-    sums = read.mapInArrow(_read, "i long, " + ", ".join(f"{c} double" for c in SUMS)).groupBy("i").agg(*[F.sum(c).alias(c) for c in SUMS])
+    own = F.struct(*[F.col(f"`{c}`") for c in points.columns])
+    place = F.floor(F.col("at") / F.col("h"))
+    asked = points.select(own.alias("own"), key, F.when(number("at"), F.col("at").cast("double")).alias("at")).join(about, "k", "left")
+    asked = asked.withColumns({"p": F.when(bell, place), "t": F.col("at") / F.col("h") - place - 0.5})
+    read = asked.join(_neighbours(_bins(data.where(bell))), ["k", "p"], "left").select("own", "k", "at", "n", "h", "kernel", "t", "off", "m")
+    schema = T.StructType([f for f in read.schema.fields if f.name not in ("t", "off", "m")] + [T.StructField(c, T.DoubleType()) for c in SUMS])
     det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
-    good = (F.col("s0") >= LEAST_WEIGHT * F.col("n")) & (det > LEAST_DETERMINED * F.col("s0") * F.col("s2"))
-    told = written(bell.join(sums, "i", "left").withColumn("good", F.coalesce(good, F.lit(False))))
-    rest = told.where("NOT good").select("i", "k", "at", "h", "kernel").join(data.select("k", "x", "y"), "k")
-
-    near = asked.where("kernel <> 'gaussian'").withColumn("w", end)
-    near = near.select("i", "k", "at", "h", "kernel", F.explode(F.array(*[F.floor(F.col("at") / F.col("w")) + j for j in (-1, 0, 1)])).alias("bin"))
-    near = near.join(data.where("kernel <> 'gaussian'").select("k", "x", "y", F.floor(F.col("x") / end).alias("bin")), ["k", "bin"])
-    sums = told.where("good").select("i", *SUMS).unionByName(_direct(rest)).unionByName(_direct(near))
+    good = bell & (F.col("s0") >= LEAST_WEIGHT * F.col("n")) & (det > LEAST_DETERMINED * F.col("s0") * F.col("s2"))
+    told = read.mapInArrow(_read, schema).withColumn("done", F.coalesce(good, F.lit(False)) | F.col("at").isNull() | F.col("n").isNull())
+    told = written(told.withColumn("i", F.monotonically_increasing_id()))
     line = (F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / det
     fit = F.when(det > 1e-12 * F.greatest(F.col("s0") * F.col("s2"), F.lit(1e-300)), line).when(F.col("s0") > 0, F.col("t0") / F.col("s0"))
-    return every.join(sums.select("i", fit.alias("fit")), "i", "left").select(*[F.col(f"own.`{c}`") for c in points.columns], F.when(F.abs("fit") < F.lit(float("inf")), F.col("fit")).alias("fit"))
+    fit = F.when(F.abs(fit) < F.lit(float("inf")), fit).alias("fit")
+    columns = [F.col(f"own.`{c}`") for c in points.columns]
+    out = told.where("done").select(*columns, fit)
+
+    # the others meet rows: all of their sample (gaussian), or those within reach
+    left = told.where("NOT done").select("own", "i", "k", "at", "h", "kernel")
+    every = left.where(bell).select("i", "k", "at", "h", "kernel").join(data.where(bell).select("k", "x", "y"), "k")
+    end = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ENDS.items() for x in kv]), F.col("kernel")), F.lit(1.0)) * F.col("h")
+    near = left.where(~bell).select("i", "k", "at", "h", "kernel", F.explode(F.array(*[F.floor(F.col("at") / end) + j for j in (-1, 0, 1)])).alias("bin"))
+    near = near.join(data.where(~bell).select("k", "x", "y", F.floor(F.col("x") / end).alias("bin")), ["k", "bin"])
+    sums = _direct(every).unionByName(_direct(near))
+    return out.unionByName(left.select("i", "own").join(sums, "i", "left").select(*columns, fit))
