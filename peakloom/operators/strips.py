@@ -14,11 +14,14 @@ memory for the reach of the tolerance alone, so a merged one needs no more than
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..lineage import written
 
@@ -115,6 +118,45 @@ class Isotopes:
         return out
 
 
+def heads(lists: pa.ChunkedArray, width: int, blank: float) -> np.ndarray:
+    """The first masses of each list, ``blank`` where there are fewer."""
+    lists = lists.combine_chunks()
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.full((len(n), width), blank)
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    row, value = np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy(zero_copy_only=False)
+    some = at < width
+    out[row[some], at[some]] = value[some]
+    return out
+
+
+def prefixes_agree(heads: np.ndarray, n: np.ndarray, rows: np.ndarray, ref_heads: np.ndarray, ref_n: np.ndarray, refs: np.ndarray, tolerance: float) -> np.ndarray:
+    """The isotope prefix test of pairs (rows[i], refs[i]), mass by mass for those that are left. heads: first 5 masses of
+    candidates; ref_heads: first 6 of references, infinite where there are fewer; n, ref_n: the lists' lengths."""
+    k = np.minimum(np.minimum(5, n[rows] // 2 + 1), np.maximum(2, ref_n[refs] - 2))
+    k[(n[rows] < 2) | (ref_n[refs] < 2)] = 0
+    out = np.zeros(len(rows), dtype=bool)
+    for size in range(2, 6):
+        left = np.flatnonzero(k == size)
+        used = np.zeros(len(left), dtype=np.int64)
+        for c in range(size):
+            if not len(left):
+                break
+            mass, best, at = heads[rows[left], c], None, None
+            for j in range(size + 1):
+                d = np.abs(ref_heads[refs[left], j] - mass)
+                if best is None:
+                    best, at = d, np.zeros(len(left), dtype=np.int64)
+                else:
+                    nearer = d < best
+                    best, at = np.where(nearer, d, best), np.where(nearer, j, at)
+            bit = 1 << at
+            fits = (best <= tolerance) & (used & bit == 0)
+            left, used = left[fits], (used | bit)[fits]
+        out[left] = True
+    return out
+
+
 _LEADERS = "strip int, row long, last int, key string, mh double, rt double, iso array<double>, name string, leader long, leader_name string"
 
 
@@ -175,6 +217,107 @@ def _lead(starts: list[tuple[int, str, float]], band: float, rt_tol: float, iso_
     return run
 
 
+#: Strips of a slab, and pairs that are tested at once.
+SLAB_STRIPS, PAIRS = 20, 4_000_000
+_SLAB = "strip int, row long, mh double, rt double, n int, iso array<double>, name string, leader long, leader_name string"
+
+
+def _first_leader(schema: pa.Schema, band: float, rt_tol: float, iso_tol: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The rows of one cell with the first of earlier slabs' leaders that takes them, or none."""
+
+    def run(rows: pa.Table, before: pa.Table) -> pa.Table:
+        if not len(rows):
+            return schema.empty_table()
+        before = before.sort_by("row")
+        mh, rt, n, iso = rows.column("mh").to_numpy(), rows.column("rt").to_numpy(), rows.column("n").to_numpy(), heads(rows.column("iso"), 5, np.nan)
+        b_mh, b_rt, b_n, b_iso = before.column("mh").to_numpy(), before.column("rt").to_numpy(), before.column("n").to_numpy(), heads(before.column("iso"), 6, np.inf)
+        taken, free, lo = np.full(len(rows), -1, dtype=np.int64), np.arange(len(rows)), 0
+        while lo < len(before) and len(free):
+            block = slice(lo, lo + max(1, PAIRS // len(free)))
+            i, j = np.nonzero((np.abs(b_rt[block, None] - rt[free]) <= rt_tol) & (np.abs(b_mh[block, None] - mh[free]) <= band))
+            i += lo
+            hit = prefixes_agree(iso, n, free[j], b_iso, b_n, i, iso_tol)
+            at, first = np.unique(j[hit], return_index=True)  # pairs come in the order of leaders
+            taken[free[at]] = i[hit][first]
+            free, lo = free[taken[free] < 0], block.stop
+        by = pa.array(taken, mask=taken < 0)
+        out = {"leader": before.column("row").take(by), "leader_name": before.column("name").take(by)}
+        return pa.table([out[f.name] if f.name in out else rows.column(f.name) for f in schema], schema=schema)
+
+    return run
+
+
+def _lead_slab(band: float, rt_tol: float, iso_tol: float) -> Step:
+    """The pass over what is free in one slab, sorted by row. A leader looks at the rows of its time's cell and the two beside it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts)
+        mh, rt, n, row = (rows.column(c).to_numpy() for c in ("mh", "rt", "n", "row"))
+        iso, ref = heads(rows.column("iso"), 5, np.nan), heads(rows.column("iso"), 6, np.inf)
+        leader = np.full(len(rows), -1, dtype=np.int64)
+        cell = np.floor(rt / rt_tol) if rt_tol > 0 else rt
+        by = np.argsort(cell, kind="stable")
+        cuts = np.flatnonzero(np.diff(cell[by])) + 1
+        cells = {float(cell[x[0]]): x for x in np.split(by, cuts)}
+        beside = (-1.0, 0.0, 1.0) if rt_tol > 0 else (0.0,)
+        for i, own in enumerate(cell.tolist()):
+            if leader[i] >= 0:
+                continue
+            leader[i] = i
+            for c in beside:
+                x = cells.get(own + c)
+                if x is None or not len(x):
+                    continue
+                near = x[(np.abs(rt[x] - rt[i]) <= rt_tol) & (np.abs(mh[x] - mh[i]) <= band)]
+                near = near[leader[near] < 0]
+                near = near[prefixes_agree(iso, n, near, ref, n, np.full(len(near), i), iso_tol)]
+                leader[near] = i
+                cells[own + c] = x[leader[x] < 0]
+        at = pa.array(leader)
+        out = {"leader": rows.column("row").take(at), "leader_name": rows.column("name").take(at)}
+        yield from pa.table([out.get(c, rows.column(c) if c in rows.column_names else None) for c in (f.split()[0] for f in _SLAB.split(", "))], names=[f.split()[0] for f in _SLAB.split(", ")]).to_batches(10_000)
+
+    return run
+
+
+def _alike(dealt: DataFrame, starts: list[tuple[int, str, float]], band: float, rt_tol: float, iso_tol: float) -> DataFrame:
+    """row, leader, leader_name of rows without keys whose leaders' isotope prefixes agree, a slab of strips after the other; lists of
+    fewer than two masses agree with none, and their rows are left out. What
+    earlier slabs' leaders take is found for all rows of a slab at once, cell by cell of time; only what they leave makes the pass,
+    in one task whose rows a slab bounds. The result is that of the one pass: a row goes to the first leader that may take it,
+    and all those of earlier slabs come first."""
+    spark = dealt.sparkSession
+    kinds = spark.createDataFrame([], _SLAB).schema
+    arrow = to_arrow_schema(kinds)
+    light = dealt.select("strip", "row", "mh", "rt", F.size("iso").alias("n"), F.slice("iso", 1, 6).alias("iso"), "name").where("n >= 2")
+    cell = F.floor(F.col("rt") / rt_tol) if rt_tol > 0 else F.col("rt")
+    around = F.array(*[F.lit(i) for i in ((-1, 0, 1) if rt_tol > 0 else (0,))])
+    slabs: list[tuple[float, DataFrame]] = []  # least mass of the next slab, leaders
+    out = None
+    for lo in range(0, len(starts), SLAB_STRIPS):
+        of, least = starts[lo : lo + SLAB_STRIPS], starts[lo][2]
+        end = starts[lo + SLAB_STRIPS][2] if lo + SLAB_STRIPS < len(starts) else float("inf")
+        rows = light.where(F.col("strip").between(of[0][0], of[-1][0]))
+        seen = [x for top, x in slabs if top + band + SLACK >= least]
+        done = None
+        if seen:
+            before = reduce(DataFrame.unionByName, seen).where(F.col("mh") + band + SLACK >= least)
+            before = before.withColumn("_c", F.explode(around)).withColumn("_c", cell + F.col("_c"))
+            told = rows.withColumn("_c", cell).groupBy("_c").cogroup(before.groupBy("_c")).applyInArrow(_first_leader(arrow, band, rt_tol, iso_tol), kinds)
+            told = written(told)
+            done, rows = told.where("leader IS NOT NULL"), told.where("leader IS NULL")
+        led = written(rows.repartition(1).sortWithinPartitions("row").mapInArrow(_lead_slab(band, rt_tol, iso_tol), kinds))
+        slabs.append((end, led.where("leader = row")))
+        for part in (done, led):
+            if part is not None:
+                part = part.select("row", "leader", "leader_name")
+                out = part if out is None else out.unionByName(part)
+    return out
+
+
 def leaders(rows: DataFrame, key: Column | None, name: Column | None, ties: list[str], band: float, rt_tol: float, iso_tol: float | None = None, strip_rows: int = STRIP_ROWS) -> DataFrame:
     """All columns of ``rows`` (with mh, rt, iso) with ``leader``, a number that is the same for the rows of a group and ascends with
     its leader, and ``leader_name``, the leader's ``name``. In ascending mass, then time, then ``ties``, the first free row leads and
@@ -196,6 +339,10 @@ def leaders(rows: DataFrame, key: Column | None, name: Column | None, ties: list
     alone = named.where(~whole).select(*[F.col(f"`{c}`") for c in rows.columns], (-1 - F.monotonically_increasing_id()).alias("leader"), F.col("_name").alias("leader_name"))
     if not starts:
         return alone
+    if iso_tol is not None and key is None:
+        told = _alike(dealt, starts, band, rt_tol, iso_tol)
+        out = dealt.join(told, "row", "left").withColumns({"leader_name": F.when(F.col("leader").isNull(), F.col("name")).otherwise(F.col("leader_name")), "leader": F.coalesce("leader", "row")})
+        return out.select(*[F.col(f"own.`{c}`") for c in rows.columns], "leader", "leader_name").unionByName(alone)
     out = settle(dealt, [s for s, _, _ in starts], _lead(starts, band, rt_tol, iso_tol), schema, carry)
     return out.select(*[F.col(f"own.`{c}`") for c in rows.columns], "leader", "leader_name").unionByName(alone)
 

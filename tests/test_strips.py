@@ -95,3 +95,18 @@ def test_values_that_are_no_mass_stay_unmatched(spark):
     assert {r.x_id for r in match.match_mz(x.where("x_id < 5"), t, 50).collect()} == {1, 2, 3, 4}
     assert match.match_mz(x.where("x_id < 0"), t, 50).collect() == []
     assert [r.t_id for r in match.match_mz(x.where("x_id = 6"), t.where("t_mz < 0"), 50).collect()] == [None]
+
+
+@pytest.mark.parametrize("slab_strips", [1, 3])
+def test_slabs_equal_one_pass(spark, monkeypatch, slab_strips):
+    """Every row sees rows of many slabs, and slabs make the pass once: strips had to be merged down to one."""
+    monkeypatch.setattr(strips, "SLAB_STRIPS", slab_strips)
+    rows = massifs(np.random.default_rng(11), 400, 6.0)
+    out = grouping.group_between(spark.createDataFrame(rows, MASSIFS).repartition(3), 0.3, 150.0, 60).collect()
+    assert {r.idtab: int(r.leader) for r in out} == one_pass(rows, 0.3, 150.0)
+
+
+def test_grouping_in_one_slab_after_the_other_settles_nothing(spark, monkeypatch):
+    monkeypatch.setattr(strips, "settle", None)
+    rows = massifs(np.random.default_rng(12), 100, 6.0)
+    assert grouping.group_between(spark.createDataFrame(rows, MASSIFS), 0.3, 150.0).count() == 100
