@@ -113,6 +113,19 @@ def abundance_long(wide: DataFrame, feature: str) -> DataFrame:
     return wide.withColumnRenamed(feature, "feature").unpivot("feature", names, "sample", "x").where("x IS NOT NULL")
 
 
+def sparse_matrix(cells: DataFrame) -> DataFrame:
+    """The same matrix for any number of samples: a row for each feature with its samples, in order, and their values. A
+    DataFrame's columns are planned one by one, so a dense row is for a sink of some thousand samples."""
+    cell = cells.groupBy("feature", "sample").agg(F.max("x").alias("x")).where("x IS NOT NULL")
+    rows = cell.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("sample", "x"))).alias("row"))
+    return rows.select("feature", F.col("row.sample").alias("samples"), F.col("row.x").alias("x"))
+
+
+def sparse_long(sparse: DataFrame) -> DataFrame:
+    """Long cells of a sparse matrix."""
+    return sparse.select("feature", F.explode(F.arrays_zip("samples", "x")).alias("c")).select("feature", F.col("c.samples").alias("sample"), F.col("c.x").alias("x"))
+
+
 def features_per_sample(cells: DataFrame) -> DataFrame:
     return cells.groupBy("sample").agg(F.count_distinct("feature").alias("n_features"))
 

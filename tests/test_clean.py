@@ -71,3 +71,20 @@ def test_anti_join_has_no_null_trap(spark):
     df = spark.createDataFrame([("a",), ("b",)], "sample string")
     out = spark.createDataFrame([("a",), (None,)], "sample string")
     assert [r.sample for r in clean.pick_samples(df, out, keep=False).collect()] == ["b"]
+
+
+def test_sparse_matrix_of_many_samples(spark):
+    """To rows and back, with more samples than a DataFrame can have columns in reasonable time; empty and repeated cells."""
+    from pyspark.sql import functions as F
+
+    from peakloom.operators import aggregate
+
+    cells = spark.range(40_000).select((F.col("id") % 3).alias("feature"), F.col("id").cast("string").alias("sample"), F.when(F.col("id") % 5 > 0, F.col("id") / 7).alias("x"))
+    cells = cells.unionByName(cells.where("sample < '2'").withColumn("x", F.col("x") - 1))
+    wide = aggregate.sparse_matrix(cells)
+    assert wide.count() == 3
+    assert all(r.samples == sorted(r.samples) for r in wide.collect())
+    want = cells.groupBy("feature", "sample").agg(F.max("x").alias("x")).where("x IS NOT NULL")
+    back = aggregate.sparse_long(wide)
+    assert back.exceptAll(want).isEmpty() and want.exceptAll(back).isEmpty()
+    assert back.count() == 32_000
