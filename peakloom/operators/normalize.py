@@ -15,6 +15,8 @@ from .kernels import local_fit
 
 KERNEL_BANDWIDTH = 15.0
 LOESS_SPAN = 0.75
+#: Up to so many rows a sample's weights are one matrix; beyond, a tree of moments.
+DENSE_ROWS = 1000
 METHODS = ("lm", "kreg", "loess")
 SCALES = ("log2", "natural")
 
@@ -78,9 +80,30 @@ def local_linear(x: np.ndarray, y: np.ndarray, at: np.ndarray, bandwidth: float,
     return out
 
 
-def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = LOESS_SPAN, robust: int = 4, block: int = 4096) -> np.ndarray:
+class DenseSums:
+    """Tricube-weighted sums of few rows for many points: the weights are made once, each re-weighting is a product with them."""
+
+    def __init__(self, x: np.ndarray, p: np.ndarray, h: np.ndarray):
+        d = x[None, :] - p[:, None]
+        u = np.abs(d)
+        u /= h[:, None]
+        w = 1 - u * u * u
+        np.maximum(w, 0, out=w)
+        w *= w * w
+        wd = w * d
+        self.weights = (w, wd, wd * d)
+
+    def sums(self, r: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sums of r w d^m for m = 0, 1, 2; of r w y d^m for m = 0, 1) of each point."""
+        both = np.stack([r, r * y], axis=1)
+        a, b, c = self.weights[0] @ both, self.weights[1] @ both, self.weights[2] @ r
+        return np.stack([a[:, 0], b[:, 0], c], axis=1), np.stack([a[:, 1], b[:, 1]], axis=1)
+
+
+def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = LOESS_SPAN, robust: int = 4, block: int = 4096, dense_rows: int = DENSE_ROWS) -> np.ndarray:
     """Local regression of degree 1 with tricube weights and bisquare re-weighting; nan outside the range of x. The nearest
-    rows of a point are neighbours in the order of x, and sums over such a window come from a tree of moments: a point costs the
+    rows of a point are neighbours in the order of x, and what is beyond has no weight. Sums over such a window come from a matrix
+    of weights that all rounds share, or (more than ``dense_rows`` rows) from a tree of moments: a point costs the
     logarithm of the window, and memory is that of the rows."""
     by = np.argsort(x, kind="stable")
     x, y = x[by], y[by]
@@ -97,27 +120,40 @@ def loess(x: np.ndarray, y: np.ndarray, at: np.ndarray, span: float = LOESS_SPAN
             lo, hi = np.where(right & (lo < hi), mid + 1, lo), np.where(right, hi, mid)
         return lo
 
-    table = TricubeSums(x)
+    few = n <= dense_rows
+    table = None if few else TricubeSums(x)
+    if few:
+        block = max(1, min(block, 2_000_000 // n))
+
+    def width(p: np.ndarray, a: np.ndarray) -> np.ndarray:
+        return np.maximum(np.maximum(p - x[a], x[a + k - 1] - p), 1e-12)
+
+    def line(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+        det = s[:, 0] * s[:, 2] - s[:, 1] * s[:, 1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(det > 1e-12 * np.maximum(s[:, 0] * s[:, 2], 1e-300), (s[:, 2] * t[:, 0] - s[:, 1] * t[:, 1]) / det, t[:, 0] / s[:, 0])
 
     def fit(points: np.ndarray, first: np.ndarray) -> np.ndarray:
         out = np.empty(len(points))
         for lo in range(0, len(points), block):
             p, a = points[lo : lo + block], first[lo : lo + block]
-            h = np.maximum(np.maximum(p - x[a], x[a + k - 1] - p), 1e-12)
-            s, t = table.sums(p, h, a, a + k)
-            det = s[:, 0] * s[:, 2] - s[:, 1] * s[:, 1]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                out[lo : lo + block] = np.where(det > 1e-12 * np.maximum(s[:, 0] * s[:, 2], 1e-300), (s[:, 2] * t[:, 0] - s[:, 1] * t[:, 1]) / det, t[:, 0] / s[:, 0])
+            h = width(p, a)
+            out[lo : lo + block] = line(*(DenseSums(x, p, h).sums(robustness, y) if few else table.sums(p, h, a, a + k)))
         return out
 
     own = windows(x)
-    table.weigh(robustness, y)
+    # the rows' own weights, for all rounds: dense_rows bounds them
+    kept = DenseSums(x, x, width(x, own)) if few else None
+    if not few:
+        table.weigh(robustness, y)
     for _ in range(robust - 1):
-        r = y - fit(x, own)
+        r = y - (line(*kept.sums(robustness, y)) if few else fit(x, own))
         scale = 6 * np.median(np.abs(r))
         if not scale > 1e-12:
             break
-        table.weigh(np.clip(1 - (r / scale) ** 2, 0, None) ** 2, y)
+        robustness = np.clip(1 - (r / scale) ** 2, 0, None) ** 2
+        if not few:
+            table.weigh(robustness, y)
     inside = (at >= x[0]) & (at <= x[-1])
     out = np.full(len(at), np.nan)
     out[inside] = fit(at[inside], windows(at[inside]))

@@ -211,3 +211,39 @@ def test_matrix_of_more_samples_than_a_pivot_takes(spark):
     got = {r["feature"]: r.asDict() for r in aggregate.abundance_matrix(few).collect()}
     assert got == {"a": {"feature": "a", "null": None, "s1": 3.0, "s2": None}, "b": {"feature": "b", "null": None, "s1": None, "s2": None}, None: {"feature": None, "null": 2.0, "s1": None, "s2": None}}
     assert aggregate.abundance_matrix(few, ["s2", "s1"]).columns == ["feature", "s2", "s1"]
+
+
+def test_loess_of_few_rows_equals_the_tree():
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 40, 600):
+        x = rng.uniform(10, 16, n).round(2)
+        y, at = x + rng.normal(0, 0.3, n), np.concatenate([x, rng.uniform(9, 17, 50)])
+        np.testing.assert_allclose(normalize.loess(x, y, at), normalize.loess(x, y, at, dense_rows=0), rtol=0, atol=1e-9)
+    # a weight matrix is made once for all rounds: the tree took 0.3 s for such a sample
+    assert normalize.DENSE_ROWS >= 600
+
+
+def test_stable_cells_and_rounding_equal_sql(spark, tmp_path):
+    """Prices of which one is twice the other lie on the bound of 1; a sixth digit may lie on a half."""
+    import math
+
+    import duckdb
+
+    from peakloom.plans import queries as own
+
+    n = 4000
+    low = [round(20000 + 7.01 * i, 2) for i in range(n)]
+    rows = ", ".join(f"({i}, {s}, {v!r}::DOUBLE)" for i, b in enumerate(low) for s, v in ((1, b), (2, b), (3, 2 * b)))
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE lineitem AS SELECT * FROM (VALUES {rows}) t(l_partkey, l_suppkey, l_extendedprice)").fetchall()
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'").fetchall()
+    # Spark's own log2 puts some of them on the other side
+    assert any((math.log(2 * b) / math.log(2) - math.log(b) / math.log(2) <= 1) != (math.log2(2 * b) - math.log2(b) <= 1) for b in low)
+    for name in ("reference_scatter", "lm_fit_stats"):
+        df = own.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({own.ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(want)
+    halves = [k / 64 + 0.0000005 for k in range(1, 3000)] + [-1.0000005, 0.4999999999999999e-6, 1e300, -0.0]
+    con.execute(f"CREATE TABLE h AS SELECT unnest({halves!r}::DOUBLE[]) AS v").fetchall()
+    want = sorted(r[0] for r in con.execute("SELECT round(v, 6) FROM h").fetchall())
+    assert sorted(r[0] for r in spark.createDataFrame([(v,) for v in halves], "v double").select(own.r6("v")).collect()) == want
