@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from peakloom.functions.moments import TricubeSums
-from peakloom.operators import align
+from peakloom.operators import align, kernels
 
 
 def test_tricube_sums_of_any_run():
@@ -60,3 +60,16 @@ def test_kernel_fits_by_bins_equal_plain_sums(spark, kernel):
             assert (got[s, i] is None) == (not np.isfinite(w)), (s, i)
             assert got[s, i] is None or abs(got[s, i] - w) <= 1e-7 * max(1, abs(w)), (s, i, got[s, i], w)
     assert got["a", 900] is None and got["a", 901] is None and all(v is None for (s, _), v in got.items() if s == "none")
+
+
+def test_a_bin_is_in_few_lists():
+    """A bin's moments went to a list for each bin of points that sees it, 17; where points are in one block, one is enough."""
+    assert (2 * kernels.REACH + kernels.BLOCK) / kernels.BLOCK <= 3
+
+
+def test_lists_stay_in_the_reach_of_points(spark):
+    bins = spark.createDataFrame([("a", b, [float(b)]) for b in range(40)], "k string, bin long, m array<double>")
+    asked = spark.createDataFrame([("a", 16, 19), ("b", 0, 1)], "k string, p0 long, p1 long")
+    (row,) = kernels._neighbours(bins, asked).collect()
+    assert (row.k, row.q) == ("a", 16 // kernels.BLOCK)
+    assert row.bins == list(range(16 - kernels.REACH, 19 + kernels.REACH + 1)) and row.m == [float(b) for b in row.bins]
