@@ -110,3 +110,74 @@ def test_grouping_in_one_slab_after_the_other_settles_nothing(spark, monkeypatch
     monkeypatch.setattr(strips, "settle", None)
     rows = massifs(np.random.default_rng(12), 100, 6.0)
     assert grouping.group_between(spark.createDataFrame(rows, MASSIFS), 0.3, 150.0).count() == 100
+
+
+@pytest.mark.parametrize(("n", "width", "pairs"), [(400, 40.0, 1 << 18), (400, 3.0, 50), (200, 0.0, 1)])
+def test_leaders_of_whole_samples_equal_one_pass(monkeypatch, n, width, pairs):
+    """Many samples at once, sparse and dense, in blocks of pairs."""
+    monkeypatch.setattr(grouping, "PAIRS", pairs)
+    rng = np.random.default_rng(n)
+    rows = sorted((int(rng.integers(0, 5)), round(float(rng.uniform(0, width)), 1), float(rng.integers(0, 200))) for _ in range(n))
+    sample, mh, rt = (np.array(c) for c in zip(*rows, strict=True))
+    got = grouping.first_leaders(sample, mh, rt, 0.5, 40.0)
+    for s in range(5):
+        at = np.flatnonzero(sample == s)
+        want = grouping.leader_groups(mh[at], rt[at], 0.5, 40.0)
+        assert np.unique(got[at], return_inverse=True)[1].tolist() == want.tolist()
+
+
+def within(rows, passes):
+    """All passes by definition: (sample, mh, rt, iso, intensity) to sorted groups."""
+    now = [(*r, 1) for r in rows]
+    for mass_tol, rt_tol in passes:
+        new = []
+        for s in {r[0] for r in now}:
+            o = sorted((r for r in now if r[0] == s), key=lambda r: (r[1], r[2], r[4]))
+            g = grouping.leader_groups(np.array([r[1] for r in o]), np.array([r[2] for r in o]), mass_tol, rt_tol)
+            for k in range(g.max() + 1):
+                x = [r for r, j in zip(o, g, strict=True) if j == k]
+                new.append((s, float(np.median([r[1] for r in x])), float(np.median([r[2] for r in x])), sorted({v for r in x for v in r[3] or []}), sum(r[4] for r in x), sum(r[5] for r in x)))
+        now = new
+    return sorted(now, key=str)
+
+
+PASSES = ((0.3, 60.0), (0.2, 120.0))
+
+
+@pytest.mark.parametrize(("strip_rows", "batch"), [(11, 1000), (5000, 1000), (5000, 7)])
+def test_two_passes_within_samples_of_all_sizes(spark, strip_rows, batch):
+    """Samples of 1 to 120 rows, whole and (11 rows a strip) the largest by strips, lying across Arrow batches."""
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 9, 30, 50, 51, 120]
+    rows = [(f"s{s}" if s else None, round(float(rng.uniform(0, 12)), 2), float(rng.integers(0, 300)), [float(rng.integers(0, 5)), 2.0] if i % 7 else None, float(rng.integers(1, 9))) for s, n in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame(rows, "sample string, mh double, rt double, iso array<double>, intensity double").repartition(3)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        got = [tuple(r) for r in grouping.group_within_samples(df, PASSES, strip_rows).collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(got, key=str) == within(rows, PASSES)
+
+
+def test_small_samples_settle_nothing(spark, monkeypatch):
+    """Strips cut samples, and every round reads all of them again: samples of ordinary size make no strips."""
+    monkeypatch.setattr(strips, "settle", None)
+    rows = [(s, float(i), 1.0, [float(i)], 1.0) for s in range(200) for i in range(60)]
+    df = spark.createDataFrame(rows, "sample int, mh double, rt double, iso array<double>, intensity double")
+    assert grouping.group_within_samples(df).count() == 12_000
+
+
+def test_odd_peaks_within_samples(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, None, 2.0, None, 3), (1, 5.0, None, [1], 4), (1, nan, 1.0, [2, None, 2], 5), (1, inf, 1.0, [3], 6), (1, inf, 1.0, [3], 6), (1, 5.0, 1.0, None, None), (1, 5.0, 1.0, None, None), (1, 7.0, 1.0, [4, None, 3], None), (1, 7.0, 1.0, [4], 2)]
+    df = spark.createDataFrame(rows, "sample long, mh double, rt double, iso array<int>, intensity int")
+    out = grouping.group_within_samples(df)
+    assert out.dtypes == [("sample", "bigint"), ("mh", "double"), ("rt", "double"), ("iso", "array<int>"), ("intensity", "bigint"), ("members", "bigint")]
+    want = [(1, None, 2.0, [], 3, 1), (1, 5.0, None, [1], 4, 1), (1, nan, 1.0, [2], 5, 1), (1, inf, 1.0, [3], 6, 1), (1, inf, 1.0, [3], 6, 1), (1, 5.0, 1.0, [], None, 2), (1, 7.0, 1.0, [3, 4], 2, 2)]
+    assert sorted(str(tuple(r)) for r in out.collect()) == sorted(map(str, want))
+    exact = grouping.group_within_samples(df.withColumn("intensity", df.intensity.cast("decimal(5,2)")))
+    assert dict(exact.dtypes)["intensity"] == "decimal(25,2)"
+    assert sorted(str(r.intensity) for r in exact.collect()) == sorted(["3.00", "4.00", "5.00", "6.00", "6.00", "None", "2.00"])
+    assert grouping.group_within_samples(df.where("sample > 1")).collect() == []
