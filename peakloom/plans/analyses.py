@@ -48,13 +48,12 @@ def store_map(frames: dict[str, DataFrame], root: str, name: str) -> None:
 def analyse_samples(ref: DataFrame, samples: DataFrame, normalizer_ids: DataFrame, rt_tolerance: float = 180.0, mass_tolerance: float = 0.150, min_iset: int = 10, cutrat: float = 1.0, method: str = "lm") -> dict[str, DataFrame]:
     """ref: ref_id, ref_mh, ref_rt, ref_iso, ref_intensity; samples: sample, idtab, mh, rt, iso, intensity. Matches, their
     statistics, and normalised cells."""
-    hits = match.match_massifs(ref, samples, rt_tolerance, mass_tolerance)
-    status = match.match_status(hits, samples)
+    status = match.massif_statuses(ref, samples, rt_tolerance, mass_tolerance)
     matched = status.where("status = 'Matched'").select(F.col("ref_id").alias("feature"), "sample", F.col("intensity").alias("x"))
     log_ref = ref.where("ref_intensity > 0").select(F.col("ref_id").alias("feature"), F.log2("ref_intensity").alias("ref"))
     log_cells = matched.where("x > 0").withColumn("x", F.log2("x"))
     done = normalize.normalize_samples(log_cells, normalizer_ids.select(F.col("ref_id").alias("feature")), log_ref, min_iset, cutrat, method)
-    return {"status": status, "stats": match.match_stats(status, samples), "normalized": done}
+    return {"status": status, "stats": match.massif_counts(ref, samples, rt_tolerance, mass_tolerance), "normalized": done}
 
 
 def browse_map(spark: SparkSession, root: str, name: str, mass: tuple[float | None, float | None] = (None, None), time: tuple[float | None, float | None] = (None, None), normalizers_only: bool = False) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.match import match_massifs, match_status
+from ..operators.match import massif_statuses
 
 MASSIFS = "sample string, idtab long, mh double, rt double, iso string, intensity double"
 
@@ -23,7 +23,7 @@ def match_stream(massifs: DataFrame, ref: DataFrame, target: str, checkpoint: st
 
     def run(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        status = match_status(match_massifs(ref, batch, rt_tolerance, mass_tolerance), batch)
+        status = massif_statuses(ref, batch, rt_tolerance, mass_tolerance)
         status.write.mode("overwrite").parquet(f"{target}/batch={number}")
         batch.unpersist()
 
